@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, quality, slots, spcodec, sptransducer
+from . import flac, langid, packing, quality, slots, spcodec, sptransducer
 
 QUERIES = {
+    "op1_flac": flac.op1_flac,
     "op2_quality_fm": quality.op2_quality_fm,
     "op3_virtual_slots": slots.op3_virtual_slots,
+    "op4_packing": packing.op4_packing,
     "op7_token_counts": sptransducer.op7_token_counts,
     "op8_sentencepiece": spcodec.op8_sentencepiece,
     "op10_language_id": langid.op10_language_id,
