@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Folder used only where the session names no shared folder (tests on one machine).
 LOCAL_SHARED = "/tmp/checkpoints"
@@ -119,3 +120,40 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20) -> Itera
         end = min(max(end, start + 1), batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
+
+
+def even_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """Integers, one for each of `parts` hash partitions: rows with key i go to a partition of their own."""
+    found = (
+        spark.range(parts * 40)
+        .select(F.col("id").cast("int").alias("key"))
+        .withColumn("part", F.pmod(F.hash("key"), F.lit(parts)))
+        .groupBy("part")
+        .agg(F.min("key").alias("key"))
+        .collect()
+    )
+    keys = np.arange(parts, dtype=np.int32)
+    for r in found:
+        keys[r["part"]] = r["key"]
+    return keys
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def smallest_hashes(rows: DataFrame, group: str, n: int, order: list[str], salts: int = 16) -> DataFrame:
+    """At most n (up to 1000) rows of each group, first by `order`: cut in each map task and salt before a group meets."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    first = Window.partitionBy(group, "__salt").orderBy(*order)
+    then = Window.partitionBy(group).orderBy(*order)
+    kept = salted.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= n)
+    return kept.withColumn("__n", F.row_number().over(then)).where(F.col("__n") <= n).drop("__n", "__salt")
