@@ -35,7 +35,10 @@ WINDOW = LENGTH - GRAM + 1
 LAST_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 #: Suffixes that are sorted at a time.
-PORTION = 1 << 18
+PORTION = 1 << 16
+#: Strings whose anchors are found at a time, and bytes of text that are handled together.
+PIECE = 1 << 19
+BATCH_BYTES = 2 << 20
 
 
 def _power(k: int) -> np.uint64:
@@ -50,30 +53,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Anchors:
-    """The anchors of a batch, in order: fingerprint, document, first and last string (by its start) of each."""
+    """The anchors of a batch, in order: fingerprint, document, first and last string (by its start) of each, and the
+    hashes of those two strings. A long run of strings can be several rows of one anchor."""
 
     prints: np.ndarray
     doc: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    #: Hashes of all strings of LENGTH bytes.
-    whole: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
-    none = np.zeros(0, np.int64)
-    n = len(data)
-    if n < LENGTH:
-        return Anchors(np.zeros(0, np.uint64), none, none, none, np.zeros(0, np.uint64))
-    # polynomial hashes of 1, 2, 4 ... bytes at every place, then of GRAM and LENGTH bytes
-    h = {1: data.astype(np.uint64) + np.uint64(1)}
-    for k in (1, 2, 4, 8, 16):
-        h[2 * k] = h[k][: len(h[k]) - k] * _power(k) + h[k][k:]
+def _piece(data: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors of the strings that begin at start; data holds their bytes."""
 
     def joined(a: np.ndarray, b: np.ndarray, at: int, size: int, total: int) -> np.ndarray:
-        m = n - total + 1
+        m = len(data) - total + 1
         return a[:m] * _power(size) + b[at : at + m]
 
+    # polynomial hashes of 1, 2, 4 ... bytes at every place, then of GRAM and LENGTH bytes
+    h = {1: data.astype(np.uint64) + np.uint64(1)}
+    for k in (1, 2, 4, 8, 16):
+        h[2 * k] = h[k][: len(h[k]) - k] * _power(k) + h[k][k:]
     gram = _mix(joined(h[16], h[8], 16, 8, GRAM))
     whole = _mix(joined(joined(h[32], h[16], 32, 16, 48), h[2], 48, 2, LENGTH))
     del h
@@ -81,18 +82,28 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
     for k in (1, 2, 4, 8):
         key = np.minimum(key[: len(key) - k], key[k:])
     key = np.minimum(key[: len(key) - (WINDOW - 16)], key[WINDOW - 16 :])
-    place = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    # strings that lie in one document
-    sizes = np.diff(offsets)
-    counts = np.maximum(sizes - LENGTH + 1, 0)
-    if not counts.sum():
-        return Anchors(np.zeros(0, np.uint64), none, none, none, whole)
-    doc = np.repeat(np.arange(len(sizes)), counts)
-    start = np.repeat(offsets[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    own = place[start]
+    own = (key[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])]))
     end = np.concatenate([new[1:], [len(own)]]) - 1
-    return Anchors(_mix(gram[own[new]] + np.uint64(1)), doc[new], start[new], start[end], whole)
+    return _mix(gram[own[new]] + np.uint64(1)), doc[new], start[new], start[end], whole[start[new]], whole[start[end]]
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
+    """Anchors of every string of LENGTH bytes that lies in one document, PIECE strings at a time."""
+    counts = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+    total = np.cumsum(counts)
+    found = []
+    for at in range(0, int(total[-1]) if len(total) else 0, PIECE):
+        number = np.arange(at, min(at + PIECE, int(total[-1])))
+        doc = np.searchsorted(total, number, side="right")
+        start = offsets[doc] + number - (total[doc] - counts[doc])
+        base, end = int(start[0]), int(start[-1]) + LENGTH
+        prints, owner, first, last, one, two = _piece(data[base:end], doc, start - base)
+        found.append((prints, owner, first + base, last + base, one, two))
+    if not found:
+        none, no_prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Anchors(no_prints, none, none, none, no_prints, no_prints)
+    return Anchors(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def _bucket_blobs(prints: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -127,7 +138,7 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", BATCH_BYTES):
                 ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 data, offsets = strings(batch.column(1))
                 a = anchors(data, offsets)
@@ -271,7 +282,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", BATCH_BYTES):
                 ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 data, offsets = strings(batch.column(1))
                 a = anchors(data, offsets)
@@ -285,7 +296,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
                     continue
                 owner = ids[doc]
                 # equal stretches: the same first and last string, as far apart; the smallest id stands for all
-                one, two = a.whole[first], a.whole[last] + (last - first).astype(np.uint64)
+                one, two = a.one[kept], a.two[kept] + (last - first).astype(np.uint64)
                 order = np.lexsort((owner, two, one))
                 new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
                 group = np.cumsum(new) - 1
@@ -322,6 +333,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
         prints, owner, start, size, data = (np.concatenate(x) for x in zip(*gathered, strict=True))
         gathered.clear()
         begin = np.cumsum(size) - size
+        strings_at = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
         order = np.argsort(prints, kind="stable")
         n_suffixes = size[order] - LENGTH + 1
         total = np.cumsum(n_suffixes)
@@ -336,7 +348,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
             # several anchors share a sort, so their prints stand before the bytes
             inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             of = np.repeat(own, n)
-            text = data[(begin[of] + inside)[:, None] + np.arange(LENGTH)]
+            text = strings_at[begin[of] + inside]
             ids, starts = owner[of], start[of] + inside
             hit = longest_previous(text, ids) >= LENGTH
             marked_ids.append(ids[hit])
@@ -391,7 +403,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__text"):
+            for batch in slices(whole, "__text", BATCH_BYTES):
                 size, removed, spans, sums = [], [], [], []
                 for text, lists in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     data = text.encode()
