@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import flac, langid, packing, quality, repeats, slots, spcodec, sptransducer
+from . import flac, langid, minhash, packing, quality, repeats, slots, spcodec, sptransducer
 
 QUERIES = {
     "op1_flac": flac.op1_flac,
     "op2_quality_fm": quality.op2_quality_fm,
     "op3_virtual_slots": slots.op3_virtual_slots,
     "op4_packing": packing.op4_packing,
+    "op5_minhash": minhash.op5_minhash,
     "op6_suffix_repeats": repeats.op6_suffix_repeats,
     "op7_token_counts": sptransducer.op7_token_counts,
     "op8_sentencepiece": spcodec.op8_sentencepiece,
