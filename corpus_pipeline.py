@@ -1,10 +1,104 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next stage's
+docs. All but the last return the columns of documents:
+
+1. language: documents in no known language go (no letters, or a best share under LEAST_LANGUAGE);
+2. quality: documents that the classifier, learned from the labels that the remaining documents have, rejects go;
+3. near_duplicates: of each group of near duplicates (5-word shingles, 0.8) the smallest doc_id stays;
+4. repeats: byte strings of 50 and more that an earlier document holds are cut out, n_chars follows, and documents with
+   nothing left go;
+5. packing: one row per piece of a document in a sequence of 2048 tokens.
+
+ORACLE_SQL is None: SQL cannot express tokenisation, the trained models or the signatures. The stages are tested against
+brute-force versions.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import functools
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrille.llm import common, langid, minhash, packing, quality, repeats
+
+LEAST_LANGUAGE = 0.4
+SHINGLE_WORDS = 5
+
+#: Scratch tables of the stage that was called last; its output is written by the time the next is called.
+_last: list[str] = []
+
+
+def _stage(work):
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(spark, _last)
+        before = set(common.scratch_tables())
+        out = work(spark, docs, sf_dir)
+        _last[:] = [p for p in common.scratch_tables() if p not in before]
+        return out
+
+    return run_stage
+
+
+@_stage
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs)
+    found = langid.predict(docs.withColumnRenamed("lang", "lang_given"), model, keep=["lang_given" if c == "lang" else c for c in docs.columns])
+    known = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
+    return known.withColumnRenamed("lang_given", "lang").select(docs.columns)
+
+
+@_stage
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, docs.columns).where("predicted = 1").select(docs.columns)
+
+
+@_stage
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = minhash.near_duplicates(docs, words=SHINGLE_WORDS).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
+
+
+@_stage
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    before = docs.withColumn("__had", F.octet_length("text"))
+    cut = repeats.remove(before)
+    shown = cut.where(F.col("__had").isNull() | (F.col("__had") == 0) | (F.octet_length("text") > 0))
+    changed = F.octet_length("text") != F.col("__had")
+    return shown.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+@_stage
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("repeats", without_repeats),
+    ("packing", packed),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what is between them is written in the shared folder and deleted after use."""
+    docs = common.table(spark, sf_dir, "documents")
+    written = None
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        if (name, stage) == STAGES[-1]:
+            return out  # reads its own tables and no stage's
+        path = f"{common.shared_dir(spark)}/quadrille-stage-{name}-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        if written:
+            common.release(spark, [written])
+        docs, written = spark.read.parquet(path), path
+    return docs

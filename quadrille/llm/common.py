@@ -62,18 +62,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_mark() -> int:
-    return len(_scratch)
+def scratch_tables() -> list[str]:
+    """Paths of the tables that materialize() wrote and nobody released yet."""
+    return list(_scratch)
 
 
-def release(spark: SparkSession, keep_from: int | None = None) -> None:
-    """Delete scratch tables written before the mark; call only when no DataFrame still reads them."""
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete scratch tables (all by default); call only when no DataFrame reads them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    last = len(_scratch) if keep_from is None else keep_from
-    for path in _scratch[:last]:
+    for path in scratch_tables() if paths is None else paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-    del _scratch[:last]
+        if path in _scratch:
+            _scratch.remove(path)
 
 
 def _release_quietly() -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flac, langid, minhash, packing, quality, repeats, slots, spcodec, sptransducer
+from . import flac, langid, minhash, packing, quality, repeats, slots, spcodec, sptransducer, vectors
 
 QUERIES = {
     "op1_flac": flac.op1_flac,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_suffix_repeats": repeats.op6_suffix_repeats,
     "op7_token_counts": sptransducer.op7_token_counts,
     "op8_sentencepiece": spcodec.op8_sentencepiece,
+    "op9_vector_graph": vectors.op9_vector_graph,
     "op10_language_id": langid.op10_language_id,
 }
 
