@@ -144,11 +144,42 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that nothing refers to any more."""
+    """Let Spark delete shuffle files of plans that nothing refers to any more. Twice: the first round frees the handles
+    that Python holds, the second what those kept alive in the JVM."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def zipped(rows: DataFrame, text_col: str) -> DataFrame:
+    """rows with text_col as zstd bytes in a last column `__zip` (null stays null), for joins that move whole texts."""
+    names = [c for c in rows.columns if c != text_col]
+    shown = rows.select(*names, F.col(text_col).cast("string").alias("__zip"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        for whole in batches:
+            for batch in slices(whole, "__zip", 4 << 20):
+                data, offsets = strings(batch.column(len(names)))
+                null = batch.column(len(names)).is_null().to_pylist()
+                packed = [None if null[i] else squeeze(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], [*names, "__zip"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[:-1]]
+    return shown.mapInArrow(run, ", ".join([*kinds, "__zip binary"]))
+
+
+def unzipped(column: pa.Array) -> list[bytes | None]:
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    return [None if z is None else expand(z) for z in column.to_pylist()]
 
 
 def smallest_hashes(rows: DataFrame, group: str, n: int, order: list[str], salts: int = 16) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import even_keys, free_shuffles, materialize, ship_package, shuffle_parts, slices, strings, table
+from .common import even_keys, free_shuffles, materialize, ship_package, shuffle_parts, slices, strings, table, unzipped, zipped
 
 LENGTH = 50
 GRAM = 24
@@ -39,6 +39,8 @@ PORTION = 1 << 16
 #: Strings whose anchors are found at a time, and bytes of text that are handled together.
 PIECE = 1 << 19
 BATCH_BYTES = 2 << 20
+#: Bytes of stretches that a task gathers before it sends them.
+HELD_BYTES = 16 << 20
 
 
 def _power(k: int) -> np.uint64:
@@ -277,47 +279,79 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     parts = shuffle_parts(spark)
     keys = even_keys(spark, parts)
-    asked = rows.join(shared.groupBy("id").agg(F.collect_list("prints").alias("prints")), "id").select("id", "text", "prints")
+    asked = zipped(rows, "text").join(shared.groupBy("id").agg(F.collect_list("prints").alias("prints")), "id").select("id", "__zip", "prints")
     names = ["bucket", "id", "runs", "body"]
 
+    def wanted(batch: pa.RecordBatch, at: int, stop: int, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Of the shared anchors of some rows: print, id, first and last string in the document, their hashes, bytes."""
+        ids = batch.column(0).slice(at, stop - at).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.cumsum([0, *map(len, texts)])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        a = anchors(data, offsets)
+        lists = [b"".join(x) for x in batch.column(2).slice(at, stop - at).to_pylist()]
+        told = np.frombuffer(b"".join(lists), np.uint64)
+        of = np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists]).astype(np.uint64)
+        salt = np.uint64(0xA24BAED4963EE407)
+        kept = np.flatnonzero(np.isin(_mix(a.prints + a.doc.astype(np.uint64) * salt), _mix(told + of * salt)))
+        doc, first, last = a.doc[kept], a.first[kept], a.last[kept]
+        size = last - first + LENGTH
+        where = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return a.prints[kept], ids[doc], first - offsets[doc], size, a.one[kept], a.two[kept], data[where]
+
+    def send(found: list[tuple]) -> pa.RecordBatch:
+        """Decide what a smaller document of the task decides, and deal out the rest."""
+        import zstandard
+
+        prints, owner, start, size, one, two, data = (np.concatenate(x) for x in zip(*found, strict=True))
+        begin = np.cumsum(size) - size
+        # equal stretches: the same first and last string, as far apart; the smallest id stands for all
+        two = two + size.astype(np.uint64)
+        order = np.lexsort((owner, two, one))
+        new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+        least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        decided = np.zeros(len(prints), bool)
+        decided[order] = owner[order] > least
+        marks = np.flatnonzero(decided)
+        span = size[marks] - LENGTH + 1
+        starts = np.repeat(start[marks] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+        got, runs = _runs(np.repeat(owner[marks], span), starts)
+        out: list[tuple] = [(int(keys[i % parts]), i_, r, None) for i, (i_, r) in enumerate(zip(got, runs, strict=True))]
+        sent = np.flatnonzero(~decided)
+        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        for key, own in _bucket_blobs(prints[sent], keys):
+            own = sent[own]
+            n = size[own]
+            where = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            head = len(own).to_bytes(8, "little") + prints[own].tobytes() + owner[own].tobytes() + start[own].tobytes() + n.tobytes()
+            out.append((key, None, None, squeeze(head + data[where].tobytes())))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
-                ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                data, offsets = strings(batch.column(1))
-                a = anchors(data, offsets)
-                lists = [b"".join(x) for x in batch.column(2).to_pylist()]
-                wanted = np.frombuffer(b"".join(lists), np.uint64)
-                of = np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists]).astype(np.uint64)
-                salt = np.uint64(0xA24BAED4963EE407)
-                kept = np.flatnonzero(np.isin(_mix(a.prints + a.doc.astype(np.uint64) * salt), _mix(wanted + of * salt)))
-                prints, doc, first, last = a.prints[kept], a.doc[kept], a.first[kept], a.last[kept]
-                if not len(kept):
-                    continue
-                owner = ids[doc]
-                # equal stretches: the same first and last string, as far apart; the smallest id stands for all
-                one, two = a.one[kept], a.two[kept] + (last - first).astype(np.uint64)
-                order = np.lexsort((owner, two, one))
-                new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
-                group = np.cumsum(new) - 1
-                least = owner[order][np.flatnonzero(new)][group]
-                decided = np.zeros(len(kept), bool)
-                decided[order] = owner[order] > least
-                marks = np.flatnonzero(decided)
-                span = last[marks] - first[marks] + 1
-                starts = np.repeat(first[marks] - offsets[doc[marks]] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
-                got, runs = _runs(np.repeat(owner[marks], span), starts)
-                out: list[tuple] = [(int(keys[i % parts]), i_, r, None) for i, (i_, r) in enumerate(zip(got, runs, strict=True))]
-                sent = np.flatnonzero(~decided)
-                for key, own in _bucket_blobs(prints[sent], keys):
-                    own = sent[own]
-                    size = last[own] - first[own] + LENGTH
-                    where = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    body = len(own).to_bytes(8, "little") + prints[own].tobytes() + owner[own].tobytes() + (first[own] - offsets[doc[own]]).astype(np.int64).tobytes() + size.astype(np.int64).tobytes() + data[where].tobytes()
-                    out.append((key, None, None, body))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
+        found, held = [], 0
+        for batch in batches:
+            packed = batch.column(1)
+            at = 0
+            while at < batch.num_rows:
+                stop, texts, total = at, [], 0
+                while stop < batch.num_rows and (not texts or total < BATCH_BYTES):
+                    texts += unzipped(packed.slice(stop, 1))
+                    total += len(texts[-1])
+                    stop += 1
+                new = wanted(batch, at, stop, texts)
+                at = stop
+                if len(new[0]):
+                    found.append(new)
+                    held += len(new[-1])
+                if held >= HELD_BYTES:
+                    yield send(found)
+                    found, held = [], 0
+        if found:
+            yield send(found)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
         gathered = []
         for batch in batches:
             ids, runs, bodies = (batch.column(i) for i in (1, 2, 3))
@@ -326,6 +360,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.binary())], ["id", "runs"])
             for body in bodies.to_pylist():
                 if body is not None:
+                    body = expand(body)
                     n = int.from_bytes(body[:8], "little")
                     gathered.append((*(np.frombuffer(body, k, n, 8 + 8 * n * i) for i, k in enumerate((np.uint64, np.int64, np.int64, np.int64))), np.frombuffer(body, np.uint8, -1, 8 + 32 * n)))
         if not gathered:
@@ -382,7 +417,7 @@ def _kept(data: bytes, spans: np.ndarray) -> bytes:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """keep, __text and __runs (null without any) of every row of docs."""
+    """keep, __zip (the text, zipped; null for null) and __runs (null without any) of every row of docs."""
     ship_package(docs.sparkSession)
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
@@ -392,8 +427,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
     runs = materialize(repeated_runs(rows, shared), "runs")
     free_shuffles(spark)
     found = runs.groupBy("id").agg(F.collect_list("runs").alias("__runs")).withColumnRenamed("id", "__key")
-    shown = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"), key.alias("__key"))
-    return shown.join(found, "__key", "left").drop("__key")
+    shown = zipped(docs.select(*keep, F.col(text_col).cast("string").alias("__text"), key.alias("__key")), "__text")
+    return shown.join(found, "__key", "left").select(*keep, "__zip", "__runs")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -402,17 +437,16 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "__text", BATCH_BYTES):
-                size, removed, spans, sums = [], [], [], []
-                for text, lists in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    data = text.encode()
-                    found = merged(lists, len(data))
-                    size.append(len(data))
-                    removed.append(int((found[:, 1] - found[:, 0]).sum()))
-                    spans.append(len(found))
-                    sums.append(hashlib.sha256(_kept(data, found)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(sums, pa.string())], names)
+        for batch in batches:
+            size, removed, spans, sums = [], [], [], []
+            for i, lists in enumerate(batch.column(2).to_pylist()):
+                data = unzipped(batch.column(1).slice(i, 1))[0] or b""
+                found = merged(lists, len(data))
+                size.append(len(data))
+                removed.append(int((found[:, 1] - found[:, 0]).sum()))
+                spans.append(len(found))
+                sums.append(hashlib.sha256(_kept(data, found)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(sums, pa.string())], names)
 
     kind = marked.schema[id_col].dataType.simpleString()
     return marked.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -421,23 +455,19 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes gone from text_col; characters that a cut leaves incomplete go with them. Null texts stay null."""
     names = docs.columns
-    marked = _marked(docs, id_col, text_col, names)
-    at = names.index(text_col)
+    others = [c for c in names if c != text_col]
+    marked = _marked(docs, id_col, text_col, others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, lists in zip(batch.column(at).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
-                if text is not None and lists:
-                    data = text.encode()
-                    text = _kept(data, merged(lists, len(data))).decode("utf-8", "ignore")
-                texts.append(text)
-            columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return marked.mapInArrow(run, schema)
+        for whole in batches:
+            for batch in slices(whole, "__zip", 1 << 20):
+                texts = []
+                for data, lists in zip(unzipped(batch.column(len(others))), batch.column(len(others) + 1).to_pylist(), strict=True):
+                    texts.append(None if data is None else _kept(data, merged(lists, len(data))).decode("utf-8", "ignore"))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string())], [*others, text_col])
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {text_col: "string"}
+    return marked.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*others, text_col])).select(names)
 
 
 def op6_suffix_repeats(spark, sf_dir: str) -> DataFrame:
