@@ -95,7 +95,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         if (name, stage) == STAGES[-1]:
-            return out  # reads its own tables and no stage's
+            if written:  # packing reads the tables it made, no longer its input
+                common.release(spark, [written])
+            return out
         path = f"{common.shared_dir(spark)}/quadrille-stage-{name}-{uuid.uuid4().hex}"
         out.write.parquet(path)
         if written:
