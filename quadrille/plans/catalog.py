@@ -1,4 +1,503 @@
-"""The registered queries of the statement engine and their SQL."""
+"""The registered queries of the statement engine, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrille import options as opt
+from quadrille.functions.terms import n3, quoted, split_iri
+from quadrille.operators import codec, graph, grouping, relational
+from quadrille.options import Options
+from quadrille.plans.mapping import BASE, CUSTOMER, DOCUMENTS, EVENTS, NATION, ORDERS, REGION, SCHEMA, SUPPLIER, Mapping, flat
+from quadrille.sources import datasource, ntriples, wire
+from quadrille.streaming.decode import decode_stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+COLUMNS = ["s", "p", "o_kind", "o_value", "o_lang", "o_datatype", "g_kind", "g_value"]
+_SHOWN = ", ".join(COLUMNS)
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return keep
+
+
+def statements(spark: SparkSession, sf_dir: str, mapping: Mapping, streams: int = 8) -> DataFrame:
+    return mapping.statements(spark.read.parquet(f"{sf_dir}/{mapping.table}.parquet"), streams)
+
+
+def _sql(mapping: Mapping) -> str:
+    return f"SELECT {_SHOWN} FROM ({mapping.sql()})"
+
+
+def _shared(spark: SparkSession, label: str) -> str:
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/quadrille-{label}-{uuid.uuid4().hex}"
+
+
+# ------------------------------------------------------------------ mapping, round trips
+
+
+for _m in (NATION, CUSTOMER, ORDERS, EVENTS, DOCUMENTS):
+
+    def _map(spark, sf_dir, m=_m):
+        return flat(statements(spark, sf_dir, m)).select(COLUMNS)
+
+    query(_sql(_m), f"map_{_m.table}")(_map)
+
+
+def round_trip(mapping: Mapping, options: Options, frame_size: int = 250, framing: str | None = None, group: str | None = None):
+    def run(spark, sf_dir):
+        frames = codec.encode(statements(spark, sf_dir, mapping), options, frame_size, framing, group)
+        return flat(codec.decode(frames)).select(COLUMNS)
+
+    return run
+
+
+for _name, _m, _o, _size in (
+    ("roundtrip_triples", ORDERS, Options.of("TRIPLES", "FLAT_TRIPLES"), 250),
+    ("roundtrip_quads", EVENTS, Options.of("QUADS", "FLAT_QUADS"), 250),
+    ("roundtrip_graphs", EVENTS, Options.of("GRAPHS", "FLAT_QUADS"), 250),
+    ("roundtrip_small_lookup", CUSTOMER, Options.of("TRIPLES", "FLAT_TRIPLES", "small"), 200),
+    ("roundtrip_tiny_lookup", CUSTOMER, Options.of("TRIPLES", "FLAT_TRIPLES", "tiny"), 4),
+    ("roundtrip_no_prefix", CUSTOMER, Options.of("TRIPLES", "FLAT_TRIPLES", "no_prefix"), 10_000),
+    ("roundtrip_frame1", NATION, Options.of("TRIPLES", "FLAT_TRIPLES"), 1),
+    ("roundtrip_text", DOCUMENTS, Options.of("TRIPLES", "FLAT_TRIPLES"), 250),
+):
+    query(_sql(_m), _name)(round_trip(_m, _o, _size))
+
+
+@query(_sql(ORDERS))
+def decode_relational(spark, sf_dir):
+    """The windows resolve what the encoder coded."""
+    frames = codec.encode(statements(spark, sf_dir, ORDERS), Options.of("TRIPLES", "FLAT_TRIPLES", "small"))
+    return flat(relational.resolve(codec.rows(frames))).select(COLUMNS)
+
+
+@query(_sql(EVENTS))
+def decode_relational_graphs(spark, sf_dir):
+    frames = codec.encode(statements(spark, sf_dir, EVENTS), Options.of("GRAPHS", "FLAT_QUADS", "small"))
+    return flat(relational.resolve(codec.rows(frames))).select(COLUMNS)
+
+
+@query(f"SELECT {_SHOWN.replace('g_kind', chr(39) + 'default' + chr(39) + ' AS g_kind')} FROM ({NATION.sql()})")
+def triples_as_quads(spark, sf_dir):
+    """Triples read as quads are in the default graph."""
+    frames = codec.encode(statements(spark, sf_dir, NATION), Options.of("TRIPLES", "FLAT_TRIPLES"))
+    return flat(codec.decode(frames, as_quads=True)).select(COLUMNS)
+
+
+@query(_sql(CUSTOMER))
+def roundtrip_bytes(spark, sf_dir):
+    """Whole streams as single values, as a message bus carries them."""
+    frames = codec.encode(statements(spark, sf_dir, CUSTOMER), Options.of("TRIPLES", "FLAT_TRIPLES"))
+    return flat(codec.statements_of(codec.from_bytes(codec.to_bytes(frames)))).select(COLUMNS)
+
+
+@query(_sql(CUSTOMER))
+def roundtrip_files(spark, sf_dir):
+    """Written by the data source, read by Spark's file reader."""
+    path = _shared(spark, "files")
+    datasource.write_statements(statements(spark, sf_dir, CUSTOMER), path, physicalType="TRIPLES", logicalType="FLAT_TRIPLES")
+    return flat(codec.statements_of(datasource.read_streams(spark, path))).select(COLUMNS)
+
+
+@query(_sql(EVENTS))
+def roundtrip_source(spark, sf_dir):
+    """Written and read by the data source."""
+    path = _shared(spark, "source")
+    datasource.write_statements(statements(spark, sf_dir, EVENTS), path, physicalType="QUADS", logicalType="FLAT_QUADS")
+    return flat(codec.statements_of(spark.read.format(datasource.FORMAT).option("logicalTypeStrict", "true").load(path))).select(COLUMNS)
+
+
+@query(_sql(EVENTS))
+def roundtrip_ntriples(spark, sf_dir):
+    """Text out and in again."""
+    lines = ntriples.lines(statements(spark, sf_dir, EVENTS))
+    return flat(ntriples.parse_lines(lines, quads=True)).select(COLUMNS)
+
+
+@query(f"SELECT '<< <' || s || '> <' || p || '> \"' || o_value || '\" >>' AS quoted, '{SCHEMA}statedIn' AS p, o_value AS o FROM ({NATION.sql()}) WHERE o_kind = 'literal'")
+def roundtrip_quoted(spark, sf_dir):
+    """Statements about statements."""
+    rows = statements(spark, sf_dir, NATION).where(F.col("o")["kind"] == "literal")
+    about = rows.withColumn("s", quoted(F.col("s"), F.col("p"), F.col("o"))).withColumn("p", F.col("p").withField("value", F.lit(SCHEMA + "statedIn")))
+    back = codec.decode(codec.encode(about, Options.of("TRIPLES", "FLAT_TRIPLES")))
+    return back.select(F.col("s")["value"].alias("quoted"), F.col("p")["value"].alias("p"), F.col("o")["value"].alias("o"))
+
+
+# ------------------------------------------------------------------ terms and coding
+
+
+_SPLIT = "CASE WHEN contains(v, '#') THEN regexp_extract(v, '[^#]*$') ELSE regexp_extract(v, '[^/]*$') END"
+
+
+@query(f"SELECT v AS iri, left(v, length(v) - length({_SPLIT})) AS prefix, {_SPLIT} AS name FROM (SELECT url AS v FROM pages UNION ALL SELECT p FROM ({ORDERS.sql()}))")
+def iri_split(spark, sf_dir):
+    urls = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("iri"))
+    rows = urls.union(statements(spark, sf_dir, ORDERS).select(F.col("p")["value"]))
+    prefix, name = split_iri(F.col("iri"))
+    return rows.select("iri", prefix.alias("prefix"), name.alias("name"))
+
+
+_N3 = "CASE WHEN o_kind = 'iri' THEN '<' || o_value || '>' WHEN o_lang IS NOT NULL THEN '\"' || o_value || '\"@' || o_lang WHEN o_datatype IS NOT NULL THEN '\"' || o_value || '\"^^<' || o_datatype || '>' ELSE '\"' || o_value || '\"' END"
+
+
+@query(f"SELECT '<' || s || '>' AS s, {_N3} AS o FROM ({DOCUMENTS.sql()} UNION ALL {CUSTOMER.sql()})")
+def term_n3(spark, sf_dir):
+    rows = statements(spark, sf_dir, DOCUMENTS).union(statements(spark, sf_dir, CUSTOMER))
+    return rows.select(n3(F.col("s")).alias("s"), n3(F.col("o")).alias("o"))
+
+
+def _accesses_sql(m: Mapping) -> str:
+    n = len(m.fields)
+    return f"""b AS (SELECT *, '{m.table}-' || CAST((row_idx // {n}) % 8 AS VARCHAR) AS stream_id FROM ({m.sql()})),
+    l AS (SELECT *, lag(s) OVER w AS s1, lag(p) OVER w AS p1, lag(o_kind) OVER w AS k1, lag(o_value) OVER w AS o1 FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY row_idx)),
+    met AS (SELECT stream_id, row_idx, 0 AS slot, s AS v FROM l WHERE s IS DISTINCT FROM s1
+            UNION ALL SELECT stream_id, row_idx, 1, p FROM l WHERE p IS DISTINCT FROM p1
+            UNION ALL SELECT stream_id, row_idx, 2, o_value FROM l WHERE o_kind = 'iri' AND (o_value IS DISTINCT FROM o1 OR o_kind IS DISTINCT FROM k1)),
+    acc AS (SELECT stream_id, row_idx, slot, v AS iri, left(v, length(v) - length({_SPLIT})) AS prefix, {_SPLIT} AS name FROM met)"""
+
+
+def _dict_sql(column: str) -> str:
+    return f"SELECT stream_id, {column} AS value, row_number() OVER (PARTITION BY stream_id ORDER BY min(row_idx * 4 + slot)) AS id FROM acc GROUP BY stream_id, {column}"
+
+
+@query(f"WITH {_accesses_sql(ORDERS)} {_dict_sql('name')}")
+def dict_names(spark, sf_dir):
+    return relational.dictionary(relational.iri_accesses(statements(spark, sf_dir, ORDERS)), "name")
+
+
+@query(f"WITH {_accesses_sql(ORDERS)} {_dict_sql('prefix')}")
+def dict_prefixes(spark, sf_dir):
+    return relational.dictionary(relational.iri_accesses(statements(spark, sf_dir, ORDERS)), "prefix")
+
+
+@query(f"""WITH {_accesses_sql(ORDERS)}, n AS ({_dict_sql('name')}), p AS ({_dict_sql('prefix')}),
+    c AS (SELECT acc.stream_id, row_idx, slot, iri, p.id AS prefix_id, n.id AS name_id FROM acc JOIN n ON n.stream_id = acc.stream_id AND n.value = acc.name JOIN p ON p.stream_id = acc.stream_id AND p.value = acc.prefix)
+    SELECT stream_id, row_idx, slot, iri, prefix_id, name_id, CASE WHEN prefix_id IS NOT DISTINCT FROM lag(prefix_id) OVER w THEN 0 ELSE prefix_id END AS prefix_code,
+    CASE WHEN name_id = coalesce(lag(name_id) OVER w, 0) + 1 THEN 0 ELSE name_id END AS name_code FROM c WINDOW w AS (PARTITION BY stream_id ORDER BY row_idx, slot)""")
+def delta_codes(spark, sf_dir):
+    return relational.delta_codes(relational.iri_accesses(statements(spark, sf_dir, ORDERS)))
+
+
+_STREAMED = f"SELECT *, 'events-' || CAST((row_idx // 3) % 8 AS VARCHAR) AS stream_id FROM ({EVENTS.sql()})"
+
+
+@query(f"""SELECT stream_id, row_idx, coalesce(s = lag(s) OVER w, false) AS same_s, coalesce(p = lag(p) OVER w, false) AS same_p,
+    coalesce(o_value = lag(o_value) OVER w AND o_datatype = lag(o_datatype) OVER w, false) AS same_o, coalesce(g_kind = lag(g_kind) OVER w AND g_value IS NOT DISTINCT FROM lag(g_value) OVER w, false) AS same_g
+    FROM ({_STREAMED}) WINDOW w AS (PARTITION BY stream_id ORDER BY row_idx)""")
+def repeated_terms(spark, sf_dir):
+    return relational.repeated_terms(statements(spark, sf_dir, EVENTS)).select("stream_id", "row_idx", "same_s", "same_p", "same_o", "same_g")
+
+
+@query(f"""SELECT stream_id, row_idx, g_value AS g, CAST(sum(new) OVER (PARTITION BY stream_id ORDER BY row_idx) AS BIGINT) AS run FROM (
+    SELECT *, CASE WHEN lag(1) OVER w IS NULL OR g_value IS NOT DISTINCT FROM lag(g_value) OVER w THEN 0 ELSE 1 END AS new FROM ({_STREAMED}) WINDOW w AS (PARTITION BY stream_id ORDER BY row_idx))""")
+def split_to_graphs(spark, sf_dir):
+    return relational.graph_runs(statements(spark, sf_dir, EVENTS)).select("stream_id", "row_idx", F.col("g")["value"].alias("g"), "run")
+
+
+@query(f"SELECT g_value AS graph, s, p, o_value AS o FROM ({EVENTS.sql()})")
+def graphs_unpacked(spark, sf_dir):
+    """A dataset as triples, graph by graph."""
+    rows = grouping.unpacked_graphs(statements(spark, sf_dir, EVENTS))
+    back = rows.where("g IS NULL")
+    return back.select(F.col("graph")["value"].alias("graph"), F.col("s")["value"].alias("s"), F.col("p")["value"].alias("p"), F.col("o")["value"].alias("o"))
+
+
+@query(f"""WITH {_accesses_sql(ORDERS)} SELECT 'triple' AS row_kind, (SELECT count(*) FROM b) AS n UNION ALL SELECT 'options', 8
+    UNION ALL SELECT 'name', (SELECT count(*) FROM (SELECT DISTINCT stream_id, name FROM acc)) UNION ALL SELECT 'prefix', (SELECT count(*) FROM (SELECT DISTINCT stream_id, prefix FROM acc))
+    UNION ALL SELECT 'datatype', (SELECT count(*) FROM (SELECT DISTINCT stream_id, o_datatype FROM b WHERE o_datatype IS NOT NULL))""")
+def row_kind_counts(spark, sf_dir):
+    """Rows that the encoder writes, with tables that do not overflow (4096 names a stream: streams grow with the data)."""
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    rows = statements(spark, sf_dir, ORDERS)
+    if n > 16_000:  # names would overflow 8 streams' tables; entries then repeat, so count first appearances instead
+        acc = relational.iri_accesses(rows)
+        parts = [rows.agg(F.count(F.lit(1))).select(F.lit("triple").alias("row_kind"), F.col("count(1)").alias("n"))]
+        parts += [relational.dictionary(acc, c).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("row_kind"), "n") for c in ("name", "prefix")]
+        parts.append(rows.where("o.datatype IS NOT NULL").select("stream_id", "o.datatype").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("datatype").alias("row_kind"), "n"))
+        parts.append(rows.select("stream_id").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("options").alias("row_kind"), "n"))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.union(p)
+        return out
+    frames = codec.encode(rows, Options.of("TRIPLES", "FLAT_TRIPLES", names=4096, prefixes=150))
+    return codec.rows(frames).groupBy("row_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ framing and grouping
+
+
+@query("""WITH RECURSIVE w AS (SELECT o_orderkey // 500 AS stream, o_orderkey AS row_idx, o_orderkey % 3 + 1 AS n_rows, row_number() OVER (PARTITION BY o_orderkey // 500 ORDER BY o_orderkey) AS k FROM orders),
+    f AS (SELECT stream, row_idx, k, CASE WHEN 1 + n_rows >= 20 THEN 0 ELSE 1 + n_rows END AS fill, CAST(0 AS BIGINT) AS frame_idx, CASE WHEN 1 + n_rows >= 20 THEN 1 ELSE 0 END AS next FROM w WHERE k = 1
+    UNION ALL SELECT w.stream, w.row_idx, w.k, CASE WHEN f.fill + w.n_rows >= 20 THEN 0 ELSE f.fill + w.n_rows END, CAST(f.next AS BIGINT), CASE WHEN f.fill + w.n_rows >= 20 THEN f.next + 1 ELSE f.next END FROM f JOIN w ON w.stream = f.stream AND w.k = f.k + 1)
+    SELECT CAST(stream AS VARCHAR) AS stream_id, row_idx, frame_idx FROM f""")
+def frames_bounded(spark, sf_dir):
+    """Statements that weigh 1 to 3 rows, in frames of 20 rows."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor(F.col("o_orderkey") / 500).cast("string").alias("stream_id"), F.col("o_orderkey").alias("row_idx"), (F.col("o_orderkey") % 3 + 1).alias("n_rows"))
+    return relational.bounded_frames(rows, 20)
+
+
+@query(f"WITH r AS (SELECT stream_id, row_idx, CAST(sum(new) OVER (PARTITION BY stream_id ORDER BY row_idx) AS BIGINT) AS frame_idx FROM (SELECT *, CASE WHEN lag(1) OVER w IS NULL OR g_value IS NOT DISTINCT FROM lag(g_value) OVER w THEN 0 ELSE 1 END AS new FROM ({_STREAMED}) WINDOW w AS (PARTITION BY stream_id ORDER BY row_idx))) SELECT stream_id, frame_idx, count(*) AS n FROM r GROUP BY ALL")
+def frames_per_graph(spark, sf_dir):
+    """A frame for each run of a graph."""
+    rows = relational.graph_runs(statements(spark, sf_dir, EVENTS))
+    frames = codec.encode(rows, Options.of("GRAPHS", "NAMED_GRAPHS"), framing="graph", group="run")
+    return grouping.per_frame(frames, codec.decode(frames))
+
+
+_BY_STREAM = f"SELECT *, 'customer-' || CAST((row_idx // 4) % 8 AS VARCHAR) AS stream_id, row_idx // 4000 AS d FROM ({CUSTOMER.sql()})"
+
+
+@query(f"SELECT stream_id, dense_rank() OVER (PARTITION BY stream_id ORDER BY d) - 1 AS frame_idx, count(*) AS n FROM ({_BY_STREAM}) GROUP BY stream_id, d")
+def frames_per_dataset(spark, sf_dir):
+    """A frame for each thousand customers of a stream."""
+    rows = statements(spark, sf_dir, CUSTOMER).withColumn("d", F.floor(F.col("row_idx") / 4000)).withColumn("g", F.struct(F.lit("default").alias("kind"), *(F.lit(None).cast("string").alias(c) for c in ("value", "lang", "datatype"))))
+    frames = codec.encode(rows, Options.of("QUADS", "DATASETS"), framing="dataset", group="d")
+    return grouping.per_frame(frames, codec.decode(frames))
+
+
+@query(f"SELECT stream_id, dense_rank() OVER (PARTITION BY stream_id ORDER BY d) - 1 AS frame_idx, CAST(dense_rank() OVER (PARTITION BY stream_id ORDER BY d) - 1 AS VARCHAR) AS note, CAST(count(*) AS INT) AS n FROM ({_BY_STREAM}) GROUP BY stream_id, d")
+def frame_metadata(spark, sf_dir):
+    """Metadata written into frames, read back with each frame's size."""
+    rows = statements(spark, sf_dir, CUSTOMER).withColumn("d", F.floor(F.col("row_idx") / 4000))
+    frames = codec.encode(rows, Options.of("TRIPLES", "GRAPHS"), framing="graph", group="d")
+    noted = codec.with_metadata(frames, F.create_map(F.lit("note"), F.col("frame_idx").cast("string").cast("binary")))
+    return codec.frame_metadata(noted).select("stream_id", "frame_idx", F.col("metadata")["note"].cast("string").alias("note"), F.col("n_statements").alias("n"))
+
+
+@query("SELECT prefix, iri FROM (VALUES ('ex', 'http://example.org/'), ('sch', 'http://example.org/schema#')) t(prefix, iri)")
+def namespaces_last_bind(spark, sf_dir):
+    """The last declaration of a prefix wins."""
+    given = [("ex", "http://old.example.org/"), ("sch", SCHEMA), ("ex", BASE)]
+    frames = codec.encode(statements(spark, sf_dir, REGION, 1), Options.of("TRIPLES", "FLAT_TRIPLES", namespaces=True), namespaces=given)
+    return codec.last_namespaces(codec.decode_events(frames)).select("prefix", "iri")
+
+
+@query(f"SELECT g_value AS g, count(*) AS n FROM ({EVENTS.sql()}) GROUP BY g_value")
+def graphs_hash_grouped(spark, sf_dir):
+    return grouping.per_graph(statements(spark, sf_dir, EVENTS)).select(F.col("g")["value"].alias("g"), "n")
+
+
+@query(f"WITH r AS (SELECT stream_id, CAST(sum(new) OVER (PARTITION BY stream_id ORDER BY row_idx) AS BIGINT) AS frame_idx FROM (SELECT *, CASE WHEN lag(1) OVER w IS NULL OR g_value IS NOT DISTINCT FROM lag(g_value) OVER w THEN 0 ELSE 1 END AS new FROM ({_STREAMED}) WINDOW w AS (PARTITION BY stream_id ORDER BY row_idx))) SELECT stream_id, frame_idx, count(*) AS n FROM r GROUP BY ALL ORDER BY stream_id, frame_idx LIMIT 50")
+def count_per_graph_first50(spark, sf_dir):
+    """Statements in each of the first 50 graphs."""
+    return frames_per_graph(spark, sf_dir).orderBy("stream_id", "frame_idx").limit(50)
+
+
+@query(f"SELECT DISTINCT {_SHOWN} FROM (SELECT * FROM ({NATION.sql()}) UNION ALL SELECT * FROM ({NATION.sql()}))")
+def dedup_set(spark, sf_dir):
+    once = statements(spark, sf_dir, NATION)
+    return flat(grouping.as_set(once.union(once)).withColumn("row_idx", F.lit(0))).select(COLUMNS)
+
+
+# ------------------------------------------------------------------ validation tables
+
+
+def _constant(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+_PHYS = "(VALUES ('UNSPECIFIED'), ('TRIPLES'), ('QUADS'), ('GRAPHS')) p(physical)"
+_LOG = "(VALUES ('UNSPECIFIED', 0), ('FLAT_TRIPLES', 1), ('FLAT_QUADS', 2), ('GRAPHS', 3), ('DATASETS', 4), ('SUBJECT_GRAPHS', 13), ('NAMED_GRAPHS', 14), ('TIMESTAMPED_NAMED_GRAPHS', 114)) l(logical, code)"
+
+
+@query(f"SELECT physical, logical, physical = 'UNSPECIFIED' OR logical = 'UNSPECIFIED' OR (physical = 'TRIPLES') = (logical IN ('GRAPHS', 'SUBJECT_GRAPHS', 'FLAT_TRIPLES')) AS ok FROM {_PHYS}, {_LOG}")
+def type_matrix(spark, sf_dir):
+    return _constant(spark, [(p, q, opt.compatible(i, j)) for p, i in opt.PHYSICAL.items() for q, j in opt.LOGICAL.items()], "physical string, logical string, ok boolean")
+
+
+@query(f"SELECT logical, mode, CASE WHEN mode = 'flat' THEN logical IN ('FLAT_TRIPLES', 'FLAT_QUADS') ELSE logical NOT IN ('FLAT_TRIPLES', 'FLAT_QUADS', 'UNSPECIFIED') END AS ok FROM {_LOG}, (VALUES ('flat'), ('grouped')) m(mode)")
+def strict_matrix(spark, sf_dir):
+    def ok(logical, mode):
+        try:
+            opt.check_strict(logical, mode)
+        except opt.ConformanceError:
+            return False
+        return True
+
+    return _constant(spark, [(q, m, ok(j, m)) for q, j in opt.LOGICAL.items() for m in ("flat", "grouped")], "logical string, mode string, ok boolean")
+
+
+@query(f"SELECT logical, CASE code % 10 WHEN 1 THEN 'rows' WHEN 2 THEN 'rows' WHEN 3 THEN 'graph' WHEN 4 THEN 'dataset' END AS framing FROM {_LOG} WHERE code > 0")
+def flow_for_type(spark, sf_dir):
+    return _constant(spark, [(q, opt.framing_for(j)) for q, j in opt.LOGICAL.items() if j], "logical string, framing string")
+
+
+@query("SELECT namespaces, CASE WHEN namespaces THEN 2 ELSE 1 END AS version FROM (VALUES (true), (false)) t(namespaces)")
+def version_rule(spark, sf_dir):
+    return _constant(spark, [(n, opt.version_for(n)) for n in (True, False)], "namespaces boolean, version int")
+
+
+@query(f"SELECT logical, has_graphs, CASE WHEN has_graphs AND code % 10 <> 3 THEN 'QUADS' ELSE 'TRIPLES' END AS physical FROM {_LOG}, (VALUES (true), (false)) t(has_graphs)")
+def guess_stream(spark, sf_dir):
+    return _constant(spark, [(q, h, opt.guess_physical(j, h)) for q, j in opt.LOGICAL.items() for h in (True, False)], "logical string, has_graphs boolean, physical string")
+
+
+@query("SELECT a, b, c, a <> 10 OR (b = 10 AND c <> 10) AS delimited FROM (VALUES (0), (10), (17)) x(a), (VALUES (0), (10), (17)) y(b), (VALUES (0), (10), (17)) z(c)")
+def delimited_hint(spark, sf_dir):
+    values = (0, 10, 17)
+    return _constant(spark, [(a, b, c, wire.is_delimited(bytes((a, b, c)))) for a in values for b in values for c in values], "a int, b int, c int, delimited boolean")
+
+
+# ------------------------------------------------------------------ patterns and graphs
+
+
+@query(f"SELECT DISTINCT c_mktsegment AS o FROM customer")
+def predicate_distinct(spark, sf_dir):
+    """Distinct objects of a predicate, of decoded statements."""
+    frames = codec.encode(statements(spark, sf_dir, CUSTOMER), Options.of("TRIPLES", "FLAT_TRIPLES"))
+    found = graph.pattern(codec.decode(frames), o="o", predicate_iri=SCHEMA + "c_mktsegment")
+    return found.select(F.col("o")["value"].alias("o")).distinct()
+
+
+@query()
+def approx_distinct(spark, sf_dir):
+    """Approximate count of the customers that orders name."""
+    found = graph.pattern(statements(spark, sf_dir, ORDERS), o="o", predicate_iri=SCHEMA + "o_custkey")
+    return found.agg(F.approx_count_distinct(F.col("o")["value"]).alias("n"))
+
+
+@query(f"SELECT count(DISTINCT o_custkey) AS n FROM orders")
+def count_distinct_objects(spark, sf_dir):
+    found = graph.pattern(statements(spark, sf_dir, ORDERS), o="o", predicate_iri=SCHEMA + "o_custkey")
+    return found.agg(F.count_distinct(F.col("o")["value"]).alias("n"))
+
+
+def _bgp(spark, sf_dir, how):
+    orders, customers = statements(spark, sf_dir, ORDERS), statements(spark, sf_dir, CUSTOMER)
+    who = graph.pattern(orders, s="order", o="customer", predicate_iri=SCHEMA + "o_custkey")
+    where = graph.pattern(customers.where(F.col("o")["value"] != "BUILDING"), s="customer", o="segment", predicate_iri=SCHEMA + "c_mktsegment")
+    out = graph.join(who, where, how)
+    return out.select(*(F.col(c)["value"].alias(c if c != "order" else "o") for c in out.columns))
+
+
+_OC = f"'{BASE}orders/' || CAST(o_orderkey AS VARCHAR) AS o, '{BASE}customer/' || CAST(o_custkey AS VARCHAR) AS customer"
+query(f"SELECT {_OC}, c_mktsegment AS segment FROM orders JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'BUILDING'", "bgp_join")(lambda spark, sf_dir: _bgp(spark, sf_dir, "inner"))
+query(f"SELECT {_OC}, c_mktsegment AS segment FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'BUILDING'", "bgp_left")(lambda spark, sf_dir: _bgp(spark, sf_dir, "left"))
+query(f"SELECT {_OC} FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')", "bgp_semi")(lambda spark, sf_dir: _bgp(spark, sf_dir, "left_semi"))
+query(f"SELECT {_OC} FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')", "bgp_anti")(lambda spark, sf_dir: _bgp(spark, sf_dir, "left_anti"))
+
+
+_PAIR = f"SELECT '{BASE}customer/' || CAST(o_custkey AS VARCHAR) AS x, o_orderstatus AS y FROM orders"
+
+
+@query(f"SELECT x AS a, y AS b FROM ({_PAIR}) UNION ALL SELECT y, x FROM ({_PAIR})")
+def pairing_join(spark, sf_dir):
+    out = graph.pairing(statements(spark, sf_dir, ORDERS), SCHEMA + "o_custkey", SCHEMA + "o_orderstatus")
+    return out.select(F.col("a")["value"].alias("a"), F.col("b")["value"].alias("b"))
+
+
+@query(f"SELECT p, count(*) AS n FROM ({ORDERS.sql()}) WHERE p NOT IN ('{SCHEMA}o_custkey', '{SCHEMA}o_orderstatus') GROUP BY p")
+def removal(spark, sf_dir):
+    """Statements left once some predicates are removed."""
+    kept = graph.without(statements(spark, sf_dir, ORDERS), [SCHEMA + "o_custkey", SCHEMA + "o_orderstatus"])
+    return kept.groupBy(F.col("p")["value"].alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _links(spark, sf_dir, *mappings):
+    out = None
+    for m in mappings:
+        rows = statements(spark, sf_dir, m).where(F.col("o")["kind"] == "iri")
+        out = rows if out is None else out.union(rows)
+    return graph.edges(out)
+
+
+def _edges_sql(*mappings: Mapping) -> str:
+    every = " UNION ALL ".join(f"SELECT s, o_value AS o FROM ({m.sql()}) WHERE o_kind = 'iri'" for m in mappings)
+    return f"SELECT DISTINCT least(s, o) AS a, greatest(s, o) AS b FROM ({every})"
+
+
+@query(_edges_sql(ORDERS, CUSTOMER, NATION))
+def edges_undirected(spark, sf_dir):
+    return _links(spark, sf_dir, ORDERS, CUSTOMER, NATION)
+
+
+@query(f"SELECT node, count(*) AS degree FROM (SELECT a AS node FROM ({_edges_sql(ORDERS, CUSTOMER, NATION)}) UNION ALL SELECT b FROM ({_edges_sql(ORDERS, CUSTOMER, NATION)})) GROUP BY node ORDER BY degree DESC, node LIMIT 5")
+def degree_topk(spark, sf_dir):
+    return graph.degrees(_links(spark, sf_dir, ORDERS, CUSTOMER, NATION)).orderBy(F.desc("degree"), "node").limit(5)
+
+
+_SMALL = _edges_sql(SUPPLIER, NATION)
+
+
+@query(f"""WITH RECURSIVE e AS ({_SMALL}), d AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, near) AS (SELECT a, a FROM d UNION SELECT r.node, d.b FROM r JOIN d ON d.a = r.near)
+    SELECT node, min(near) AS component FROM r GROUP BY node""")
+def connected_components(spark, sf_dir):
+    return graph.components(_links(spark, sf_dir, SUPPLIER, NATION))
+
+
+@query(f"""WITH t AS (SELECT s_suppkey, s_nationkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 0 ORDER BY s_suppkey LIMIT 1)
+    SELECT 0 AS step, '{BASE}region/0' AS node UNION ALL SELECT 1, '{BASE}nation/' || CAST(s_nationkey AS VARCHAR) FROM t UNION ALL SELECT 2, '{BASE}supplier/' || CAST(s_suppkey AS VARCHAR) FROM t""")
+def shortest_path(spark, sf_dir):
+    """From region 0 to its supplier with the smallest key."""
+    supplier, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
+    least = supplier.join(nation.where("n_regionkey = 0"), F.col("n_nationkey") == F.col("s_nationkey")).agg(F.min("s_suppkey")).first()[0]
+    return graph.shortest_path(_links(spark, sf_dir, SUPPLIER, NATION), f"{BASE}region/0", f"{BASE}supplier/{least}")
+
+
+@query(f"WITH e AS ({_SMALL}), n AS (SELECT node FROM (SELECT a AS node FROM e UNION SELECT b FROM e) ORDER BY node LIMIT 40) SELECT a, b FROM e WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n)")
+def induced_subgraph(spark, sf_dir):
+    """The subgraph of the first 40 nodes."""
+    e = _links(spark, sf_dir, SUPPLIER, NATION)
+    nodes = graph.degrees(e).select("node").orderBy("node").limit(40)
+    return graph.induced(e, nodes)
+
+
+# ------------------------------------------------------------------ sets of streams, Structured Streaming
+
+
+@query(f"{_sql(NATION)} UNION ALL {_sql(REGION)}")
+def union_streams(spark, sf_dir):
+    return flat(statements(spark, sf_dir, NATION).unionByName(statements(spark, sf_dir, REGION))).select(COLUMNS)
+
+
+_PART = f"SELECT {_SHOWN} FROM ({NATION.sql()}) WHERE row_idx < 20"
+
+
+def _halves(spark, sf_dir):
+    rows = flat(statements(spark, sf_dir, NATION))
+    return rows.select(COLUMNS), rows.where("row_idx < 20").select(COLUMNS)
+
+
+@query(f"{_sql(NATION)} INTERSECT {_PART}")
+def intersect_streams(spark, sf_dir):
+    whole, part = _halves(spark, sf_dir)
+    return whole.intersect(part)
+
+
+@query(f"{_sql(NATION)} EXCEPT {_PART}")
+def except_streams(spark, sf_dir):
+    whole, part = _halves(spark, sf_dir)
+    return whole.exceptAll(part)
+
+
+@query(_sql(CUSTOMER))
+def stream_flat_decode(spark, sf_dir):
+    """Frames that arrive as files over several triggers, decoded with state kept between them."""
+    path = _shared(spark, "arrivals")
+    codec.encode(statements(spark, sf_dir, CUSTOMER), Options.of("TRIPLES", "FLAT_TRIPLES")).write.parquet(path)
+    arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    name, checkpoint, sink = f"decoded_{uuid.uuid4().hex}", _shared(spark, "progress"), _shared(spark, "decoded")
+    run = decode_stream(arriving).writeStream.queryName(name).outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(sink).select(COLUMNS)
+
+
+@query("SELECT g_value AS g, start, count(*) AS n FROM (SELECT 'http://example.org/graph/' || event_type AS g_value, date_trunc('hour', ts) AS start FROM events) GROUP BY g_value, start")
+def window_counts(spark, sf_dir):
+    """Time windows over decoded statements: events by graph and hour."""
+    rows = statements(spark, sf_dir, EVENTS).where(F.col("p")["value"] == SCHEMA + "ts")
+    at = F.to_timestamp_ntz(F.col("o")["value"], F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    return rows.groupBy(F.col("g")["value"].alias("g"), F.date_trunc("hour", at).cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("n"))
