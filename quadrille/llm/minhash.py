@@ -10,7 +10,7 @@ Equal sets are one class from the start. No bucket's pairs are listed at once:
 1. in every bucket each class is compared with the bucket's smallest class, on full sets, and components are formed;
 2. buckets whose classes are in one component are done. Classes that share the others, directly or through further
    classes, make a block. In each block the classes outside its largest component are held against all of it by their
-   signatures, and what agrees in ALIKE of the coordinates is compared on full sets: first the PARTNERS best, then, once
+   signatures, CHECKED coordinates long, and what agrees in ALIKE of them is compared on full sets: first the PARTNERS best, then, once
    components are formed again, all that are still apart.
 
 Only what joins different components is ever compared, so a group of copies costs a few comparisons a copy. Sets are read only for
@@ -35,8 +35,10 @@ PERCENT = 80
 ROWS = 6
 BANDS = 36
 CIRCLE_BITS = 18
-#: Linked pairs agree in a share of their coordinates near 0.8 or above, give or take 0.027: this is 3.7 times that below.
-ALIKE = 0.7
+#: Classes of an unsettled block are held against each other by CHECKED coordinates, of which linked pairs agree in a share
+#: of about 0.8 or more, give or take 0.0125: ALIKE is 4 times that below.
+CHECKED = 1024
+ALIKE = 0.75
 #: Best partners a class (and chunk) that are compared before components are formed again and the rest follow.
 PARTNERS = 16
 CHUNK = 4096
@@ -168,10 +170,10 @@ def _alike(n, m, percent: int):
 
 
 def coordinates(rows: DataFrame) -> DataFrame:
-    """rep, block and the low byte of each signature coordinate, of rows (rep, hashes, block)."""
+    """rep, block and the low byte of each of CHECKED signature coordinates, of rows (rep, hashes, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        circle = circulant(ROWS * BANDS)
+        circle = circulant(CHECKED)
         for batch in batches:
             found = [circle.signature(np.array(h, np.int64).astype(np.uint64)).astype(np.uint8).tobytes() for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["rep", "block", "signature"])
