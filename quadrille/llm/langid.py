@@ -20,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from .common import crc_bucket, ship_package, slices
+from .common import crc_bucket, ship_package, slices, smallest_hashes
 
 BITS = 15
 PER_LANG = 300
@@ -105,10 +105,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     if train is not None:
         rows = rows.where(train)
-    # A row limit per window group is applied before the shuffle too, so a hot language moves few rows.
-    by_lang = Window.partitionBy("lang").orderBy("rank_hash", "id")
     ids = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("rank_hash"))
-    picked = ids.withColumn("n", F.row_number().over(by_lang)).where(F.col("n") <= PER_LANG).select("id", "rank_hash")
+    picked = smallest_hashes(ids, "lang", PER_LANG, ["rank_hash", "id"]).select("id", "rank_hash")
     sample = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # at most PER_LANG rows a language
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +139,7 @@ def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id",
                         langs[i], scores[i] = model.langs[b], float(s)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in shown.schema.fields}
-    out = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
+    out = T.StructType([*shown.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return shown.mapInArrow(run, out)
 
 
