@@ -21,14 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from .common import crc_bucket, ship_package, slices, table
+from .common import crc_bucket, ship_package, slices, smallest_hashes, table
 
 WORD_BITS = 16
 BINS = 12
 RANK = 8
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 EPOCHS = 12
 META_BINS = 24
 _MOST_MEMO = 400_000
@@ -157,8 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("label"))
     if train is not None:
         known = known.where(train)
-    by_label = Window.partitionBy("label").orderBy("h", id_col)
-    known = known.withColumn("h", F.xxhash64(F.col(id_col).cast("string"))).withColumn("n", F.row_number().over(by_label)).where(F.col("n") <= TRAIN_ROWS // 2)
+    known = smallest_hashes(known.withColumn("h", F.xxhash64(F.col(id_col).cast("string"))), "label", TRAIN_ROWS // 2, ["h", id_col])
     sample = docs.select(id_col, F.col(text_col).cast("string").alias("text"), *(F.col(c).cast("double").alias(f"m_{i}") for i, c in enumerate(meta_cols))).join(F.broadcast(known.select(id_col, "label", "h")), id_col)  # at most TRAIN_ROWS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +184,8 @@ def score(docs: DataFrame, model: FactorisationMachine, keep: list[str], text_co
                 scores = model.score([features(t or "", tuple(m[i] for m in meta)) for i, t in enumerate(batch.column(k).to_pylist())])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in shown.schema.fields}
-    return shown.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double", "predicted int"]))
+    out = T.StructType([*shown.schema.fields[:k], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return shown.mapInArrow(run, out)
 
 
 def op2_quality_fm(spark, sf_dir: str) -> DataFrame:
