@@ -79,10 +79,9 @@ def store_map(slot_map: DataFrame, path: str) -> DataFrame:
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A stored version, the latest by default."""
     every = spark.read.schema("virtual_slot int, shard int, bytes long, n_rows long, version int").parquet(path)
-    if version is not None:
-        return every.where(F.col("version") == version)
-    latest = every.agg(F.max("version").alias("version"))
-    return every.join(F.broadcast(latest), "version", "left_semi")
+    if version is None:
+        version = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == F.lit(version))
 
 
 def place_rows(rows: DataFrame, parts: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFrame:
