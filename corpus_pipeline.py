@@ -43,24 +43,27 @@ def _stage(work):
     return run_stage
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """The text, and the whole row as one column, so that no column's name can clash with an operator's."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), F.col("text"))
+
+
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.fit(docs)
-    found = langid.predict(docs.withColumnRenamed("lang", "lang_given"), model, keep=["lang_given" if c == "lang" else c for c in docs.columns])
-    known = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
-    return known.withColumnRenamed("lang_given", "lang").select(docs.columns)
+    found = langid.predict(_wrapped(docs), langid.fit(docs), keep=["__row"])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("__row.*")
 
 
 @_stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, docs.columns).where("predicted = 1").select(docs.columns)
+    return quality.score(_wrapped(docs), model, ["__row"]).where("predicted = 1").select("__row.*")
 
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicates(docs, words=SHINGLE_WORDS).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
+    kept = minhash.near_duplicates(docs, words=SHINGLE_WORDS).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
 @_stage

@@ -12,7 +12,8 @@ all suffixes that can match each other that far, and a suffix array of the part
    next smaller values) give its longest previous factor, by range minima over the common prefixes of neighbours.
 3. Suffixes whose longest previous factor reaches LENGTH mark their bytes; marks are joined by document and removed.
 
-Ids order documents; rows of one id never remove each other's bytes, and null ids come last. Null and empty texts have no bytes and
+Ids order documents. Rows of one id are repeated rows, so they hold one text; they never remove each other's bytes. Null
+ids come last, and there may be one. Null and empty texts have no bytes and
 no spans; extra columns are ignored.
 """
 
