@@ -110,7 +110,7 @@ class _Columns:
 
 def _structs(values: list[tuple | None], kind: pa.StructType) -> pa.Array:
     parts = [pa.array([None if v is None else v[i] for v in values], kind.field(i).type) for i in range(kind.num_fields)]
-    return pa.StructArray.from_arrays(parts, fields=[kind.field(i) for i in range(kind.num_fields)], mask=pa.array([v is None for v in values]))
+    return pa.StructArray.from_arrays(parts, fields=[kind.field(i) for i in range(kind.num_fields)], mask=pa.array([v is None for v in values], pa.bool_()))
 
 
 def events_of(stream: str, frames: Iterator[bytes], as_quads: bool = False, check=None) -> Iterator[pa.RecordBatch]:

@@ -263,12 +263,15 @@ def split_frames(data: bytes) -> Iterator[bytes]:
 
 def read_frames(stream) -> Iterator[bytes]:
     """The frames of a binary file object, one in memory at a time; it need not be seekable."""
-    head = stream.read(3)
+    head = b""
+    while len(head) < 3 and (more := stream.read(3 - len(head))):
+        head += more
     if not is_delimited(head):
-        rest = stream.read()
-        if not head + rest:
+        while more := stream.read(1 << 20):
+            head += more
+        if not head:
             raise ConformanceError("the stream holds no frame")
-        yield head + rest
+        yield head
         return
     buffer = head
     while True:
