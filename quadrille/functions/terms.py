@@ -51,6 +51,18 @@ def n3(term: Column, escape: bool = False) -> Column:
     return F.when(kind == "iri", F.concat(F.lit("<"), term["value"], F.lit(">"))).when(kind == "bnode", F.concat(F.lit("_:"), term["value"])).when(kind == "literal", shown).when(kind == "triple", term["value"]).when(kind == "default", F.lit(""))
 
 
+def debug_text(term: Column) -> Column:
+    """Text for logs that names the kind and all parts; absent parts show as None."""
+
+    def shown(part: str) -> Column:
+        return F.coalesce(F.concat(F.lit("'"), term[part], F.lit("'")), F.lit("None"))
+
+    kind, value = term["kind"], term["value"]
+    literal_text = F.concat(F.lit("Literal("), shown("value"), F.lit(", langtag="), shown("lang"), F.lit(", datatype="), shown("datatype"), F.lit(")"))
+    named = F.when(kind == "iri", F.concat(F.lit("IRI("), value, F.lit(")"))).when(kind == "bnode", F.concat(F.lit("BlankNode(identifier="), value, F.lit(")")))
+    return named.when(kind == "literal", literal_text).when(kind == "triple", F.concat(F.lit("Triple("), value, F.lit(")"))).when(kind == "default", F.lit("DefaultGraph()"))
+
+
 def equal(a: Column, b: Column) -> Column:
     """Same kind, value, language and datatype."""
     return a.eqNullSafe(b)

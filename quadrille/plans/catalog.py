@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille import options as opt
-from quadrille.functions.terms import n3, quoted, split_iri
+from quadrille.functions.terms import debug_text, n3, quoted, split_iri
 from quadrille.operators import codec, graph, grouping, relational
 from quadrille.options import Options
 from quadrille.plans.mapping import BASE, CUSTOMER, DOCUMENTS, EVENTS, NATION, ORDERS, REGION, SCHEMA, SUPPLIER, Mapping, flat
@@ -159,6 +159,15 @@ def term_n3(spark, sf_dir):
     return rows.select(n3(F.col("s")).alias("s"), n3(F.col("o")).alias("o"))
 
 
+_Q = "coalesce('''' || {0} || '''', 'None')"
+
+
+@query(f"SELECT 'IRI(' || s || ')' AS s, CASE WHEN o_kind = 'iri' THEN 'IRI(' || o_value || ')' ELSE 'Literal(' || {_Q.format('o_value')} || ', langtag=' || {_Q.format('o_lang')} || ', datatype=' || {_Q.format('o_datatype')} || ')' END AS o FROM ({DOCUMENTS.sql()} UNION ALL {CUSTOMER.sql()})")
+def term_debug(spark, sf_dir):
+    rows = statements(spark, sf_dir, DOCUMENTS).union(statements(spark, sf_dir, CUSTOMER))
+    return rows.select(debug_text(F.col("s")).alias("s"), debug_text(F.col("o")).alias("o"))
+
+
 def _accesses_sql(m: Mapping) -> str:
     n = len(m.fields)
     return f"""b AS (SELECT *, '{m.table}-' || CAST((row_idx // {n}) % 8 AS VARCHAR) AS stream_id FROM ({m.sql()})),
