@@ -131,6 +131,36 @@ def _by_document(ids: np.ndarray, prints: np.ndarray) -> tuple[list[int], list[b
     return ids[first].tolist(), [p.tobytes() for p in np.split(prints, first[1:])] if len(ids) else []
 
 
+def _packed(ids: list[int], values: list[bytes], keys: np.ndarray) -> pa.RecordBatch:
+    """Values by id, dealt out by id: one row (bucket, body) for each bucket that has some."""
+    own_ids, size = np.array(ids, np.int64), np.array([len(v) for v in values], np.int64)
+    out = []
+    for key, own in _bucket_blobs(_mix(own_ids.astype(np.uint64)), keys):
+        out.append((key, len(own).to_bytes(8, "little") + own_ids[own].tobytes() + size[own].tobytes() + b"".join([values[i] for i in own])))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "body"])
+
+
+def _by_id(packed: DataFrame, parts: int, column: str) -> DataFrame:
+    """(id, column): one row for each id of _packed rows, its values joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for body in batch.column(1).to_pylist():
+                n = int.from_bytes(body[:8], "little")
+                ids, size = np.frombuffer(body, np.int64, n, 8).tolist(), np.frombuffer(body, np.int64, n, 8 + 8 * n).tolist()
+                at = 8 + 16 * n
+                for i, z in zip(ids, size, strict=True):
+                    found.setdefault(i, []).append(body[at : at + z])
+                    at += z
+        ids = list(found)
+        for i in range(0, len(ids), 10_000):
+            some = ids[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([b"".join(found[x]) for x in some], pa.binary())], ["id", column])
+
+    return packed.repartition(parts, "bucket").mapInArrow(run, f"id long, {column} binary")
+
+
 def shared_anchors(rows: DataFrame) -> DataFrame:
     """(id, prints): anchors, 8 bytes each, that at least two documents hold. rows: (id, text)."""
     spark = rows.sparkSession
@@ -188,7 +218,7 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
                 prints.append(np.frombuffer(body, np.uint64))
                 owners.append(np.concatenate([np.full(int(n_known), -1, np.int64), np.repeat(who, size)]))
         if told_ids:
-            yield pa.RecordBatch.from_arrays([pa.array(told_ids, pa.int64()), pa.array(told_prints, pa.binary())], ["id", "prints"])
+            yield _packed(told_ids, told_prints, keys)
         if not prints:
             return
         p, o = np.concatenate(prints), np.concatenate(owners)
@@ -200,10 +230,10 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
         shared = (np.minimum.reduceat(o, first) == -1) | (np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first))
         answer = np.repeat(shared, size) & (o != -1)
         ids, blobs = _by_document(o[answer], p[answer])
-        for i in range(0, len(ids), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 10_000], pa.int64()), pa.array(blobs[i : i + 10_000], pa.binary())], ["id", "prints"])
+        if ids:
+            yield _packed(ids, blobs, keys)
 
-    return rows.mapInArrow(deal, schema).repartition(parts, "bucket").mapInArrow(meet, "id long, prints binary")
+    return _by_id(rows.mapInArrow(deal, schema).repartition(parts, "bucket").mapInArrow(meet, "bucket int, body binary"), parts, "prints")
 
 
 def smaller_neighbours(values: np.ndarray) -> np.ndarray:
@@ -276,11 +306,11 @@ def _runs(ids: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[bytes]]:
 
 
 def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """(id, runs): byte ranges that a smaller document holds; a document can have several rows. shared: of shared_anchors."""
+    """(id, runs): byte ranges that a smaller document holds, 64-bit pairs in no order. shared: of shared_anchors."""
     spark = rows.sparkSession
     parts = shuffle_parts(spark)
     keys = even_keys(spark, parts)
-    asked = zipped(rows, "text").join(shared.groupBy("id").agg(F.collect_list("prints").alias("prints")), "id").select("id", "__zip", "prints")
+    asked = zipped(rows, "text").join(shared, "id").select("id", "__zip", "prints")
     names = ["bucket", "id", "runs", "body"]
 
     def wanted(batch: pa.RecordBatch, at: int, stop: int, texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -289,7 +319,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
         offsets = np.cumsum([0, *map(len, texts)])
         data = np.frombuffer(b"".join(texts), np.uint8)
         a = anchors(data, offsets)
-        lists = [b"".join(x) for x in batch.column(2).slice(at, stop - at).to_pylist()]
+        lists = batch.column(2).slice(at, stop - at).to_pylist()
         told = np.frombuffer(b"".join(lists), np.uint64)
         of = np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists]).astype(np.uint64)
         salt = np.uint64(0xA24BAED4963EE407)
@@ -354,16 +384,21 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
 
         expand = zstandard.ZstdDecompressor().decompress
         gathered = []
+        told_ids: list[int] = []
+        told_runs: list[bytes] = []
         for batch in batches:
             ids, runs, bodies = (batch.column(i) for i in (1, 2, 3))
-            told = [(i, r) for i, r in zip(ids.to_pylist(), runs.to_pylist(), strict=True) if r is not None]
-            if told:
-                yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.binary())], ["id", "runs"])
+            for i, r in zip(ids.to_pylist(), runs.to_pylist(), strict=True):
+                if r is not None:
+                    told_ids.append(i)
+                    told_runs.append(r)
             for body in bodies.to_pylist():
                 if body is not None:
                     body = expand(body)
                     n = int.from_bytes(body[:8], "little")
                     gathered.append((*(np.frombuffer(body, k, n, 8 + 8 * n * i) for i, k in enumerate((np.uint64, np.int64, np.int64, np.int64))), np.frombuffer(body, np.uint8, -1, 8 + 32 * n)))
+        if told_ids:
+            yield _packed(told_ids, told_runs, keys)
         if not gathered:
             return
         prints, owner, start, size, data = (np.concatenate(x) for x in zip(*gathered, strict=True))
@@ -391,17 +426,17 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
             marked_starts.append(starts[hit])
             at = stop
         ids, blobs = _runs(np.concatenate(marked_ids), np.concatenate(marked_starts))
-        for i in range(0, len(ids), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 10_000], pa.int64()), pa.array(blobs[i : i + 10_000], pa.binary())], ["id", "runs"])
+        if ids:
+            yield _packed(ids, blobs, keys)
 
-    return asked.mapInArrow(deal, "bucket int, id long, runs binary, body binary").repartition(parts, "bucket").mapInArrow(meet, "id long, runs binary")
+    return _by_id(asked.mapInArrow(deal, "bucket int, id long, runs binary, body binary").repartition(parts, "bucket").mapInArrow(meet, "bucket int, body binary"), parts, "runs")
 
 
-def merged(lists: list[bytes] | None, n: int) -> np.ndarray:
-    """Disjoint byte ranges, in order, of all the ranges in the lists; ranges that touch are one."""
-    if not lists:
+def merged(runs: bytes | None, n: int) -> np.ndarray:
+    """Disjoint byte ranges, in order, of all the ranges; ranges that touch are one."""
+    if not runs:
         return np.zeros((0, 2), np.int64)
-    pairs = np.frombuffer(b"".join(lists), np.int64).reshape(-1, 2)
+    pairs = np.frombuffer(runs, np.int64).reshape(-1, 2)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     reach = np.maximum.accumulate(pairs[:, 1])
     first = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > reach[:-1]]))
@@ -427,7 +462,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
     free_shuffles(spark)
     runs = materialize(repeated_runs(rows, shared), "runs")
     free_shuffles(spark)
-    found = runs.groupBy("id").agg(F.collect_list("runs").alias("__runs")).withColumnRenamed("id", "__key")
+    found = runs.select(F.col("id").alias("__key"), F.col("runs").alias("__runs"))
     shown = zipped(docs.select(*keep, F.col(text_col).cast("string").alias("__text"), key.alias("__key")), "__text")
     return shown.join(found, "__key", "left").select(*keep, "__zip", "__runs")
 
@@ -440,9 +475,9 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, removed, spans, sums = [], [], [], []
-            for i, lists in enumerate(batch.column(2).to_pylist()):
+            for i, runs_ in enumerate(batch.column(2).to_pylist()):
                 data = unzipped(batch.column(1).slice(i, 1))[0] or b""
-                found = merged(lists, len(data))
+                found = merged(runs_, len(data))
                 size.append(len(data))
                 removed.append(int((found[:, 1] - found[:, 0]).sum()))
                 spans.append(len(found))
@@ -463,8 +498,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for whole in batches:
             for batch in slices(whole, "__zip", 1 << 20):
                 texts = []
-                for data, lists in zip(unzipped(batch.column(len(others))), batch.column(len(others) + 1).to_pylist(), strict=True):
-                    texts.append(None if data is None else _kept(data, merged(lists, len(data))).decode("utf-8", "ignore"))
+                for data, runs_ in zip(unzipped(batch.column(len(others))), batch.column(len(others) + 1).to_pylist(), strict=True):
+                    texts.append(None if data is None else _kept(data, merged(runs_, len(data))).decode("utf-8", "ignore"))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string())], [*others, text_col])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {text_col: "string"}
