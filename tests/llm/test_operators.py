@@ -265,7 +265,8 @@ def test_plans_hold_every_length_once(capacity):
 
 def test_exact_complements_come_first():
     assert sum(n for _, n in packing.plan({9: 2, 1: 2, 5: 1, 3: 1, 2: 1, 7: 1, 8: 1}, 10)) == 5
-    assert packing.plan({6: 3, 2: 3, 1: 6}, 10) == [((6, 2, 1, 1), 3)]
+    # pairs, then triples, then best fit: 6+2+2, 6+2+1+1, 6+1+1+1+1
+    assert sorted(packing.plan({6: 3, 2: 3, 1: 6}, 10), reverse=True) == [((6, 2, 2), 1), ((6, 2, 1, 1), 1), ((6, 1, 1, 1, 1), 1)]
 
 
 # ------------------------------------------------------------------ 5 MinHash
