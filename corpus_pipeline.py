@@ -5,7 +5,8 @@ docs. All but the last return the columns of documents:
 
 1. language: documents in no known language go (no letters, or a best share under LEAST_LANGUAGE);
 2. quality: documents that the classifier, learned from the labels that the remaining documents have, rejects go;
-3. near_duplicates: of each group of near duplicates (5-word shingles, 0.8) the smallest doc_id stays;
+3. near_duplicates: of each group of near duplicates (5-word shingles, 0.8) the smallest doc_id stays; every document without
+   a doc_id is one of its own, after all others;
 4. repeats: byte strings of 50 and more that an earlier document holds are cut out, n_chars follows, and documents with
    nothing left go;
 5. packing: one row per piece of a document in a sequence of 2048 tokens.
@@ -62,8 +63,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicates(docs, words=SHINGLE_WORDS).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    named, unnamed = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    every = named.withColumn("__id", F.col("doc_id").cast("long"))
+    # written, since their numbers must be the same whenever they are read
+    numbered = common.materialize(unnamed.withColumn("__id", F.monotonically_increasing_id()), "unnamed")
+    last = numbered.agg(F.max("__id")).first()[0]
+    if last is not None:
+        after = every.agg(F.max("__id")).first()[0]
+        after = 0 if after is None else after + 1
+        if after + last >= 1 << 63:
+            raise ValueError(f"no numbers are left after doc_id {after - 1} for documents without one")
+        every = every.union(numbered.withColumn("__id", F.col("__id") + F.lit(after).cast("long")))
+    kept = minhash.near_duplicates(every, "__id", words=SHINGLE_WORDS).where("kept").select(F.col("__id").alias("__kept")).distinct()
+    return every.join(kept, F.col("__id") == F.col("__kept"), "left_semi").select(docs.columns)
 
 
 @_stage

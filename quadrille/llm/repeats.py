@@ -12,9 +12,12 @@ all suffixes that can match each other that far, and a suffix array of the part
    next smaller values) give its longest previous factor, by range minima over the common prefixes of neighbours.
 3. Suffixes whose longest previous factor reaches LENGTH mark their bytes; marks are joined by document and removed.
 
-Ids order documents. Rows of one id are repeated rows, so they hold one text; they never remove each other's bytes. Null
-ids come last, and there may be one. Null and empty texts have no bytes and
-no spans; extra columns are ignored.
+A document is an id and a text: repeated rows of both are one document and never remove each other's bytes, and other texts
+of the id are other documents. Ids order documents, then xxhash64 of the text. Every row without an id is a document; they
+come last, in the order of that hash, copies as they are read. Null and empty texts have no bytes and no spans; extra
+columns are ignored.
+
+Tables name documents by KEY, whose bytes sort in that order; inside a task a document is its key's rank among the task's.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import even_keys, free_shuffles, materialize, ship_package, shuffle_parts, slices, strings, table, unzipped, zipped
@@ -33,7 +36,8 @@ from .common import even_keys, free_shuffles, materialize, ship_package, shuffle
 LENGTH = 50
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
-LAST_ID = (1 << 63) - 1
+#: Of a document: 0, id and hash of the text, or 1, hash and number of a row without id; then 1, so that no key ends in 0.
+KEY = np.dtype("S18")
 _BASE = 0x9E3779B97F4A7C15
 #: Suffixes that are sorted at a time.
 PORTION = 1 << 16
@@ -124,6 +128,20 @@ def _groups(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
 
 
+def _keys(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(strings(column)[0].tobytes(), KEY)
+
+
+def _ranked(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the place of each key among them."""
+    return np.unique(np.concatenate(names), return_inverse=True)
+
+
+def _key_hash(names: np.ndarray) -> np.ndarray:
+    pairs = np.ascontiguousarray(names.view(np.uint8).reshape(-1, KEY.itemsize)[:, 1:17]).view(">u8").astype(np.uint64)
+    return _mix(pairs[:, 0] + pairs[:, 1] * np.uint64(_BASE))
+
+
 def _by_document(ids: np.ndarray, prints: np.ndarray) -> tuple[list[int], list[bytes]]:
     order = np.argsort(ids, kind="stable")
     ids, prints = ids[order], prints[order]
@@ -131,11 +149,11 @@ def _by_document(ids: np.ndarray, prints: np.ndarray) -> tuple[list[int], list[b
     return ids[first].tolist(), [p.tobytes() for p in np.split(prints, first[1:])] if len(ids) else []
 
 
-def _packed(ids: list[int], values: list[bytes], keys: np.ndarray) -> pa.RecordBatch:
-    """Values by id, dealt out by id: one row (bucket, body) for each bucket that has some."""
-    own_ids, size = np.array(ids, np.int64), np.array([len(v) for v in values], np.int64)
+def _packed(ids: list[bytes], values: list[bytes], keys: np.ndarray) -> pa.RecordBatch:
+    """Values by key, dealt out by key: one row (bucket, body) for each bucket that has some."""
+    own_ids, size = np.array(ids, KEY), np.array([len(v) for v in values], np.int64)
     out = []
-    for key, own in _bucket_blobs(_mix(own_ids.astype(np.uint64)), keys):
+    for key, own in _bucket_blobs(_key_hash(own_ids), keys):
         out.append((key, len(own).to_bytes(8, "little") + own_ids[own].tobytes() + size[own].tobytes() + b"".join([values[i] for i in own])))
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "body"])
 
@@ -144,21 +162,21 @@ def _by_id(packed: DataFrame, parts: int, column: str) -> DataFrame:
     """(id, column): one row for each id of _packed rows, its values joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[bytes]] = {}
+        found: dict[bytes, list[bytes]] = {}
         for batch in batches:
             for body in batch.column(1).to_pylist():
                 n = int.from_bytes(body[:8], "little")
-                ids, size = np.frombuffer(body, np.int64, n, 8).tolist(), np.frombuffer(body, np.int64, n, 8 + 8 * n).tolist()
-                at = 8 + 16 * n
+                ids, size = np.frombuffer(body, KEY, n, 8).tolist(), np.frombuffer(body, np.int64, n, 8 + KEY.itemsize * n).tolist()
+                at = 8 + (KEY.itemsize + 8) * n
                 for i, z in zip(ids, size, strict=True):
                     found.setdefault(i, []).append(body[at : at + z])
                     at += z
         ids = list(found)
         for i in range(0, len(ids), 10_000):
             some = ids[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([b"".join(found[x]) for x in some], pa.binary())], ["id", column])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([b"".join(found[x]) for x in some], pa.binary())], ["id", column])
 
-    return packed.repartition(parts, "bucket").mapInArrow(run, f"id long, {column} binary")
+    return packed.repartition(parts, "bucket").mapInArrow(run, f"id binary, {column} binary")
 
 
 def shared_anchors(rows: DataFrame) -> DataFrame:
@@ -166,13 +184,13 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     parts = shuffle_parts(spark)
     keys = even_keys(spark, parts)
-    schema = "bucket int, id long, told boolean, ids binary, prints binary"
+    schema = "bucket int, id binary, told boolean, ids binary, prints binary"
     names = ["bucket", "id", "told", "ids", "prints"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                called, ids = _ranked([_keys(batch.column(0))])
                 data, offsets = strings(batch.column(1))
                 a = anchors(data, offsets)
                 if not len(a.prints):
@@ -187,7 +205,7 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
                 # documents of this batch that share an anchor know it now; the part only hears that it is shared
                 several = np.repeat(count > 1, count)
                 told_ids, told_prints = _by_document(owner[several], prints[several])
-                out: list[tuple] = [(int(keys[i % parts]), i_, True, b"", p) for i, (i_, p) in enumerate(zip(told_ids, told_prints, strict=True))]
+                out: list[tuple] = [(int(keys[i % parts]), i_, True, b"", p) for i, (i_, p) in enumerate(zip(called[told_ids].tolist(), told_prints, strict=True))]
                 sent, sender = prints[first], np.where(count > 1, -1, owner[first])
                 known = count > 1
                 for key, own in _bucket_blobs(sent, keys):
@@ -197,14 +215,15 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
                     singles = who[~flag]
                     at = _groups(singles)
                     size = np.diff(np.concatenate([at, [len(singles)]]))
-                    head = np.array([int(flag.sum()), len(at)], np.int64).tobytes() + singles[at].tobytes() + size.astype(np.uint32).tobytes()
+                    head = np.array([int(flag.sum()), len(at)], np.int64).tobytes() + called[singles[at]].tobytes() + size.astype(np.uint32).tobytes()
                     out.append((key, None, False, head, sent[own].tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, owners = [], []
-        told_ids: list[int] = []
+        prints, owners, called = [], [], []
+        n_called = 0
+        told_ids: list[bytes] = []
         told_prints: list[bytes] = []
         for batch in batches:
             for id_, told, head, body in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
@@ -213,15 +232,17 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
                     told_prints.append(body)
                     continue
                 n_known, n_docs = np.frombuffer(head, np.int64, 2)
-                who = np.frombuffer(head, np.int64, n_docs, 16)
-                size = np.frombuffer(head, np.uint32, n_docs, 16 + 8 * int(n_docs))
+                called.append(np.frombuffer(head, KEY, n_docs, 16))
+                size = np.frombuffer(head, np.uint32, n_docs, 16 + KEY.itemsize * int(n_docs))
                 prints.append(np.frombuffer(body, np.uint64))
-                owners.append(np.concatenate([np.full(int(n_known), -1, np.int64), np.repeat(who, size)]))
+                owners.append(np.concatenate([np.full(int(n_known), -1, np.int64), np.repeat(np.arange(n_called, n_called + n_docs), size)]))
+                n_called += int(n_docs)
         if told_ids:
             yield _packed(told_ids, told_prints, keys)
         if not prints:
             return
-        p, o = np.concatenate(prints), np.concatenate(owners)
+        names, rank = _ranked(called)
+        p, o = np.concatenate(prints), np.append(rank, -1)[np.concatenate(owners)]  # -1 stays
         order = np.argsort(p, kind="stable")
         p, o = p[order], o[order]
         first = _groups(p)
@@ -231,7 +252,7 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
         answer = np.repeat(shared, size) & (o != -1)
         ids, blobs = _by_document(o[answer], p[answer])
         if ids:
-            yield _packed(ids, blobs, keys)
+            yield _packed(names[ids].tolist(), blobs, keys)
 
     return _by_id(rows.mapInArrow(deal, schema).repartition(parts, "bucket").mapInArrow(meet, "bucket int, body binary"), parts, "prints")
 
@@ -315,7 +336,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
 
     def wanted(batch: pa.RecordBatch, at: int, stop: int, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Of the shared anchors of some rows: print, id, first and last string in the document, their hashes, bytes."""
-        ids = batch.column(0).slice(at, stop - at).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = _keys(batch.column(0).slice(at, stop - at))
         offsets = np.cumsum([0, *map(len, texts)])
         data = np.frombuffer(b"".join(texts), np.uint8)
         a = anchors(data, offsets)
@@ -334,6 +355,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
         import zstandard
 
         prints, owner, start, size, one, two, data = (np.concatenate(x) for x in zip(*found, strict=True))
+        called, owner = _ranked([owner])
         begin = np.cumsum(size) - size
         # equal stretches: the same first and last string, as far apart; the smallest id stands for all
         two = two + size.astype(np.uint64)
@@ -346,16 +368,17 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
         span = size[marks] - LENGTH + 1
         starts = np.repeat(start[marks] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
         got, runs = _runs(np.repeat(owner[marks], span), starts)
-        out: list[tuple] = [(int(keys[i % parts]), i_, r, None) for i, (i_, r) in enumerate(zip(got, runs, strict=True))]
+        out: list[tuple] = [(int(keys[i % parts]), i_, r, None) for i, (i_, r) in enumerate(zip(called[got].tolist(), runs, strict=True))]
         sent = np.flatnonzero(~decided)
         squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for key, own in _bucket_blobs(prints[sent], keys):
             own = sent[own]
             n = size[own]
             where = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            head = len(own).to_bytes(8, "little") + prints[own].tobytes() + owner[own].tobytes() + start[own].tobytes() + n.tobytes()
+            whose, of = np.unique(owner[own], return_inverse=True)
+            head = np.array([len(own), len(whose)], np.int64).tobytes() + prints[own].tobytes() + of.astype(np.int64).tobytes() + start[own].tobytes() + n.tobytes() + called[whose].tobytes()
             out.append((key, None, None, squeeze(head + data[where].tobytes())))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
@@ -383,8 +406,9 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        gathered = []
-        told_ids: list[int] = []
+        gathered, called = [], []
+        n_called = 0
+        told_ids: list[bytes] = []
         told_runs: list[bytes] = []
         for batch in batches:
             ids, runs, bodies = (batch.column(i) for i in (1, 2, 3))
@@ -395,14 +419,19 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
             for body in bodies.to_pylist():
                 if body is not None:
                     body = expand(body)
-                    n = int.from_bytes(body[:8], "little")
-                    gathered.append((*(np.frombuffer(body, k, n, 8 + 8 * n * i) for i, k in enumerate((np.uint64, np.int64, np.int64, np.int64))), np.frombuffer(body, np.uint8, -1, 8 + 32 * n)))
+                    n, m = np.frombuffer(body, np.int64, 2).tolist()
+                    prints, of, start, size = (np.frombuffer(body, k, n, 16 + 8 * n * i) for i, k in enumerate((np.uint64, np.int64, np.int64, np.int64)))
+                    called.append(np.frombuffer(body, KEY, m, 16 + 32 * n))
+                    gathered.append((prints, of + n_called, start, size, np.frombuffer(body, np.uint8, -1, 16 + 32 * n + KEY.itemsize * m)))
+                    n_called += m
         if told_ids:
             yield _packed(told_ids, told_runs, keys)
         if not gathered:
             return
         prints, owner, start, size, data = (np.concatenate(x) for x in zip(*gathered, strict=True))
         gathered.clear()
+        names, rank = _ranked(called)
+        owner = rank[owner]
         begin = np.cumsum(size) - size
         strings_at = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
         order = np.argsort(prints, kind="stable")
@@ -427,9 +456,9 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
             at = stop
         ids, blobs = _runs(np.concatenate(marked_ids), np.concatenate(marked_starts))
         if ids:
-            yield _packed(ids, blobs, keys)
+            yield _packed(names[ids].tolist(), blobs, keys)
 
-    return _by_id(asked.mapInArrow(deal, "bucket int, id long, runs binary, body binary").repartition(parts, "bucket").mapInArrow(meet, "bucket int, body binary"), parts, "runs")
+    return _by_id(asked.mapInArrow(deal, "bucket int, id binary, runs binary, body binary").repartition(parts, "bucket").mapInArrow(meet, "bucket int, body binary"), parts, "runs")
 
 
 def merged(runs: bytes | None, n: int) -> np.ndarray:
@@ -452,18 +481,29 @@ def _kept(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def _key(first: str, *numbers: Column) -> Column:
+    """KEY of signed 64-bit numbers; its bytes sort as they do."""
+    places = (F.lpad(F.hex(n.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0") for n in numbers)
+    return F.unhex(F.concat(F.lit(first), *places, F.lit("01")))
+
+
 def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """keep, __zip (the text, zipped; null for null) and __runs (null without any) of every row of docs."""
     ship_package(docs.sparkSession)
     spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    rows = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= LENGTH)
+    every = docs.select(*keep, F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("__id"))
+    same = F.xxhash64("__text")
+    # rows without an id are written, since their numbers must be the same whenever they are read
+    unnamed = materialize(every.where("__id IS NULL").withColumn("__id", F.monotonically_increasing_id()), "unnamed")
+    named = every.where("__id IS NOT NULL").withColumn("__key", _key("00", F.col("__id"), same))
+    every = named.union(unnamed.withColumn("__key", _key("01", same, F.col("__id")))).drop("__id")
+    rows = every.select(F.col("__key").alias("id"), F.col("__text").alias("text")).where(F.octet_length("text") >= LENGTH)
     shared = materialize(shared_anchors(rows), "anchors")
     free_shuffles(spark)
     runs = materialize(repeated_runs(rows, shared), "runs")
     free_shuffles(spark)
     found = runs.select(F.col("id").alias("__key"), F.col("runs").alias("__runs"))
-    shown = zipped(docs.select(*keep, F.col(text_col).cast("string").alias("__text"), key.alias("__key")), "__text")
+    shown = zipped(every.select(*keep, "__text", "__key"), "__text")
     return shown.join(found, "__key", "left").select(*keep, "__zip", "__runs")
 
 
