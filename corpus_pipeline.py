@@ -44,9 +44,9 @@ def _stage(work):
     return run_stage
 
 
-def _wrapped(docs: DataFrame) -> DataFrame:
-    """The text, and the whole row as one column, so that no column's name can clash with an operator's."""
-    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), F.col("text"))
+def _wrapped(docs: DataFrame, meta: tuple[str, ...] = ()) -> DataFrame:
+    """The text, columns meta, and the whole row as one column, so that no column's name can clash with an operator's."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), F.col("text"), *(docs[c] for c in meta))
 
 
 @_stage
@@ -57,8 +57,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(_wrapped(docs), model, ["__row"]).where("predicted = 1").select("__row.*")
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"), meta_cols=quality.META)
+    return quality.score(_wrapped(docs, quality.META), model, ["__row"], meta_cols=quality.META).where("predicted = 1").select("__row.*")
 
 
 @_stage

@@ -31,6 +31,8 @@ RANK = 8
 TRAIN_ROWS = 2000
 EPOCHS = 12
 META_BINS = 24
+#: Metadata that documents have, for op2 and the pipeline.
+META = ("n_chars",)
 _MOST_MEMO = 400_000
 
 _CLASS = np.zeros(256, np.int64)
@@ -191,6 +193,6 @@ def score(docs: DataFrame, model: FactorisationMachine, keep: list[str], text_co
 def op2_quality_fm(spark, sf_dir: str) -> DataFrame:
     """Learn from labels whose crc32(doc_id) mod 3 is not 1, score every document."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"), train=crc_bucket("doc_id", 3) != 1)
+    model = fit(docs, table(spark, sf_dir, "labels"), meta_cols=META, train=crc_bucket("doc_id", 3) != 1)
     held = docs.withColumn("held_out", F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(False)))
-    return score(held, model, ["doc_id", "held_out"])
+    return score(held, model, ["doc_id", "held_out"], meta_cols=META)
