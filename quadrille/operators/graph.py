@@ -56,15 +56,15 @@ def components(edge: DataFrame) -> DataFrame:
             return labels
 
 
-def shortest_path(edge: DataFrame, start: str, end: str, most: int = 64) -> DataFrame:
+def shortest_path(edge: DataFrame, start: str, end: str) -> DataFrame:
     """(step, node) of a shortest path; of several, the one whose nodes before are smallest. No rows without a path."""
     spark = edge.sparkSession
     both = _stored(edge.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edge.select("b", "a")).distinct())
     reached = spark.createDataFrame([(start, None, 0)], "node string, before string, step int")
     front = reached
-    for step in range(1, most + 1):
-        if reached.where(F.col("node") == end).limit(1).count():
-            break
+    step = 0
+    while not front.where(F.col("node") == end).limit(1).count():
+        step += 1
         new = both.join(front.select("node"), "node").groupBy(F.col("near").alias("to")).agg(F.min("node").alias("before"))
         new = new.join(reached.select(F.col("node").alias("to")), "to", "left_anti").select(F.col("to").alias("node"), "before", F.lit(step).alias("step"))
         front = _stored(new)
