@@ -335,7 +335,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
     names = ["bucket", "id", "runs", "body"]
 
     def wanted(batch: pa.RecordBatch, at: int, stop: int, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Of the shared anchors of some rows: print, id, first and last string in the document, their hashes, bytes."""
+        """Keys of some rows; of their shared anchors: print, row, first string in the document, size, hashes, bytes."""
         ids = _keys(batch.column(0).slice(at, stop - at))
         offsets = np.cumsum([0, *map(len, texts)])
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -348,14 +348,17 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
         doc, first, last = a.doc[kept], a.first[kept], a.last[kept]
         size = last - first + LENGTH
         where = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return a.prints[kept], ids[doc], first - offsets[doc], size, a.one[kept], a.two[kept], data[where]
+        return ids, a.prints[kept], doc, first - offsets[doc], size, a.one[kept], a.two[kept], data[where]
 
     def send(found: list[tuple]) -> pa.RecordBatch:
         """Decide what a smaller document of the task decides, and deal out the rest."""
         import zstandard
 
-        prints, owner, start, size, one, two, data = (np.concatenate(x) for x in zip(*found, strict=True))
-        called, owner = _ranked([owner])
+        given, prints, row, start, size, one, two, data = zip(*found, strict=True)
+        before = np.cumsum([0, *map(len, given)])
+        called, rank = _ranked(list(given))
+        owner = rank[np.concatenate([r + b for r, b in zip(row, before, strict=False)])]
+        prints, start, size, one, two, data = map(np.concatenate, (prints, start, size, one, two, data))
         begin = np.cumsum(size) - size
         # equal stretches: the same first and last string, as far apart; the smallest id stands for all
         two = two + size.astype(np.uint64)
@@ -393,7 +396,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
                     stop += 1
                 new = wanted(batch, at, stop, texts)
                 at = stop
-                if len(new[0]):
+                if len(new[1]):
                     found.append(new)
                     held += len(new[-1])
                 if held >= HELD_BYTES:
