@@ -109,6 +109,31 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def lists(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values of an Arrow list column of numbers and its n + 1 offsets."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first n_keys columns (integers), one value in memory at a time; rows come sorted."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(i).to_numpy() for i in range(n_keys)])
+        first = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+        for i, j in zip(first, [*first[1:], len(keys)], strict=True):
+            if held and tuple(keys[i]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(keys[i])
+            held.append(batch.slice(int(i), int(j - i)))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about most_bytes of text each (one long row may exceed it)."""
     column = batch.column(batch.schema.get_field_index(text))

@@ -8,24 +8,47 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+def _edges(links: DataFrame) -> DataFrame:
+    """Each link once, smaller end first; loops go."""
+    return links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node that each node of a link reaches.
+    """(node, component): the smallest node that each node of a link between two nodes reaches.
 
-    Each round every node takes the smallest label among itself and its neighbours, and then its label's own label, so
-    long chains shorten by doubling. Labels are pre-aggregated before a shuffle, so a hub costs one row a task. Every
-    round is written to the shared folder.
+    Randomised contraction: each round shuffles the nodes' order by a hash, every node moves to the first of itself and
+    its neighbours, the places moved to replace the nodes, and loops and repeated links go. At least a quarter of the
+    nodes is expected to go each round, so all rounds together cost little more than the first, and long chains and hubs
+    take as many rounds as anything else. Neighbours are pre-aggregated before a shuffle. Every round is written to the
+    shared folder.
     """
-    both = links.select(F.col(a).alias("node"), F.col(b).alias("near")).where(F.col(a) != F.col(b))
-    edges = materialize(both.union(both.select("near", "node")).distinct(), "edges")
-    labels = edges.groupBy("node").agg(F.least("node", F.min("near")).alias("component"))
-    labels = materialize(labels, "labels")
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("component").alias("heard"))
-        # the label's label: labels are nodes
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("jumped"))
-        step = labels.join(near, "node").join(jump, "component", "left")
-        new = materialize(step.select("node", F.least("component", "heard", F.coalesce("jumped", "component")).alias("component"), F.col("component").alias("old")), "labels")
-        changed = new.where(F.col("component") != F.col("old")).limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+    edges = materialize(_edges(links.select(F.col(a).alias("a"), F.col(b).alias("b"))), "edges")
+    moves: list[DataFrame] = []
+    while edges.limit(1).count():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
+        rank = lambda c, k=len(moves): F.xxhash64(c, F.lit(k))
+        first = both.groupBy("node").agg(F.min(F.struct(rank("near").alias("rank"), "near")).alias("best"))
+        own = F.struct(rank("node").alias("rank"), F.col("node").alias("near"))
+        moved = materialize(first.select("node", F.least("best", own)["near"].alias("place")), "moves")
+        to = moved.select(F.col("node").alias("a"), F.col("place").alias("pa")), moved.select(F.col("node").alias("b"), F.col("place").alias("pb"))
+        moves.append(moved)
+        edges = materialize(_edges(edges.join(to[0], "a").join(to[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    places = moves[-1]
+    for moved in reversed(moves[:-1]):  # where a place of this round went in the rounds after it
+        later = places.select(F.col("node").alias("place"), F.col("place").alias("end"))
+        places = moved.join(later, "place", "left").select("node", F.coalesce("end", "place").alias("place"))
+    places = materialize(places, "places")
+    least = places.groupBy("place").agg(F.min("node").alias("component"))
+    return materialize(places.join(least, "place").select("node", "component"), "labels")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels of components() once further links (a, b) are drawn; only the components that these join are touched."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    known = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("a_of", "a").alias("pa"), F.coalesce("b_of", "b").alias("pb"))
+    known = materialize(known, "joined")
+    joined = components(known, "pa", "pb").select(F.col("node").alias("component"), F.col("component").alias("least"))
+    nodes = labels.union(known.select("a", "pa")).union(known.select("b", "pb")).distinct()
+    return materialize(nodes.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")

@@ -8,14 +8,17 @@ candidates. A pair at Jaccard 0.8 is missed with probability (1 - 0.8**ROWS)**BA
 Equal sets are one class from the start. No bucket's pairs are listed at once:
 
 1. in every bucket each class is compared with the bucket's smallest class, on full sets, and components are formed;
-2. buckets whose classes are in one component are done. Classes that share the others, directly or through further
-   classes, make a block. In each block the classes outside its largest component are held against all of it by their
-   signatures, CHECKED coordinates long, and what agrees in ALIKE of them is compared on full sets: first the PARTNERS best, then, once
-   components are formed again, all that are still apart.
-
-Only what joins different components is ever compared, so a group of copies costs a few comparisons a copy. Sets are read only for
-candidates. Defined results: texts without a word, and nulls, have no set, link with nothing and are their own
-component; repeated rows of an id are one document, whose links are those of any of its texts; a null id is kept, with a null component; extra columns are ignored.
+2. buckets whose classes are in one component are done. Components that share the others, directly or through further
+   components, make a block of their classes in such buckets. In each block the classes outside its largest component are
+   held against all of it, chunk by chunk, by their sizes and signatures, CHECKED coordinates long, and what agrees in
+   ALIKE of them is compared on full sets: first the PARTNERS best, then, once components are formed again, all that are
+   still apart.
+
+Only what joins different components is ever compared, so a group of copies costs a few comparisons a copy. Sets are read
+only for candidates. Defined results: texts without a word, and nulls, have no set, link with nothing and are their own
+component; repeated rows of an id are one document; where texts of one id differ each row goes by its own set, and a set
+whose smallest id names another set too has the links of both; a null id is kept, with a null component; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, ship_package, shuffle_parts, slices, strings, table
-from .components import components
+from .common import free_shuffles, lists, materialize, runs_of, ship_package, shuffle_parts, slices, strings, table
+from .components import components, merged
 
 WORDS = 4
 PERCENT = 80
@@ -170,61 +173,58 @@ def _alike(n, m, percent: int):
 
 
 def coordinates(rows: DataFrame) -> DataFrame:
-    """rep, block and the low byte of each of CHECKED signature coordinates, of rows (rep, hashes, block)."""
+    """rep, n, block and the low byte of each of CHECKED signature coordinates, of rows (rep, hashes, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circle = circulant(CHECKED)
-        for batch in batches:
-            found = [circle.signature(np.array(h, np.int64).astype(np.uint64)).astype(np.uint8).tobytes() for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["rep", "block", "signature"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                data, ends = lists(batch.column(1), np.int64)
+                found = [circle.signature(data[i:j].view(np.uint64)).astype(np.uint8).tobytes() for i, j in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), batch.column(2), pa.array(found, pa.binary())], ["rep", "n", "block", "signature"])
 
-    return rows.select("rep", "hashes", "block").mapInArrow(run, "rep long, block long, signature binary")
+    return rows.select("rep", "hashes", "block").mapInArrow(run, "rep long, n long, block long, signature binary")
 
 
-def plausible(signed: DataFrame, labels: DataFrame, most: int, alike: float = ALIKE) -> DataFrame:
-    """Pairs (a, b) of a block in different components whose signatures agree in a share `alike` of the coordinates.
+def plausible(signed: DataFrame, labels: DataFrame, most: int, percent: int = PERCENT, alike: float = ALIKE) -> DataFrame:
+    """Pairs (a, b) of a block in different components whose sizes allow a link and whose signatures agree in a share
+    `alike` of the coordinates.
 
-    A block's classes outside its largest component are held against all of the block, in chunks of CHUNK classes.
-    most: so many best partners a class and chunk; 0: all.
+    A block's classes outside its largest component ask all of the block. Both sides are cut into chunks of about CHUNK
+    classes, and a task holds one chunk of each at a time. most: so many best partners a class and chunk; 0: all.
     """
-    spark = signed.sparkSession
-    parts = shuffle_parts(spark)
     rows = signed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     by = rows.groupBy("block", "component").agg(F.count(F.lit(1)).alias("c"))
-    by = by.groupBy("block").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("several"), F.max_by("component", F.struct("c", "component")).alias("main")).where("several > 1")
-    rows = rows.join(by, "block").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    asked = F.col("component") != F.col("main")
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    dealt = rows.select("block", F.explode(F.when(asked, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))).alias("chunk"), own.alias("own"), "rep", "component", asked.alias("asked"), "signature")
+    by = by.groupBy("block").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("several"), F.max("c").alias("largest"), F.max_by("component", F.struct("c", "component")).alias("main")).where("several > 1")
+    by = by.select("block", "main", F.ceil(F.col("size") / CHUNK).cast("int").alias("homes"), F.ceil((F.col("size") - F.col("largest")) / CHUNK).cast("int").alias("askers"))
+    rows = rows.join(by, "block")
+    asks = F.col("component") != F.col("main")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    told = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda k: F.struct(k.alias("asker"), own("homes").alias("home"), F.lit(False).alias("asks")))
+    asked = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda k: F.struct(own("askers").alias("asker"), k.alias("home"), F.lit(True).alias("asks")))
+    dealt = rows.select("block", "rep", "n", "component", "signature", F.explode(F.when(asks, F.concat(told, asked)).otherwise(told)).alias("x")).select("block", "x.asker", "x.home", "x.asks", "rep", "n", "component", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not tables:
-            return
-        t = pa.concat_tables(tables).combine_chunks()
-        block, chunk, home, rep, component = (t.column(i).to_numpy() for i in range(5))
-        asks = t.column(5).to_numpy()
-        data, _ = strings(t.column(6))
-        signature = data.reshape(len(rep), -1)
-        order = np.lexsort((rep, chunk, block))
-        first = np.flatnonzero(np.concatenate([[True], (block[order][1:] != block[order][:-1]) | (chunk[order][1:] != chunk[order][:-1])]))
-        out_a, out_b = [], []
-        for i, j in zip(first, [*first[1:], len(order)], strict=True):
-            group = order[i:j]
-            here = group[home[group] == chunk[group]]
-            questions = group[asks[group]]
-            for q in questions:
-                other = here[component[here] != component[q]]
-                share = (signature[other] == signature[q]).mean(axis=1)
+        for t in runs_of(batches, 3):
+            asks, (rep, n, component) = t.column("asks").to_numpy(), (t.column(c).to_numpy() for c in ("rep", "n", "component"))
+            signature = strings(t.column("signature").combine_chunks())[0].reshape(t.num_rows, -1)
+            here = np.flatnonzero(~asks)
+            out_a, out_b = [], []
+            for q in np.flatnonzero(asks):
+                low, high = np.minimum(n[here], n[q]), np.maximum(n[here], n[q])
+                other = here[(component[here] != component[q]) & (100 * low >= percent * high)]
+                share = np.array([np.count_nonzero(row) for row in signature[other] == signature[q]], np.float64) / signature.shape[1]
                 good = np.flatnonzero(share >= alike)
                 if most and len(good) > most:
                     good = good[np.argsort(-share[good], kind="stable")[:most]]
                 out_a.append(np.minimum(rep[other[good]], rep[q]))
                 out_b.append(np.maximum(rep[other[good]], rep[q]))
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    return dealt.repartition(parts, "block", "chunk").mapInArrow(run, "a long, b long").distinct()
+    tile = ["block", "asker", "home"]
+    return dealt.repartition(shuffle_parts(signed.sparkSession), *tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -249,17 +249,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
 
     # 2. what different components that share buckets may still link
-    known = members.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = known.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("hub")).where("c0 != c1").select("key", "hub")
-    spokes = materialize(known.join(open_keys, "key").select("hub", "rep").distinct(), "spokes")
-    blocks = components(spokes, "hub", "rep")
-    block = F.col("component").alias("block")
-    signed = materialize(coordinates(sets.join(blocks.select(F.col("node").alias("rep"), block), "rep")), "signed")
+    known = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_keys = known.groupBy("key").agg(F.min("component").alias("hub"), F.max("component").alias("c1")).where("hub != c1").select("key", "hub")
+    spokes = materialize(known.join(open_keys, "key").select("hub", "rep", "component").distinct(), "spokes")
+    # whole components are the ends, once each
+    blocks = components(spokes.select("hub", "component").distinct(), "hub", "component").select(F.col("node").alias("hub"), F.col("component").alias("block"))
+    inside = spokes.select("rep", "hub").groupBy("rep").agg(F.min("hub").alias("hub")).join(blocks, "hub").select("rep", "block")
+    signed = materialize(coordinates(sets.join(inside, "rep")), "signed")
     for most in (PARTNERS, 0):
-        new = materialize(compared(plausible(signed, labels, most), sets, percent).where("linked").select("a", "b"), "links")
+        new = materialize(compared(plausible(signed, labels, most, percent), sets, percent).where("linked").select("a", "b"), "links")
         if new.limit(1).count():
-            links = links.union(new)
-            labels = components(links)
+            labels = merged(labels, new)
 
     found = classes.select("one", "two", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("one", "two", "n", F.coalesce("component", "rep").alias("component_id"))

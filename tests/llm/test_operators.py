@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import string
 import zlib
 from collections import defaultdict
 
@@ -9,9 +11,10 @@ import numpy as np
 import pytest
 
 from quadrille.llm import common, flac, langid, minhash, packing, quality, repeats, slots, spcodec, sptransducer, vectors
-from quadrille.llm.components import components
+from quadrille.llm.components import components, merged
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, rep long, shard int, bucket int"
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORDS = [w + x for w in ("ra", "lo", "mi", "tu", "se") for x in ("n", "den", "k", "sta", "ver", "po")]
 
 
@@ -272,8 +275,15 @@ def test_exact_complements_come_first():
 # ------------------------------------------------------------------ 5 MinHash
 
 
+def word_tuples(text, words):
+    """The contract's set, by its words."""
+    found = [w.translate(LOWER) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    size = min(words, len(found))
+    return {tuple(found[k : k + size]) for k in range(len(found) - size + 1)} if found else set()
+
+
 def brute_components(rows, words, percent=80):
-    sets = {i: set(minhash.shingles(t or "", words).tolist()) for i, t in rows}
+    sets = {i: word_tuples(t, words) for i, t in rows}
     label = {i: i for i in sets}
 
     def find(x):
@@ -329,6 +339,47 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 61)) and got[300] == got[200] == 100
 
 
+def test_components_of_many_shapes(spark):
+    """Hubs with large and small ids, chains in a random order, rings, grids, against plain union."""
+    rng = random.Random(12)
+    links = [(10_000, i) for i in range(200, 400)] + [(150, i) for i in range(500, 560)]
+    chain = rng.sample(range(1000, 1300), 300)
+    links += list(zip(chain, chain[1:])) + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)]
+    links += [(3000 + 10 * i + j, 3000 + 10 * i + j + d) for i in range(9) for j in range(9) for d in (1, 10)] + [(5, 5), (2000, 2001), (2001, 2000)]
+    label = {x: x for pair in links for x in pair}
+    for _ in range(len(label)):
+        before = dict(label)
+        for x, y in links:
+            label[x] = label[y] = min(label[x], label[y])
+        if label == before:
+            break
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {i: c for i, c in label.items() if i != 5}
+    some = spark.createDataFrame([(150, 10_000), (5, 6), (560, 2000), (150, 559)], "a long, b long")
+    more = dict(map(tuple, merged(components(spark.createDataFrame(links, "a long, b long")), some).collect()))
+    both = dict(map(tuple, components(spark.createDataFrame([*links, (150, 10_000), (5, 6), (560, 2000)], "a long, b long")).collect()))
+    assert more == both and components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
+def test_blocks_of_many_chunks(spark, monkeypatch):
+    """Chunks of a few classes, in which clusters link only through further members."""
+    monkeypatch.setattr(minhash, "CHUNK", 7)
+    rng = random.Random(5)
+    rows = []
+    for k in range(4):
+        base = prose(rng, 150).split()
+        for i in range(60):
+            w = list(base)
+            for _ in range(rng.choice([2, 5, 7, 8, 9, 10])):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            rows.append((100 * k + i, " ".join(w)))
+    rows += [(500 + i, t) for i, t in ((0, rows[0][1]), (1, rows[3][1]))] + [(500, "other words under one id")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(table).collect()}
+    want = brute_components([*rows[:-3], (500, rows[0][1]), (501, rows[3][1])], 4)
+    assert all(got[i, n] == c for i, (n, c) in want.items()) and got[500, 2] == 500  # each row by its own set
+
+
 # ------------------------------------------------------------------ 6 repeats
 
 
