@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, slices, strings, table
+from .common import in_worker, ship_package, slices, strings, table
 
 BLOCK = 4096
 RATE = 44100
@@ -663,6 +663,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship_package(docs.sparkSession)
     shown = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text", 2 << 20):
@@ -680,6 +681,7 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
     ship_package(media.sparkSession)
     shown = media.select(id_col, media_col).where(F.col(media_col).isNotNull())
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, media_col, 2 << 20):
@@ -700,6 +702,7 @@ def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     shown = media.select(id_col, "n_bytes", "media")
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "media", 2 << 20):

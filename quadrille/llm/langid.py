@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, ship_package, slices, smallest_hashes
+from .common import crc_bucket, in_worker, ship_package, slices, smallest_hashes
 
 BITS = 15
 PER_LANG = 300
@@ -109,6 +109,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     picked = smallest_hashes(ids, "lang", PER_LANG, ["rank_hash", "id"]).select("id", "rank_hash")
     sample = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # at most PER_LANG rows a language
 
+    @in_worker
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(1 << BITS, bool)
         for batch in batches:
@@ -126,6 +127,7 @@ def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id",
     keep = [id_col] if keep is None else keep
     shown = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(1 << BITS, bool)
         for whole in batches:

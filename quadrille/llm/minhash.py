@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, lists, materialize, runs_of, ship_package, shuffle_parts, slices, strings, table
+from .common import Memo, free_shuffles, in_worker, lists, materialize, runs_of, ship_package, shuffle_parts, slices, strings, table
 from .components import components, merged
 
 WORDS = 4
@@ -45,7 +46,6 @@ ALIKE = 0.75
 #: Best partners a class (and chunk) that are compared before components are formed again and the rest follow.
 PARTNERS = 16
 CHUNK = 4096
-_MOST_MEMO = 300_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,17 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= _MOST_MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 5)
-        return value
-
-
-_words = _WordHashes()
+_words = Memo(lambda word: xxhash.xxh64_intdigest(word, 5))
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -123,6 +113,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship_package(docs.sparkSession)
     shown = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circle = circulant(ROWS * BANDS)
         for whole in batches:
@@ -147,6 +138,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """rep and its set, of rows (rep, text)."""
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
@@ -175,6 +167,7 @@ def _alike(n, m, percent: int):
 def coordinates(rows: DataFrame) -> DataFrame:
     """rep, n, block and the low byte of each of CHECKED signature coordinates, of rows (rep, hashes, block)."""
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circle = circulant(CHECKED)
         for whole in batches:
@@ -205,6 +198,7 @@ def plausible(signed: DataFrame, labels: DataFrame, most: int, percent: int = PE
     asked = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda k: F.struct(own("askers").alias("asker"), k.alias("home"), F.lit(True).alias("asks")))
     dealt = rows.select("block", "rep", "n", "component", "signature", F.explode(F.when(asks, F.concat(told, asked)).otherwise(told)).alias("x")).select("block", "x.asker", "x.home", "x.asks", "rep", "n", "component", "signature")
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches, 3):
             asks, (rep, n, component) = t.column("asks").to_numpy(), (t.column(c).to_numpy() for c in ("rep", "n", "component"))

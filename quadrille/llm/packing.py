@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ship_package, slices, table, tokenizer_path
+from .common import Memo, in_worker, kept, materialize, ship_package, slices, table, tokenizer_path
 
 MODEL = "byte_bpe_50k"
 CAPACITY = 2048
 END = 0
 BUCKETS = 64
-_MOST_MEMO = 300_000
 #: A space between two characters that are no white space starts a new token of the pre-tokeniser.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^\s|\s$|\s\s")
@@ -50,7 +49,7 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.words = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.name, self.library = name, None
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(lambda part: np.array(self.words.encode_ordinary(part), "<u4").tobytes())
 
     def _whole(self, text: str) -> bytes:
         if self.library is None:
@@ -72,18 +71,10 @@ class ByteBpe:
             parts = (" " + text).split(" ")[1:]
             parts = [parts[0], *[" " + p for p in parts[1:]]]
         memo = self.memo
-        try:
-            return b"".join([memo[p] for p in parts])
-        except KeyError:
-            if len(memo) > _MOST_MEMO:
-                memo.clear()
-            for p in parts:
-                if p not in memo:
-                    memo[p] = np.array(self.words.encode_ordinary(p), "<u4").tobytes()
-            return b"".join([memo[p] for p in parts])
+        return b"".join([memo[p] for p in parts])
 
 
-_tokenizers: dict[str, ByteBpe] = {}
+_tokenizers: dict[str, ByteBpe] = kept({})
 
 
 def tokenizer(name: str) -> ByteBpe:
@@ -105,6 +96,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     kind = shown.schema[id_col].dataType.simpleString()
     names = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(model)
         closing = END.to_bytes(4, "little")
@@ -266,6 +258,7 @@ def pack(cut_pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> D
     shown = ranked.select(*names, (F.col("__before") + F.col("__rank")).cast("long").alias("__rank"))
     at = names.index("length")
 
+    @in_worker
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = batch.column(at).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()

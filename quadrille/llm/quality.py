@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, ship_package, slices, smallest_hashes, table
+from .common import Memo, crc_bucket, in_worker, ship_package, slices, smallest_hashes, table
 
 WORD_BITS = 16
 BINS = 12
@@ -33,7 +33,6 @@ EPOCHS = 12
 META_BINS = 24
 #: Metadata that documents have, for op2 and the pipeline.
 META = ("n_chars",)
-_MOST_MEMO = 400_000
 
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b" ", b"\n\r\t\x0b\x0c", bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b".", b",;:", b"!?", b"|", b"#$%&*@", b"<>{}[]()/\\=+", b"'\"-_`~^")):
@@ -63,24 +62,15 @@ def statistics(text: str, n_words: int, n_distinct: int) -> list[int]:
     return bins
 
 
-class _Memo(dict):
-    """Word to hashed column; bounded, as a worker lives through many tasks."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _MOST_MEMO:
-            self.clear()
-        column = self[word] = zlib.crc32(word.encode("utf-8", "replace")) >> (32 - WORD_BITS)
-        return column
-
-
-_memo = _Memo()
+#: Word to hashed column.
+_columns = Memo(lambda word: zlib.crc32(word.encode("utf-8", "replace")) >> (32 - WORD_BITS))
 
 
 def features(text: str, meta: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
     """Columns and values of one document."""
     words = text.lower().split()
     distinct = set(words)
-    columns = np.unique(np.fromiter(map(_memo.__getitem__, distinct), np.int32, len(distinct)))
+    columns = np.unique(np.fromiter(map(_columns.__getitem__, distinct), np.int32, len(distinct)))
     base = 1 << WORD_BITS
     stats = [base + BINS * i + b for i, b in enumerate(statistics(text, len(words), len(distinct)))]
     base += STAT_COLUMNS
@@ -162,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = smallest_hashes(known.withColumn("h", F.xxhash64(F.col(id_col).cast("string"))), "label", TRAIN_ROWS // 2, ["h", id_col])
     sample = docs.select(id_col, F.col(text_col).cast("string").alias("text"), *(F.col(c).cast("double").alias(f"m_{i}") for i, c in enumerate(meta_cols))).join(F.broadcast(known.select(id_col, "label", "h")), id_col)  # at most TRAIN_ROWS rows
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             meta = [batch.column(3 + i).to_pylist() for i in range(len(meta_cols))]
@@ -179,6 +170,7 @@ def score(docs: DataFrame, model: FactorisationMachine, keep: list[str], text_co
     shown = docs.select(*keep, F.col(text_col).cast("string").alias("__text"), *(F.col(c).cast("double").alias(f"__m{i}") for i, c in enumerate(meta_cols)))
     k = len(keep)
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text", 4 << 20):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import even_keys, free_shuffles, materialize, ship_package, shuffle_parts, slices, strings, table, unzipped, zipped
+from .common import even_keys, free_shuffles, in_worker, materialize, ship_package, shuffle_parts, slices, strings, table, unzipped, zipped
 
 LENGTH = 50
 GRAM = 24
@@ -161,6 +161,7 @@ def _packed(ids: list[bytes], values: list[bytes], keys: np.ndarray) -> pa.Recor
 def _by_id(packed: DataFrame, parts: int, column: str) -> DataFrame:
     """(id, column): one row for each id of _packed rows, its values joined."""
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, list[bytes]] = {}
         for batch in batches:
@@ -187,6 +188,7 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
     schema = "bucket int, id binary, told boolean, ids binary, prints binary"
     names = ["bucket", "id", "told", "ids", "prints"]
 
+    @in_worker
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
@@ -220,6 +222,7 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names)
 
+    @in_worker
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, owners, called = [], [], []
         n_called = 0
@@ -383,6 +386,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
             out.append((key, None, None, squeeze(head + data[where].tobytes())))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
+    @in_worker
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for batch in batches:
@@ -405,6 +409,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
         if found:
             yield send(found)
 
+    @in_worker
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -515,6 +520,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     marked = _marked(docs, id_col, text_col, [id_col])
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, removed, spans, sums = [], [], [], []
@@ -537,6 +543,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     others = [c for c in names if c != text_col]
     marked = _marked(docs, id_col, text_col, others)
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__zip", 1 << 20):

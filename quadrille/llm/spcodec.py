@@ -1,13 +1,14 @@
 """SentencePiece encoding with byte spans of the source, and decoding.
 
 The normaliser takes the longest prefix in the compiled character map and records the source byte of every byte that it
-writes. Normalised text splits before each run of space symbols that follows another character, as no piece holds a
-space symbol after another character (checked when a model is loaded; other models are segmented whole). Parts are
-segmented once and kept in a bounded memo; each piece's span in the source follows from the alignment. Decoding goes
-from ids alone.
-
-Defined results: null and empty texts have no ids and decode to nothing; characters without a piece become byte pieces;
-rows repeat as they are given; extra columns are ignored.
+writes.
+Texts split before each run of space symbols that follows another character, as no piece holds a space symbol after
+another character and, without a character map, no prefix reaches across (checked when a model is loaded; texts of other
+models are taken whole). Each part is normalised with its alignment, segmented, and its pieces' ends are projected to
+source bytes, once; short parts are kept in a bounded memo. Decoding goes from ids alone.
+
+Defined results: null and empty texts have no ids and decode to nothing; characters without a piece become byte pieces,
+whose spans are single bytes; rows repeat as they are given; ids may be null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, slices, table, tokenizer_path
+from .common import in_worker, kept, ship_package, slices, table, tokenizer_path
 from .spmodel import BYTE, CONTROL, SPACE, UNKNOWN, Model
 
 MODEL = "piece_bpe_32k.model"
-_MOST_MEMO = 300_000
-_SPACE = re.compile(f"[ {SPACE}]")
+#: Parts that are kept, and their longest.
+_MOST_MEMO = 60_000
+_LONGEST = 48
 _PARTS = re.compile(f"[ {SPACE}]+[^ {SPACE}]*")
 _NORMAL_PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -41,41 +43,40 @@ class Codec:
         self.surface = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(m.pieces, m.types, strict=True)]
         #: Bytes of the normalised text that a piece covers; unknown pieces cover a character and are measured when met.
         self.width = np.array([1 if t == BYTE else len(p.encode()) for p, t in zip(m.pieces, m.types, strict=True)], np.int64)
-        self.fast = m.identity and self.splits and m.byte_fallback
+        #: Whether the character map's prefixes and the pieces both end at a space, so that parts of a text can go alone.
+        self.by_parts = self.splits and m.byte_fallback and m.dummy_prefix and m.escape_spaces and not m.trim_spaces and m.charsmap is None
         #: Part of the source to (ids as decimal text, ids, source bytes of each id).
         self.memo: dict[str, tuple[str, bytes, bytes]] = {}
 
-    def _learn(self, parts: set[str]) -> None:
-        """Segment parts of the source, each of which begins with spaces or space symbols."""
+    def _learn(self, parts: set[str]) -> dict[str, tuple[str, bytes, bytes]]:
+        """Normalise, segment and align parts of the source, each of which begins with spaces or space symbols."""
         new = list(parts)
-        for part, ids in zip(new, self.segmenter.encode([p.replace(" ", SPACE) for p in new], out_type=int, num_threads=1), strict=True):
+        normal = [self.model.normalize(p, first=False) for p in new]
+        found = {}
+        for part, (norm, source), ids in zip(new, normal, self.segmenter.encode([n.decode("utf-8", "replace") for n, _ in normal], out_type=int, num_threads=1), strict=True):
             ids = np.array(ids, np.uint32)
-            size = self.width[ids]
-            if part[0] == " " and not _SPACE.search(part, 1):
-                size[0] -= 2  # the space symbol's three bytes stand for one
-            else:
-                source = np.cumsum([0, *(len(c.encode("utf-8", "replace")) for c in part)])
-                norm = np.cumsum([0, *(3 if c == " " else len(c.encode("utf-8", "replace")) for c in part)])
-                size = np.diff(np.interp(np.cumsum([0, *size]), norm, source).astype(np.int64))
-            self.memo[part] = (",".join(map(str, ids.tolist())), ids.tobytes(), size.astype(np.uint32).tobytes())
+            at = np.asarray(source, np.int64)[np.concatenate([[0], np.cumsum(self.width[ids])])]
+            found[part] = (",".join(map(str, ids.tolist())), ids.tobytes(), np.diff(at).astype(np.uint32).tobytes())
+        return found
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         """For each text: ids as decimal text, ids, and the source byte at which each id begins (and the end)."""
-        if not self.fast:
+        if not self.by_parts:
             yield from map(self.encode, texts)
             return
+        memo = self.memo
         cut = [_PARTS.findall(" " + t) if t else [] for t in texts]  # that space is the dummy prefix
-        every = {p for parts in cut for p in parts}
-        new = every - self.memo.keys()
-        if len(self.memo) + len(new) > _MOST_MEMO:
-            self.memo.clear()
-            new = every
-        self._learn(new)
+        learned = self._learn({p for parts in cut for p in parts} - memo.keys())
+        short = {p: v for p, v in learned.items() if len(p) <= _LONGEST}
+        if len(memo) + len(short) > _MOST_MEMO:
+            learned |= {p: memo[p] for parts in cut for p in parts if p in memo}
+            memo.clear()
+        memo.update(short)
         for parts in cut:
             if not parts:
                 yield "", np.zeros(0, np.uint32), np.zeros(1, np.int64)
                 continue
-            found = list(map(self.memo.__getitem__, parts))
+            found = [memo.get(p) or learned[p] for p in parts]
             sizes = np.frombuffer(b"".join([x[2] for x in found]), np.uint32).astype(np.int64)
             sizes[0] -= 1  # the dummy prefix has no byte in the source
             yield ",".join([x[0] for x in found]), np.frombuffer(b"".join([x[1] for x in found]), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
@@ -109,7 +110,7 @@ class Codec:
         return data.decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = kept({})
 
 
 def codec(name: str) -> Codec:
@@ -124,6 +125,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     ship_package(docs.sparkSession)
     shown = docs.select(id_col, F.col(text_col).cast("string").alias("__text"))
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for whole in batches:
@@ -140,23 +142,25 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     ship_package(docs.sparkSession)
     shown = docs.select(id_col, F.col(text_col).cast("string").alias("__text"))
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for whole in batches:
             for batch in slices(whole, "__text", 2 << 20):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                n, ids_sum, text_sum, end = [], [], [], []
+                n, ids_sum, text_sum, spans_sum = [], [], [], []
                 for shown_ids, ids, begins in c.encode_batch(texts):
                     n.append(len(ids))
                     ids_sum.append(hashlib.sha256(shown_ids.encode()).hexdigest())
                     text_sum.append(hashlib.sha256(c.decode(ids).encode("utf-8", "replace")).hexdigest())
-                    end.append(int(begins[-1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string()), pa.array(end, pa.int64())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "spans_end"])
+                    spans_sum.append(hashlib.sha256(begins.astype("<i8").tobytes()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string()), pa.array(spans_sum, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     kind = shown.schema[id_col].dataType.simpleString()
-    return shown.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_end long")
+    return shown.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded; spans_end is the source byte at which the last piece ends."""
+    """Every document encoded and decoded. spans_sha256 is over the source bytes where pieces begin and the text's size, as
+    little-endian 64-bit numbers."""
     return digest(table(spark, sf_dir, "documents"))

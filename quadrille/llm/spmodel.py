@@ -138,8 +138,9 @@ class Model:
         model.bare = b"".join(bare)
         return model
 
-    def normalize(self, text: str) -> tuple[bytes, list[int]]:
-        """Normalised UTF-8, and for each of its bytes (and its end) the byte of the source it came from."""
+    def normalize(self, text: str, first: bool = True) -> tuple[bytes, list[int]]:
+        """Normalised UTF-8, and for each of its bytes (and its end) the byte of the source it came from. first: the text
+        is whole or its beginning, and gets the dummy prefix."""
         data = text.encode("utf-8", "replace")
         at, end = 0, len(data)
         out, source = bytearray(), []
@@ -161,7 +162,7 @@ class Model:
         if at == end:
             return b"", [0]
         space = SPACE.encode() if self.escape_spaces else b" "
-        if self.dummy_prefix:
+        if self.dummy_prefix and first:
             out += space
             source += [at] * len(space)
         after_space = self.trim_spaces

@@ -9,12 +9,14 @@ that may follow the last piece before it. Every transition carries the change in
 tokens merge).
 States and transitions are made when first met and kept; the table is emptied when it reaches MOST_STATES.
 
-Long texts are cut into chunks. A chunk's state map is (head, count, tail): the characters up to its first start state,
-the tokens between, and the characters after its last start state. Maps compose associatively, and a prefix scan of
-them gives the count at every chunk's end.
+Every text is cut into chunks of CHUNK characters, wherever that falls. A chunk's state map takes the state that the
+transducer comes in to the state that it leaves in and the tokens between. A map is exact for every state and knows some
+already: a start state inside a chunk forgets what came before, so all states share the map from there on, and for the
+part before it the map begins with the state that the last characters of the chunk before lead to, and learns others when
+it is asked. Maps compose associatively, and an inclusive prefix scan of them gives the count at every chunk's end.
 
 Defined results: null and empty texts have no tokens; characters without a piece count as their UTF-8 bytes; rows
-repeat as they are given; extra columns are ignored.
+repeat as they are given; ids may be null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,17 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, slices, table, tokenizer_path
+from .common import Memo, in_worker, kept, ship_package, slices, table, tokenizer_path
 from .spmodel import NORMAL, SPACE, UNUSED, USER_DEFINED, Model
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-CHUNK = 1 << 16
-MOST_STATES = 200_000
-_MOST_MEMO = 300_000
+CHUNK = 1 << 12
+MOST_STATES = 100_000
+#: Characters before a chunk whose end state its map begins with.
+RUN_IN = 32
 _RESET = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
+#: The key of the start state: nothing live, no piece yet, no token since.
+START = ("", (("", 0),))
+
+
 class Transducer:
     def __init__(self, model: Model):
         if not model.identity:
@@ -50,16 +57,22 @@ class Transducer:
         self.longest = max(map(len, self.scores), default=1)
         self.whole: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, int] = {}
+        #: Words that each follow one space symbol, from the start state: one move with its tokens.
+        self.memo = Memo(lambda word: self.run(SPACE + word)[1], 100_000)
         self._reset()
 
     def _reset(self) -> None:
-        start = ("", (("", 0),))
-        self.keys = [start]
-        self.numbers = {start: 0}
+        self.keys = [START]
+        self.numbers = {START: 0}
         #: For each state: character to (next state, change of the count).
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
 
+    def _add(self, key: tuple) -> int:
+        number = self.numbers[key] = len(self.keys)
+        self.keys.append(key)
+        self.moves.append({})
+        return number
+
     def segment(self, text: str) -> list[str]:
         """Plain BPE: the best-scored, then leftmost, neighbouring pair merges until none is a piece."""
         parts = list(text)
@@ -107,96 +120,97 @@ class Transducer:
         key = (text[cut:], kept[-(len(text) - cut + 1) :])
         number = self.numbers.get(key)
         if number is None:
-            number = self.numbers[key] = len(self.keys)
-            self.keys.append(key)
-            self.moves.append({})
+            number = self._add(key)
         move = self.moves[state][char] = (number, delta)
         return move
 
-    def run(self, word: str) -> int:
-        """Tokens of a run of characters that starts in the start state."""
+    def run(self, text: str, key: tuple = START) -> tuple[tuple, int]:
+        """The state after some characters from the state of a key, and the tokens between."""
         if len(self.keys) > MOST_STATES:
             self._reset()
-        state = count = 0
+        state = self.numbers.get(key)
+        if state is None:
+            state = self._add(key)
+        count = 0
         moves = self.moves
-        for char in word:
+        for char in text:
             move = moves[state].get(char) or self._compile(state, char)
             state = move[0]
             count += move[1]
-        return count
+        return self.keys[state], count
 
-    def words(self, parts: list[str]) -> int:
-        """Tokens of words that each follow one space symbol; whole words are kept as single moves."""
+    def plain(self, text: str) -> int:
+        """Tokens of text from the start state to a start state; whole words are single moves."""
         memo = self.memo
-        try:
-            return sum([memo[p] for p in parts])
-        except KeyError:
-            if len(memo) > _MOST_MEMO:
-                memo.clear()
-            total = 0
-            for p in parts:
-                n = memo.get(p)
-                if n is None:
-                    n = memo[p] = self.run(SPACE + p)
-                total += n
-            return total
-
-    def _plain(self, text: str) -> int:
-        """Tokens of normalised text that begins in the start state and ends before a start state."""
-        if not text:
-            return 0
         parts = text.split(SPACE)
         if parts[0] == "" and "" not in parts[1:]:
-            return self.words(parts[1:])
-        return sum(map(self.run, _RESET.split(text)))
-
-    def chunk(self, text: str) -> tuple[str, int | None, str]:
-        """The state map of a chunk; a count of None: the chunk never passes a start state, and is all head."""
-        first = _RESET.search(text)
-        if first is None:
-            return text, None, ""
-        last = first.start()
-        for last in (m.start() for m in _RESET.finditer(text, max(first.start(), len(text) - 4096))):
-            pass
-        return text[: first.start()], self._plain(text[first.start() : last]), text[last:]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The state map of a chunk followed by another."""
-        joint = (a[2] if a[1] is not None else a[0]) + b[0]
-        inner = [joint]
-        cut = _RESET.search(joint)  # a start state can lie where the two meet
-        if cut is not None:
-            inner = [joint[: cut.start()], joint[cut.start() :]]
-        if a[1] is None:
-            if len(inner) == 1:
-                return (joint, None, "") if b[1] is None else (joint, b[1], b[2])
-            return (inner[0], 0, inner[1]) if b[1] is None else (inner[0], self._plain(inner[1]) + b[1], b[2])
-        if b[1] is None:
-            return (a[0], a[1], joint) if len(inner) == 1 else (a[0], a[1] + self._plain(inner[0]), inner[1])
-        return a[0], a[1] + sum(map(self._plain, inner)) + b[1], b[2]
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
+            return sum([memo[p] for p in parts[1:]])
+        return sum([self.run(p)[1] for p in _RESET.split(text)])
+
+    def scan(self, maps: list[StateMap | Composed]) -> list[StateMap | Composed]:
         """Inclusive prefix scan by doubling."""
         step = 1
         while step < len(maps):
-            maps = [m if i < step else self.compose(maps[i - step], m) for i, m in enumerate(maps)]
+            maps = [m if i < step else Composed(maps[i - step], m) for i, m in enumerate(maps)]
             step *= 2
         return maps
 
-    def count(self, text: str) -> int:
+    def prefix_counts(self, text: str) -> list[int]:
+        """Tokens of the text up to the end of each chunk."""
         if not text:
-            return 0
+            return []
         shown = SPACE + text.replace(" ", SPACE)
-        if len(shown) <= CHUNK:
-            return self._plain(shown)
-        maps = [self.chunk(shown[i : i + CHUNK]) for i in range(0, len(shown), CHUNK)]
-        while len(maps) > 1:  # the last element of the scan, by the same tree
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, middle, tail = maps[0]
-        return self._plain(head) + (middle or 0) + self._plain(tail)
+        maps = [StateMap(self, shown, at, min(at + CHUNK, len(shown))) for at in range(0, len(shown), CHUNK)]
+        return [m.after(START)[1] for m in self.scan(maps)]
+
+    def count(self, text: str) -> int:
+        return self.prefix_counts(text)[-1] if text else 0
+
+
+class StateMap:
+    """State in to (state out, tokens between) over text[begin:end]."""
+
+    def __init__(self, transducer: Transducer, text: str, begin: int, end: int):
+        self.transducer = transducer
+        # a start state lies where a space follows another character; the chunk's first character belongs to the head
+        first = 0 if begin == 0 else next((m.start() for m in _RESET.finditer(text, begin, end)), -1)
+        self.head = text[begin:first] if first >= 0 else text[begin:end]
+        self.rest: tuple[tuple, int] | None = None
+        if first >= 0:
+            last = text.rfind(SPACE, first, end)
+            while last > first and text[last - 1] == SPACE:
+                last -= 1
+            out, tail = transducer.run(text[last:end])
+            self.rest = out, (transducer.plain(text[first:last]) if last > first else 0) + tail
+        self.known: dict[tuple, tuple[tuple, int]] = {}
+        if begin:
+            self.after(transducer.run(text[max(0, begin - RUN_IN) : begin])[0])
+
+    def after(self, state: tuple) -> tuple[tuple, int]:
+        found = self.known.get(state)
+        if found is None:
+            out, count = self.transducer.run(self.head, state) if self.head else (state, 0)
+            found = self.known[state] = (out, count) if self.rest is None else (self.rest[0], count + self.rest[1])
+        return found
+
+
+class Composed:
+    """The map of one stretch after another's."""
+
+    def __init__(self, first: StateMap | Composed, then: StateMap | Composed):
+        self.first, self.then = first, then
+        self.known: dict[tuple, tuple[tuple, int]] = {}
+
+    def after(self, state: tuple) -> tuple[tuple, int]:
+        found = self.known.get(state)
+        if found is None:
+            middle, a = self.first.after(state)
+            out, b = self.then.after(middle)
+            found = self.known[state] = out, a + b
+        return found
 
 
-_compiled: dict[str, Transducer] = {}
+_compiled: dict[str, Transducer] = kept({})
 
 
 def transducer(name: str) -> Transducer:
@@ -212,6 +226,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     shown = docs.select(id_col, text.alias("__text"))
 
+    @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model)
         for whole in batches:

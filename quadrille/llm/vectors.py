@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship_package, shuffle_parts, table
+from .common import in_worker, materialize, ship_package, shuffle_parts, table
 from .components import components
 
 COSINE = 0.95
@@ -184,6 +184,7 @@ def _neighbours(classes: DataFrame, means: np.ndarray, overlap: int, degree: int
     parts = shuffle_parts(classes.sparkSession)
     shards_of = min(overlap, len(means))
 
+    @in_worker
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -197,6 +198,7 @@ def _neighbours(classes: DataFrame, means: np.ndarray, overlap: int, degree: int
     rows = rows.join(F.broadcast(sizes), "shard").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     built = rows.select(F.xxhash64("shard", "block").alias("task"), "rep", "v")
 
+    @in_worker
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _tasks(batches):
             rep = t.column(1).to_numpy()
@@ -212,6 +214,7 @@ def _neighbours(classes: DataFrame, means: np.ndarray, overlap: int, degree: int
     tasks = rows.join(union, "rep").withColumn("ij", pairs)
     tasks = tasks.select(F.xxhash64("shard", "ij.i", "ij.j").alias("task"), "rep", "weight", "v", "shards", "shard", "block", (F.col("ij.i") == F.col("ij.j")).alias("one"), "near")
 
+    @in_worker
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _tasks(batches):
             rep = t.column("rep").to_numpy()
@@ -253,6 +256,7 @@ def _true_links(classes: DataFrame, probes: list, cosine: float) -> dict[int, in
     x = np.array([p[1] for p in probes], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
 
+    @in_worker
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
         for b in batches:

@@ -453,18 +453,34 @@ def test_counts(docs, empty, library):
     assert sptransducer.counts(empty).count() == 0
 
 
-def test_chunk_maps_compose(library, monkeypatch):
+def test_state_maps_compose(library, monkeypatch):
+    """Chunks that begin anywhere, from states that the map did not begin with, and a prefix scan of them."""
     monkeypatch.setattr(sptransducer, "CHUNK", 23)
+    monkeypatch.setattr(sptransducer, "RUN_IN", 3)
     t = sptransducer.transducer("piece_bpe_32k.model")
     rng = random.Random(1)
-    for _ in range(150):
-        x = "".join(rng.choice("abcdeth in\n\t  ▁éñ漢🙂1") for _ in range(rng.randint(0, 150)))
+    for k in range(200):
+        alphabet = "abcdeth in\n\t  ▁éñ漢🙂1" if k % 2 else "abcdethioné漢字语言1"
+        x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 150)))
         assert t.count(x) == len(library.encode(x)), x
-    x = " the cat  sat▁on" * 9
-    shown = "▁" + x.replace(" ", "▁")
-    scanned = t.scan([t.chunk(shown[i : i + 23]) for i in range(0, len(shown), 23)])
-    for i, (head, middle, tail) in enumerate(scanned):
-        assert t._plain(head) + (middle or 0) + t._plain(tail) == t._plain(shown[: 23 * (i + 1)])
+        shown = "▁" + x.replace(" ", "▁")
+        for end, n in zip(range(23, len(shown) + 23, 23), t.prefix_counts(x)):
+            assert n == t.run(shown[:end])[1]
+        at, end = sorted(rng.sample(range(len(shown) + 1), 2)) if len(shown) > 1 else (0, 1)
+        chunk = sptransducer.StateMap(t, shown, at, end)
+        state, before = t.run(shown[:at])
+        after, n = chunk.after(state)
+        assert before + n + t.run(shown[end:], after)[1] == t.run(shown)[1]
+    assert t.prefix_counts("") == []
+
+
+def test_texts_about_a_chunk_and_without_spaces(library):
+    t = sptransducer.transducer("piece_bpe_32k.model")
+    rng = random.Random(3)
+    for n in (sptransducer.CHUNK - 2, sptransducer.CHUNK - 1, sptransducer.CHUNK, 3 * sptransducer.CHUNK + 5):
+        for alphabet in ("abcdefghij", "漢字语言文", "a", " ", "ab  \n"):
+            x = "".join(rng.choice(alphabet) for _ in range(n))
+            assert t.count(x) == len(library.encode(x))
 
 
 def test_codec(docs, empty, library):
@@ -478,13 +494,30 @@ def test_codec(docs, empty, library):
     assert spcodec.digest(empty).count() == 0
 
 
-def test_both_ways_to_spans_agree(library):
+def test_spans_byte_by_byte(library):
+    """Spans touch, cover the text, and each piece's characters stand in its span; the whole-text way gives the same."""
     codec = spcodec.codec("piece_bpe_32k.model")
     rng = random.Random(6)
-    xs = ["".join(rng.choice("abc in  ▁éñ漢🙂\x00") for _ in range(rng.randint(0, 60))) for _ in range(100)]
-    for x, (_, ids, begins) in zip(xs, codec.encode_batch(xs)):
+    xs = ["".join(rng.choice("abc in  ▁éñ漢🙂\x00") for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    xs += ["漢字" * 40, " " * 30, "▁" * 9, "a" * 500, "  two  spaces  "]
+    for x, (_, ids, begins) in zip(xs, codec.encode_batch(xs), strict=True):
         _, other, at = codec.encode(x)
-        assert ids.tolist() == other.tolist() and begins.tolist() == at.tolist()
+        assert ids.tolist() == other.tolist() == library.encode(x) and begins.tolist() == at.tolist()
+        source = x.encode()
+        assert begins[-1] == len(source) and (not len(ids) or begins[0] == 0)
+        for k, i in enumerate(ids.tolist()):
+            span, piece = source[begins[k] : begins[k + 1]], library.id_to_piece(i)
+            if library.is_byte(i):
+                assert piece == f"<0x{span[0]:02X}>" and len(span) == 1
+            else:
+                shown = span.decode().replace(" ", "▁")
+                assert shown == piece or (k == 0 and "▁" + shown == piece)
+
+
+def test_memos_are_bounded():
+    memo = common.Memo(len, most=3, longest=4)
+    assert [memo[x] for x in ("a", "bb", "a" * 9, "ccc", "dddd")] == [1, 2, 9, 3, 4]
+    assert set(memo) == {"dddd"} and len("a" * 9) not in memo
 
 
 def test_character_map_against_the_library():
