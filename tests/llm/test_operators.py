@@ -539,36 +539,88 @@ def test_character_map_against_the_library():
 # ------------------------------------------------------------------ 9 vectors
 
 
+def brute_links(rows, cosine=0.95):
+    """(n_links, component, kept) by id of (id, vector), vectors of one length with each other."""
+    near = np.zeros((len(rows), len(rows)), bool)
+    for size in {len(v) for _, v in rows}:
+        own = [k for k, (_, v) in enumerate(rows) if len(v) == size]
+        x = np.array([rows[k][1] for k in own], np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near[np.ix_(own, own)] = x @ x.T >= cosine
+    near[np.arange(len(rows)), np.arange(len(rows))] = False
+    root = list(range(len(rows)))
+    for _ in rows:
+        new = [min([root[i], *(root[j] for j in np.flatnonzero(near[i]))]) for i in range(len(rows))]
+        if new == root:
+            break
+        root = new
+    return {i: (int(near[k].sum()), rows[root[k]][0], root[k] == k) for k, (i, _) in enumerate(rows)}
+
+
+ODD = [None, [], [0.0] * 16, [float("nan")] * 16, [1.0] * 15 + [float("inf")], [None] * 16, [1.0] * 15 + [None]]
+
+
 def test_vectors(spark):
+    """Null ids, odd vectors, vectors of other lengths, equal ones, and extra columns with the operator's own names."""
     rng = np.random.default_rng(7)
     base = rng.normal(size=(60, 16))
     rows = [b + rng.normal(size=16) * s for b in base for s in (0, 0.05, 0.1, 0.2)] + [base[0]] * 5 + [base[1] * 2]
     rows = [list(map(float, np.float32(r))) for r in rows]
-    odd = [None, [0.0] * 16, [float("nan")] * 16, [float("inf")] * 16, [None] * 16]
-    table = spark.createDataFrame(list(enumerate(rows + odd)), "vec_id long, embedding array<float>").withColumnRenamed("x", "y")
+    rows += [r[:5] for r in rows[:30]]
+    given = [(i, v, 1, 2, 3) for i, v in enumerate(rows + ODD)] + [(None, rows[0], 1, 2, 3), (None, None, 1, 2, 3)]
+    table = spark.createDataFrame(given, "vec_id long, embedding array<float>, rep long, weight int, shard string")
     found, recalls = vectors.near_duplicates(table)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found.collect()}
-    x = np.array(rows, np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
-    a, b = np.nonzero(near)
-    roots = vectors._roots(len(x), a, b)
-    for i in range(len(x)):
-        assert got[i] == (near[i].sum(), roots[i], roots[i] == i)
-    for i in range(len(x), len(x) + len(odd)):
-        assert got[i] == (0, i, True)
-    assert recalls[-1] >= 0.95
+    every = found.collect()
+    assert [tuple(r)[1:] for r in every if r.vec_id is None] == [(0, None, True)] * 2
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in every if r.vec_id is not None}
+    want = brute_links(list(enumerate(rows))) | {i: (0, i, True) for i in range(len(rows), len(rows) + len(ODD))}
+    assert got == want and min(recalls) >= 0.95
     assert vectors.near_duplicates(table.limit(0))[0].count() == 0
 
 
-def test_oversized_shards_are_searched_whole(spark, monkeypatch):
+def test_double_vectors_at_the_threshold(spark):
+    """Cosines a rounding of single precision away from 0.95."""
+    rows = []
+    for k, c in enumerate((0.95 - 1e-12, 0.95 + 1e-12, 0.95 - 1e-9, 0.95 + 1e-9)):
+        x = np.zeros((2, 8))
+        x[0, 2 * k], x[1, 2 * k], x[1, 2 * k + 1] = 1e200, c, np.sqrt(1 - c * c)
+        rows += [(2 * k + i, list(map(float, v))) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0].collect()}
+    assert [got[i] for i in range(8)] == [0, 0, 1, 1, 0, 0, 1, 1]
+
+
+@pytest.mark.parametrize("centres, scale", [(2, 8), (1, 8), (6, 0)])
+def test_large_shards(spark, monkeypatch, centres, scale):
+    """Shards that are split by centres of their own, one that none can split, and the exact way."""
     monkeypatch.setattr(vectors, "SHARD", 40)
-    monkeypatch.setattr(vectors, "MOST_CENTRES", 2)
+    monkeypatch.setattr(vectors, "CENTRES", centres)
+    monkeypatch.setattr(vectors, "SPLIT", 4)
+    monkeypatch.setattr(vectors, "MOST_SCALE", scale)
     rng = np.random.default_rng(3)
-    x = np.float32(rng.normal(size=8) + rng.normal(size=(200, 8)) * 0.15)
-    table = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    found, recalls = vectors.near_duplicates(table)
-    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    want = ((u @ u.T >= 0.95) & ~np.eye(200, dtype=bool)).sum()
-    got = sum(r.n_links for r in found.collect())
-    assert got <= want and got >= 0.95 * want and recalls[-1] >= 0.9
+    x = np.concatenate([rng.normal(size=8) + rng.normal(size=(150, 8)) * 0.12, rng.normal(size=(250, 8))])
+    rows = [(i, list(map(float, np.float32(v)))) for i, v in enumerate(x)]
+    found, recalls = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    want = brute_links(rows)
+    links = {r.vec_id: r.n_links for r in found.collect()}
+    assert all(links[i] <= want[i][0] for i in want)
+    assert sum(links.values()) >= (0.95 if scale else 1) * sum(n for n, _, _ in want.values()) and recalls[-1] >= 0.95
+
+
+def test_graph_is_pruned_and_searched():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(700, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = vectors.robust_graph(x, 12, 40)
+    assert graph.shape == (700, 12) and (graph != np.arange(700)[:, None]).all()
+    for i, g in enumerate(graph):
+        g = g[g >= 0]
+        assert len(set(g.tolist())) == len(g)
+        near = 1 - x[g] @ x[i]
+        for a in range(len(g)):
+            assert all(vectors.ALPHA * (1 - x[g[a]] @ x[g[b]]) > near[b] - 1e-5 for b in range(a + 1, len(g)))
+    flat, begin = graph[graph >= 0], np.concatenate([[0], np.cumsum((graph >= 0).sum(axis=1))])
+    want = x @ x.T >= 0.7
+    want[np.arange(700), np.arange(700)] = False
+    assert (vectors.range_search(x, begin, flat, 700, 0.7) == want).all()
+    some = vectors.range_search(x, begin, flat, 30, 0.7)
+    assert not (some & ~want).any() and some.sum() >= 0.9 * want.sum()
