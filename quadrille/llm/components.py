@@ -2,37 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_worker, materialize
+
+#: Links that a task holds at a time.
+HELD = 1 << 20
+
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest member of each component of n numbers that links a, b join."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _forest(links: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same nodes, at most one less than nodes for every HELD links of a task: each node of a
+    task's components with the component's smallest."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = [np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1)]
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        label = roots(at[: len(ends[0])], at[len(ends[0]) :], len(nodes))
+        own = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[label[own]]), pa.array(nodes[own])], ["a", "b"])
+
+    @in_worker
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= HELD:
+                yield stars(held)
+                held = []
+        if held:
+            yield stars(held)
+
+    return links.mapInArrow(run, "a long, b long")
 
 
 def _edges(links: DataFrame) -> DataFrame:
-    """Each link once, smaller end first; loops go."""
-    return links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """The forests of the links' tasks, each link once, smaller end first."""
+    whole = links.where("a != b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
+    return materialize(_forest(whole).distinct(), "edges")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of a link between two nodes reaches.
 
-    Randomised contraction: each round shuffles the nodes' order by a hash, every node moves to the first of itself and
-    its neighbours, the places moved to replace the nodes, and loops and repeated links go. At least a quarter of the
-    nodes is expected to go each round, so all rounds together cost little more than the first, and long chains and hubs
-    take as many rounds as anything else. Neighbours are pre-aggregated before a shuffle. Every round is written to the
-    shared folder.
+    By contraction: each round every node moves to the first of itself and its neighbours, and then to where that one
+    moved; the places moved to replace the nodes, and loops and repeated links go. Each task first turns its links into
+    stars. The first round orders nodes by themselves, which ends it for stars; later ones by a new hash each, so that at
+    least a quarter of the nodes is expected to go in every one, whatever the shape. Neighbours are pre-aggregated before
+    a shuffle. Every round is written to the shared folder.
     """
-    edges = materialize(_edges(links.select(F.col(a).alias("a"), F.col(b).alias("b"))), "edges")
+    edges = _edges(links.select(F.col(a).alias("a"), F.col(b).alias("b")))
     moves: list[DataFrame] = []
     while edges.limit(1).count():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
-        rank = lambda c, k=len(moves): F.xxhash64(c, F.lit(k))
-        first = both.groupBy("node").agg(F.min(F.struct(rank("near").alias("rank"), "near")).alias("best"))
-        own = F.struct(rank("node").alias("rank"), F.col("node").alias("near"))
-        moved = materialize(first.select("node", F.least("best", own)["near"].alias("place")), "moves")
-        to = moved.select(F.col("node").alias("a"), F.col("place").alias("pa")), moved.select(F.col("node").alias("b"), F.col("place").alias("pb"))
-        moves.append(moved)
-        edges = materialize(_edges(edges.join(to[0], "a").join(to[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
+        salt = len(moves)
+        rank = lambda c, k=salt: F.struct((F.xxhash64(c, F.lit(k)) if k else F.lit(0).cast("long")).alias("rank"), F.col(c).alias("node"))
+        first = both.groupBy("node").agg(F.min(rank("near")).alias("best"))
+        moved = materialize(first.select("node", F.least("best", rank("node"))["node"].alias("place")), "moves")
+        then = moved.select(F.col("node").alias("place"), F.col("place").alias("next"))
+        jumped = moved.join(then, "place").select("node", F.col("next").alias("place"))
+        moves.append(jumped)
+        to = jumped.select(F.col("node").alias("a"), F.col("place").alias("pa")), jumped.select(F.col("node").alias("b"), F.col("place").alias("pb"))
+        edges = _edges(edges.join(to[0], "a").join(to[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     places = moves[-1]
