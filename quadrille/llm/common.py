@@ -70,7 +70,7 @@ def kept(table: dict) -> dict:
 class Memo(dict):
     """What `compute` gives for strings, of at most `most` strings of at most `longest` units; longer ones are not kept."""
 
-    def __init__(self, compute: Callable, most: int = 60_000, longest: int = 48):
+    def __init__(self, compute: Callable, most: int = 300_000, longest: int = 48):
         super().__init__()
         self.compute, self.most, self.longest = compute, most, longest
         _memos.append(weakref.ref(self))

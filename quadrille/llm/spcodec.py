@@ -27,7 +27,7 @@ from .spmodel import BYTE, CONTROL, SPACE, UNKNOWN, Model
 
 MODEL = "piece_bpe_32k.model"
 #: Parts that are kept, and their longest.
-_MOST_MEMO = 60_000
+_MOST_MEMO = 200_000
 _LONGEST = 48
 _PARTS = re.compile(f"[ {SPACE}]+[^ {SPACE}]*")
 _NORMAL_PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -43,6 +43,7 @@ class Codec:
         self.surface = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(m.pieces, m.types, strict=True)]
         #: Bytes of the normalised text that a piece covers; unknown pieces cover a character and are measured when met.
         self.width = np.array([1 if t == BYTE else len(p.encode()) for p, t in zip(m.pieces, m.types, strict=True)], np.int64)
+        self.decimal = [str(i) for i in range(len(m.pieces))]
         #: Whether the character map's prefixes and the pieces both end at a space, so that parts of a text can go alone.
         self.by_parts = self.splits and m.byte_fallback and m.dummy_prefix and m.escape_spaces and not m.trim_spaces and m.charsmap is None
         #: Part of the source to (ids as decimal text, ids, source bytes of each id).
@@ -51,13 +52,16 @@ class Codec:
     def _learn(self, parts: set[str]) -> dict[str, tuple[str, bytes, bytes]]:
         """Normalise, segment and align parts of the source, each of which begins with spaces or space symbols."""
         new = list(parts)
-        normal = [self.model.normalize(p, first=False) for p in new]
-        found = {}
-        for part, (norm, source), ids in zip(new, normal, self.segmenter.encode([n.decode("utf-8", "replace") for n, _ in normal], out_type=int, num_threads=1), strict=True):
-            ids = np.array(ids, np.uint32)
-            at = np.asarray(source, np.int64)[np.concatenate([[0], np.cumsum(self.width[ids])])]
-            found[part] = (",".join(map(str, ids.tolist())), ids.tobytes(), np.diff(at).astype(np.uint32).tobytes())
-        return found
+        if not new:
+            return {}
+        normal, source = self.model.normalize_parts(new)
+        every = self.segmenter.encode([n.decode("utf-8", "replace") for n in normal], out_type=int, num_threads=1)
+        count = np.cumsum([0, *map(len, every)])
+        ids = np.fromiter((i for e in every for i in e), np.uint32, int(count[-1]))
+        # pieces follow each other without a gap, in the parts put together as in each
+        size = np.diff(source[np.concatenate([[0], np.cumsum(self.width[ids])])]).astype(np.uint32)
+        ids_bytes, size_bytes, decimal = ids.tobytes(), size.tobytes(), self.decimal
+        return {p: (",".join([decimal[i] for i in e]), ids_bytes[4 * a : 4 * b], size_bytes[4 * a : 4 * b]) for p, e, a, b in zip(new, every, count.tolist(), count[1:].tolist(), strict=False)}
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         """For each text: ids as decimal text, ids, and the source byte at which each id begins (and the end)."""

@@ -11,6 +11,8 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -138,6 +140,21 @@ class Model:
         model.bare = b"".join(bare)
         return model
 
+    def normalize_parts(self, parts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """normalize() of parts of texts that are not their beginnings, and the alignment of all of them put together:
+        for each normalised byte (and the end) the byte of the joined parts it came from."""
+        if self.charsmap is None and not self.trim_spaces and self.escape_spaces:
+            # no prefix is in the map, so every character stands for itself, and spaces become the space symbol
+            data = [p.encode("utf-8", "replace") for p in parts]
+            joined = np.frombuffer(b"".join(data), np.uint8)
+            space = SPACE.encode()
+            source = np.repeat(np.arange(len(joined)), np.where(joined == 32, len(space), 1))
+            return [d.replace(b" ", space) for d in data], np.append(source, len(joined))
+        found = [self.normalize(p, first=False) for p in parts]
+        base = np.cumsum([0, *(len(p.encode("utf-8", "replace")) for p in parts)])
+        source = [np.asarray(s[:-1], np.int64) + b for (_, s), b in zip(found, base, strict=False)]
+        return [n for n, _ in found], np.append(np.concatenate(source), base[-1])
+
     def normalize(self, text: str, first: bool = True) -> tuple[bytes, list[int]]:
         """Normalised UTF-8, and for each of its bytes (and its end) the byte of the source it came from. first: the text
         is whole or its beginning, and gets the dummy prefix."""

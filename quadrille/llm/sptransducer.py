@@ -34,7 +34,7 @@ from .spmodel import NORMAL, SPACE, UNUSED, USER_DEFINED, Model
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 CHUNK = 1 << 12
-MOST_STATES = 100_000
+MOST_STATES = 200_000
 #: Characters before a chunk whose end state its map begins with.
 RUN_IN = 32
 _RESET = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
@@ -58,7 +58,7 @@ class Transducer:
         self.whole: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         #: Words that each follow one space symbol, from the start state: one move with its tokens.
-        self.memo = Memo(lambda word: self.run(SPACE + word)[1], 100_000)
+        self.memo = Memo(lambda word: self.run(SPACE + word)[1])
         self._reset()
 
     def _reset(self) -> None:

@@ -514,6 +514,24 @@ def test_spans_byte_by_byte(library):
                 assert shown == piece or (k == 0 and "▁" + shown == piece)
 
 
+def test_parts_align_as_one_by_one():
+    import public_tokenizers
+
+    from quadrille.llm.spmodel import Model
+
+    model = Model.load(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    parts = ["".join(rng.choice("ab é漢🙂▁\n") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    normal, source = model.normalize_parts(parts)
+    base, want = 0, []
+    for p, n in zip(parts, normal):
+        one, at = model.normalize(p, first=False)
+        assert one == n
+        want += [base + x for x in at[:-1]]
+        base += len(p.encode())
+    assert source.tolist() == [*want, base]
+
+
 def test_memos_are_bounded():
     memo = common.Memo(len, most=3, longest=4)
     assert [memo[x] for x in ("a", "bb", "a" * 9, "ccc", "dddd")] == [1, 2, 9, 3, 4]
