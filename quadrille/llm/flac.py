@@ -675,6 +675,16 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return shown.mapInArrow(run, f"`{id_col}` {shown.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
+def _blocks(streams: list[bytes]) -> list[list]:
+    """Columns stream, block, first_sample, n_samples, byte_offset, rate, channels, depth and pcm of the streams' blocks."""
+    rows: list[list] = [[] for _ in range(9)]
+    for r, d in enumerate(decode_batch(streams)):
+        for b, (first, at, samples) in enumerate(d.blocks):
+            for column, v in zip(rows, (r, b, first, samples.shape[1], at, d.info.rate, d.info.channels, d.info.depth, pcm_bytes(samples, (d.info.depth + 7) // 8)), strict=True):
+                column.append(v)
+    return rows
+
+
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per frame: id_col, block, first_sample, n_samples, byte_offset (of its frame in the stream), rate,
     channels, depth, pcm (interleaved, little-endian, signed). Checksums are verified; null media gives no row."""
@@ -683,43 +693,51 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
 
     @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
         for whole in batches:
             for batch in slices(whole, media_col, 2 << 20):
-                rows: list[list] = [[] for _ in range(9)]
-                for r, d in enumerate(decode_batch([bytes(x) for x in batch.column(1).to_pylist()])):
-                    for b, (first, at, samples) in enumerate(d.blocks):
-                        for column, v in zip(rows, (r, b, first, samples.shape[1], at, d.info.rate, d.info.channels, d.info.depth, pcm_bytes(samples, (d.info.depth + 7) // 8)), strict=True):
-                            column.append(v)
-                kinds = (None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                rows = _blocks([bytes(x) for x in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), *(pa.array(c, k) for c, k in zip(rows[1:], kinds[1:], strict=True))], [id_col, "block", "first_sample", "n_samples", "byte_offset", "rate", "channels", "depth", "pcm"])
 
     return shown.mapInArrow(run, f"`{id_col}` {shown.schema[id_col].dataType.simpleString()}, block int, first_sample long, n_samples long, byte_offset long, rate int, channels int, depth int, pcm binary")
 
 
 def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Read the stored streams back: sums of the payload, of the stored form, and a short description of the signal."""
+    """Read the stored streams back as PCM blocks and describe what those hold: sums of the payload, of the stored form,
+    a short description of the signal, and blocks_sha256 over each block's first sample, place in the stream, size (64-bit
+    little-endian numbers) and PCM bytes, in order."""
     ship_package(media.sparkSession)
     shown = media.select(id_col, "n_bytes", "media")
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks", "blocks_sha256"]
 
     @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "media", 2 << 20):
                 streams = [bytes(x) for x in batch.column(2).to_pylist()]
-                out: list[list] = [[] for _ in range(6)]
-                for stored, d in zip(streams, decode_batch(streams), strict=True):
-                    samples = np.concatenate([s[0] for _, _, s in d.blocks])
-                    payload = (samples + 128).astype(np.uint8).tobytes()
-                    steps = np.abs(np.diff(samples))
-                    feature = f"frames={len(d.blocks)};sum={int(samples.sum())};energy={int((samples * samples).sum())};turns={int(steps.sum())};peak={int(np.abs(samples).max())}"
-                    for column, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest(), feature), strict=True):
+                out: list[list] = [[] for _ in range(8)]
+                rows = _blocks(streams)
+                begin = np.searchsorted(rows[0], np.arange(len(streams) + 1))
+                for i, stored in enumerate(streams):
+                    own = range(begin[i], begin[i + 1])
+                    pcm = b"".join([rows[8][k] for k in own])
+                    digest, ahead = hashlib.sha256(), 0
+                    for k in own:
+                        if rows[2][k] != ahead:
+                            raise ValueError("blocks do not follow each other")
+                        ahead += rows[3][k]
+                        digest.update(b"".join(int(rows[c][k]).to_bytes(8, "little") for c in (2, 4, 3)) + rows[8][k])
+                    signal = np.frombuffer(pcm, np.int8).astype(np.int64)
+                    payload = (signal + 128).astype(np.uint8).tobytes()
+                    steps = np.abs(np.diff(signal))
+                    feature = f"frames={len(own)};sum={int(signal.sum())};energy={int((signal * signal).sum())};turns={int(steps.sum())};peak={int(np.abs(signal).max())}"
+                    for column, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(own), digest.hexdigest()), strict=True):
                         column.append(v)
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
 
     kind = shown.schema[id_col].dataType.simpleString()
-    return shown.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return shown.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks int, blocks_sha256 string")
 
 
 def op1_flac(spark, sf_dir: str) -> DataFrame:

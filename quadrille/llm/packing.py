@@ -7,8 +7,8 @@ combination that fills it exactly is consumed as often as the stock allows. What
 again by length. The plan is a list of runs (length, first and end rank, sequences, offsets); pieces get a rank within
 their length from counts of (length, bucket), and are dealt to the runs in parallel.
 
-Defined results: null and empty texts are one piece of length 1 (END alone); repeated rows are packed once each; an
-empty table gives no rows; extra columns are ignored.
+Defined results: null and empty texts are one piece of length 1 (END alone); repeated rows are packed once each, rows
+without an id like others; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ from .common import Memo, in_worker, kept, materialize, ship_package, slices, ta
 MODEL = "byte_bpe_50k"
 CAPACITY = 2048
 END = 0
+#: Pieces of a length are ranked in buckets: so many, and more where a bucket would get more than its share of pieces.
 BUCKETS = 64
+BUCKET_PIECES = 1 << 16
 #: A space between two characters that are no white space starts a new token of the pre-tokeniser.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^\s|\s$|\s\s")
@@ -245,9 +247,10 @@ def pack(cut_pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> D
     The pieces should be materialised: they are read for counts and for ranks.
     """
     ship_package(cut_pieces.sparkSession)
-    rows = cut_pieces.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)))
+    buckets = max(BUCKETS, -(-cut_pieces.count() // BUCKET_PIECES))
+    rows = cut_pieces.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = rows.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts, "lengths")  # at most capacity * BUCKETS rows
+    counts = materialize(counts, "lengths")
     stock = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     table_ = runs(plan(stock, capacity))
     wide = 1 << 44

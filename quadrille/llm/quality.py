@@ -6,9 +6,10 @@ linear in the number of features a document has (the sum-of-squares identity).
 Features: distinct lower-cased words hashed into 2**WORD_BITS columns, each with value 1/sqrt(count); STATS structure
 statistics of the whole text, each put in one of BINS one-hot columns; optional numeric metadata columns in log bins.
 
-Limit that is a parameter: at most TRAIN_ROWS labelled rows (smallest id hashes, half of them for each label where there
-are enough) are learned from. Empty and null texts are scored like any other (no words, all statistics 0). Without
-labelled rows every score is 0.5. Rows repeat as they are given; extra columns are ignored.
+Limit that is a parameter: at most TRAIN_ROWS labelled rows (smallest hashes of id, then of text, half of them for each
+label where there are enough) are learned from. Empty and null texts are scored like any other (no words, all statistics
+0). Without labelled rows every score is 0.5. Equal rows of the labels count once; an id with both labels is learned with
+both; rows without an id are scored and not learned from; rows repeat as they are given; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,8 +150,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("label"))
     if train is not None:
         known = known.where(train)
-    known = smallest_hashes(known.withColumn("h", F.xxhash64(F.col(id_col).cast("string"))), "label", TRAIN_ROWS // 2, ["h", id_col])
-    sample = docs.select(id_col, F.col(text_col).cast("string").alias("text"), *(F.col(c).cast("double").alias(f"m_{i}") for i, c in enumerate(meta_cols))).join(F.broadcast(known.select(id_col, "label", "h")), id_col)  # at most TRAIN_ROWS rows
+    known = smallest_hashes(known.distinct().withColumn("h", F.xxhash64(F.col(id_col).cast("string"))), "label", TRAIN_ROWS // 2, ["h", id_col])
+    shown = docs.select(id_col, F.col(text_col).cast("string").alias("text"), *(F.col(c).cast("double").alias(f"m_{i}") for i, c in enumerate(meta_cols)))
+    # at most TRAIN_ROWS ids; an id that repeats brings no more rows
+    sample = shown.join(F.broadcast(known.select(id_col, "label", "h")), id_col).withColumn("text_hash", F.xxhash64("text"))
+    sample = smallest_hashes(sample, "label", TRAIN_ROWS // 2, ["h", id_col, "text_hash"])
 
     @in_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,10 @@ First map: slots in order of falling size go to the shard with the fewest bytes
 one small slot. Adding a shard moves slots only into the new one. The map has SLOTS rows whatever the data, so it is the one
 thing here that is broadcast.
 
-Defined results: a null text has size 1 and the CRC of no bytes (0); null ids share the slot of the empty string; repeated
-rows keep a place each; an empty table gives no rows, and its map has only empty slots; extra columns are ignored.
+A record hashes by its id and text, so that neither rows without an id nor those that repeat one meet in a slot.
+
+Defined results: a null text has size 1 and the CRC of no bytes (0), and a null id counts as the empty string; repeated
+rows are in one slot and keep a place each; an empty table gives no rows, and its map has only empty slots; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ SHARDS = 16
 PARTS = 8
 
 
-def virtual_slot(id_col: str, slots: int = SLOTS):
-    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+def virtual_slot(id_col: str, text, slots: int = SLOTS):
+    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), F.lit(slots)).cast("int")
 
 
 def part_sizes(rows: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def place_rows(rows: DataFrame, parts: DataFrame, slot_map: DataFrame, order: li
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")).withColumn("virtual_slot", virtual_slot(id_col, slots)).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col(id_col).cast("string"), F.col("text_crc32")), F.lit(PARTS)).cast("int"))
+    return docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), virtual_slot(id_col, text, slots).alias("virtual_slot")).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col(id_col).cast("string"), F.col("text_crc32")), F.lit(PARTS)).cast("int"))
 
 
 def op3_virtual_slots(spark, sf_dir: str) -> DataFrame:

@@ -188,9 +188,122 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in langid.predict(table, None).collect()} == {"und"}
 
 
+def test_language_by_the_plain_kernel(monkeypatch):
+    """Kernel values from Python sets of byte strings, the ridge solution and the shares by the formulas."""
+    monkeypatch.setattr(langid, "LANDMARKS", 7)
+    rng = random.Random(8)
+    given = [("".join(rng.choice(("abcé ", "abdß ", "cdeé\n")[i % 3]) for _ in range(rng.randint(1, 60))), "xyz"[i % 3]) for i in range(60)] + [("a", "x"), ("", "y")]
+    asked = ["abc abc", "ßd", "", "zzzz", "A\u0130é"] + [t for t, _ in given[:20]]
+
+    def plain(text):
+        b = text.lower().encode()
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    def k(a, b):
+        return len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+
+    model = langid.KernelModel.fit([langid.grams(t) for t, _ in given], [x for _, x in given])
+    assert all(len(langid.grams(t)) == len(plain(t)) for t, _ in given)
+    counts, marks = defaultdict(int), []
+    for t, x in given:
+        counts[x] += 1
+        marks += [plain(t)] * (counts[x] <= 7)
+    between = np.array([[k(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(between)
+    good = values > 1e-8 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    phi = lambda texts_: np.array([[k(plain(t), m) for m in marks] for t in texts_]) @ root
+    x, y = phi([t for t, _ in given]), np.array([[1.0 if l == c else -1.0 for c in "xyz"] for _, l in given])
+    w = np.array([1 / counts[l] for _, l in given])
+    beta = np.linalg.solve(x.T @ (w[:, None] * x) + langid.RIDGE * np.eye(x.shape[1]), x.T @ (w[:, None] * y))
+    sums = phi(asked) @ beta
+    shares = np.exp(langid.SHARPNESS * sums)
+    shares /= shares.sum(axis=1, keepdims=True)
+    best, share = model.score([langid.grams(t) for t in asked])
+    clear = np.sort(shares, axis=1)[:, -1] - np.sort(shares, axis=1)[:, -2] > 1e-6
+    assert (best[clear] == shares.argmax(axis=1)[clear]).all() and np.allclose(share, shares.max(axis=1), atol=1e-6)
+
+
+def test_training_samples_stay_bounded(spark, monkeypatch):
+    """An id that repeats in both tables, with one label and with two, and rows without an id."""
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 20)
+    monkeypatch.setattr(langid, "PER_LANG", 10)
+    seen = []
+    monkeypatch.setattr(quality.FactorisationMachine, "fit", staticmethod(lambda rows, labels, n=0: seen.append(labels)))
+    monkeypatch.setattr(langid.KernelModel, "fit", staticmethod(lambda sets, langs: seen.append(langs)))
+    docs_ = spark.createDataFrame([(1, f"text {i}", "xx") for i in range(300)] + [(None, "no id", "yy")] * 5 + [(2, "two", "yy")] * 40, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(1, 0), (2, 0), (None, 1), (3, 1)], "doc_id long, quality int")
+    quality.fit(docs_, labels)
+    langid.fit(docs_)
+    assert sorted(seen[0]) == [0] * 10 + [1] * 10 and sorted(seen[1]) == ["xx"] * 10 + ["yy"] * 10
+
+
+def test_repeated_rows_and_rows_without_an_id(spark):
+    """Every operator that goes row by row: as many rows out as in, and equal texts, equal values."""
+    rng = random.Random(17)
+    some = [prose(rng, 40), None, "", prose(rng, 5)]
+    rows = [(i, t, "en", 1.0, 1, 2) for i in (None, None, 7, 7, 8) for t in some]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, shard int, begins int")
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    machine, kernel = quality.fit(table, labels), langid.fit(table)
+    outs = [flac.media_features(flac.encode_texts(table)), quality.score(table, machine, ["doc_id"]), sptransducer.counts(table), spcodec.digest(table), langid.predict(table, kernel)]
+    for out in outs:
+        found = out.collect()
+        assert len(found) == len(rows) and len({tuple(r)[1:] for r in found}) <= 4
+        assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in rows)
+    packed = packing.pack_documents(table).collect()
+    assert len(packed) == len(rows)
+    by = defaultdict(list)
+    for r in packed:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    rows_ = slots.records(table)
+    parts = slots.part_sizes(rows_)
+    placed = slots.place_rows(rows_, parts, slots.first_map(slots.slot_sizes(parts)), ["doc_id", "text_crc32", "size"]).collect()
+    shards = defaultdict(list)
+    for r in placed:
+        shards[r.shard].append(r.slot)
+    assert len(placed) == len(rows) and all(sorted(v) == list(range(len(v))) for v in shards.values())
+    assert len({r.virtual_slot for r in placed if r.doc_id is None}) == 3  # null counts as the empty text
+
+
+def test_more_buckets_where_pieces_are_many(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKETS", 1)
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 100)
+    rng = random.Random(4)
+    table = spark.createDataFrame([(i, rng.choice([5, 5, 5, 9, 16])) for i in range(1000)], "doc_id long, length long")
+    by = defaultdict(list)
+    for r in packing.pack(table, ["doc_id", "length"], 16).collect():
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 16
+    assert sum(map(len, by.values())) == 1000
+
+
 # ------------------------------------------------------------------ 3 slots
 
 
+def test_first_map_is_greedy(spark):
+    rng = random.Random(3)
+    sizes = [(i, rng.choice([0, 5, 5, rng.randint(1, 1000)]), rng.randint(0, 3)) for i in range(300)]
+    got = {r.virtual_slot: r.shard for r in slots.first_map(spark.createDataFrame(sizes, "virtual_slot int, bytes long, n_rows long"), 7).collect()}
+    loads = [[0, 0, s] for s in range(7)]
+    for i, b, n in sorted(sizes, key=lambda x: (x[1], x[2], x[0]), reverse=True):
+        least = min(loads)
+        assert got[i] == least[2]
+        least[0] += b
+        least[1] += n
+
+
 def test_slots(spark, docs, empty):
     rows = slots.records(docs)
     parts = slots.part_sizes(rows)
