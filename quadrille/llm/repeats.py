@@ -7,10 +7,11 @@ all suffixes that can match each other that far, and a suffix array of the part
 1. Anchors of all documents are dealt out by fingerprint; an anchor that only one document holds cannot matter. Each
    document learns which of its anchors others hold too.
 2. Those anchors' stretches (the bytes of all strings that belong to the anchor) are dealt out by fingerprint. Equal
-   stretches in a batch travel once, for the smallest id; larger ids there are decided by that alone. In each part the
-   suffixes are sorted; the nearest suffixes of a smaller document before and after each one in that order (previous and
-   next smaller values) give its longest previous factor, by range minima over the common prefixes of neighbours.
-3. Suffixes whose longest previous factor reaches LENGTH mark their bytes; marks are joined by document and removed.
+   stretches in a batch travel once, for the smallest document; their bytes are compared, and larger documents' are
+   decided by that. In each part the suffixes, up to their stretch's end, are sorted; the nearest suffixes of a smaller
+   document before and after each one in that order (previous and next smaller values) give its longest previous factor,
+   by range minima over the common prefixes of neighbours.
+3. A factor of LENGTH bytes or more marks as many bytes as it has; marks are joined by document and removed.
 
 A document is an id and a text: repeated rows of both are one document and never remove each other's bytes, and other texts
 of the id are other documents. Ids order documents, then xxhash64 of the text. Every row without an id is a document; they
@@ -36,6 +37,10 @@ from .common import even_keys, free_shuffles, in_worker, materialize, ship_packa
 LENGTH = 50
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
+#: Bytes of the longest stretch: an anchor is the smallest of WINDOW places of at most WINDOW strings.
+WIDTH = LENGTH + WINDOW - 1
+#: Bytes of text that a part stands for at most, where shuffle partitions would be larger.
+PART_BYTES = 48 << 20
 #: Of a document: 0, id and hash of the text, or 1, hash and number of a row without id; then 1, so that no key ends in 0.
 KEY = np.dtype("S18")
 _BASE = 0x9E3779B97F4A7C15
@@ -180,11 +185,9 @@ def _by_id(packed: DataFrame, parts: int, column: str) -> DataFrame:
     return packed.repartition(parts, "bucket").mapInArrow(run, f"id binary, {column} binary")
 
 
-def shared_anchors(rows: DataFrame) -> DataFrame:
+def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
     """(id, prints): anchors, 8 bytes each, that at least two documents hold. rows: (id, text)."""
-    spark = rows.sparkSession
-    parts = shuffle_parts(spark)
-    keys = even_keys(spark, parts)
+    keys = even_keys(rows.sparkSession, parts)
     schema = "bucket int, id binary, told boolean, ids binary, prints binary"
     names = ["bucket", "id", "told", "ids", "prints"]
 
@@ -272,18 +275,18 @@ def smaller_neighbours(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def longest_previous(suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Longest common prefix (at most their width) of each suffix with one of a smaller document.
+def longest_previous(suffixes: np.ndarray, docs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix: how far it goes on like one of a smaller document.
 
-    suffixes: (n, width) bytes; docs: the document of each. The common prefix with any other suffix is the minimum over
-    the common prefixes of neighbours between the two in sorted order, so the nearest smaller documents on either side
-    of that order are best.
+    suffixes: (n, width) bytes, 0 beyond their sizes; docs: the document of each. The common prefix with any other suffix
+    is the minimum over the common prefixes of neighbours between the two in sorted order, so the nearest smaller
+    documents on either side of that order are best.
     """
     n, width = suffixes.shape
     if n == 0:
         return np.zeros(0, np.int64)
     order = np.argsort(np.ascontiguousarray(suffixes).view(f"S{width}")[:, 0], kind="stable")
-    s, d = suffixes[order], docs[order]
+    s, d, z = suffixes[order], docs[order], sizes[order]
     differ = s[1:] != s[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width).astype(np.uint8)  # of neighbours i and i + 1
     levels = [common]
@@ -292,13 +295,13 @@ def longest_previous(suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
         levels.append(np.minimum(last[:-half], last[half:]))
 
     def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Minimum of common[a:b], a < b."""
+        """Minimum of common[a:b], a < b, and of the two suffixes' sizes."""
         level = np.frexp(b - a)[1] - 1
-        out = np.empty(len(a), np.int64)
+        out = np.minimum(z[a], z[b])
         for k in range(len(levels)):
             own = np.flatnonzero(level == k)
             if len(own):
-                out[own] = np.minimum(levels[k][a[own]], levels[k][b[own] - (1 << k)])
+                out[own] = np.minimum(out[own], np.minimum(levels[k][a[own]], levels[k][b[own] - (1 << k)]))
         return out
 
     lpf = np.zeros(n, np.int64)
@@ -314,26 +317,40 @@ def longest_previous(suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(ids: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """By document: its runs of marked bytes [begin, end) as 64-bit pairs. starts: of marked strings."""
+def _runs(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """By document: the runs [begin, end) that its marked stretches make together, as 64-bit pairs."""
     if not len(ids):
         return [], []
     order = np.lexsort((starts, ids))
-    i, s = ids[order], starts[order]
-    new = np.concatenate([[True], (i[1:] != i[:-1]) | (s[1:] > s[:-1] + LENGTH)])
-    first = np.flatnonzero(new)
-    end = s[np.concatenate([first[1:], [len(s)]]) - 1] + LENGTH
-    pairs = np.column_stack([s[first], end])
-    owner = i[first]
+    i, s, e = ids[order], starts[order], (starts + sizes)[order]
+    first = _groups(i)
+    number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(i))))
+    reach = np.maximum.accumulate(e + (number << 40)) - (number << 40)  # documents end far before 2**40
+    new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (s[1:] > reach[:-1])]))
+    pairs = np.column_stack([s[new], reach[np.append(new[1:], len(s)) - 1]])
+    owner = i[new]
     cut = _groups(owner)
     return owner[cut].tolist(), [x.tobytes() for x in np.split(pairs, cut[1:])]
 
 
-def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of stretches, one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _same(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from one and from two are equal, size of them, each at least 1."""
+    out = np.zeros(len(one), bool)
+    for at in range(0, len(one), 20_000):
+        n = size[at : at + 20_000]
+        equal = data[_spread(one[at : at + 20_000], n)] == data[_spread(two[at : at + 20_000], n)]
+        out[at : at + 20_000] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return out
+
+
+def repeated_runs(rows: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
     """(id, runs): byte ranges that a smaller document holds, 64-bit pairs in no order. shared: of shared_anchors."""
-    spark = rows.sparkSession
-    parts = shuffle_parts(spark)
-    keys = even_keys(spark, parts)
+    keys = even_keys(rows.sparkSession, parts)
     asked = zipped(rows, "text").join(shared, "id").select("id", "__zip", "prints")
     names = ["bucket", "id", "runs", "body"]
 
@@ -350,8 +367,7 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
         kept = np.flatnonzero(np.isin(_mix(a.prints + a.doc.astype(np.uint64) * salt), _mix(told + of * salt)))
         doc, first, last = a.doc[kept], a.first[kept], a.last[kept]
         size = last - first + LENGTH
-        where = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return ids, a.prints[kept], doc, first - offsets[doc], size, a.one[kept], a.two[kept], data[where]
+        return ids, a.prints[kept], doc, first - offsets[doc], size, a.one[kept], a.two[kept], data[_spread(first, size)]
 
     def send(found: list[tuple]) -> pa.RecordBatch:
         """Decide what a smaller document of the task decides, and deal out the rest."""
@@ -363,27 +379,27 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
         owner = rank[np.concatenate([r + b for r, b in zip(row, before, strict=False)])]
         prints, start, size, one, two, data = map(np.concatenate, (prints, start, size, one, two, data))
         begin = np.cumsum(size) - size
-        # equal stretches: the same first and last string, as far apart; the smallest id stands for all
-        two = two + size.astype(np.uint64)
-        order = np.lexsort((owner, two, one))
-        new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
-        least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        decided = np.zeros(len(prints), bool)
-        decided[order] = owner[order] > least
+        # equal stretches: by the hashes of their first and last strings, then by their bytes; the smallest document's
+        # stands for all
+        order = np.lexsort((owner, size, two, one))
+        differ = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (size[order][1:] != size[order][:-1])
+        new = np.concatenate([[True], differ])
+        stands = np.empty(len(order), np.int64)
+        stands[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        decided = owner > owner[stands]
+        marks = np.flatnonzero(decided)
+        decided[marks] = _same(data, begin[marks], begin[stands[marks]], size[marks])
         marks = np.flatnonzero(decided)
-        span = size[marks] - LENGTH + 1
-        starts = np.repeat(start[marks] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
-        got, runs = _runs(np.repeat(owner[marks], span), starts)
+        got, runs = _runs(owner[marks], start[marks], size[marks])
         out: list[tuple] = [(int(keys[i % parts]), i_, r, None) for i, (i_, r) in enumerate(zip(called[got].tolist(), runs, strict=True))]
         sent = np.flatnonzero(~decided)
         squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for key, own in _bucket_blobs(prints[sent], keys):
             own = sent[own]
             n = size[own]
-            where = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             whose, of = np.unique(owner[own], return_inverse=True)
             head = np.array([len(own), len(whose)], np.int64).tobytes() + prints[own].tobytes() + of.astype(np.int64).tobytes() + start[own].tobytes() + n.tobytes() + called[whose].tobytes()
-            out.append((key, None, None, squeeze(head + data[where].tobytes())))
+            out.append((key, None, None, squeeze(head + data[_spread(begin[own], n)].tobytes())))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
     @in_worker
@@ -441,28 +457,28 @@ def repeated_runs(rows: DataFrame, shared: DataFrame) -> DataFrame:
         names, rank = _ranked(called)
         owner = rank[owner]
         begin = np.cumsum(size) - size
-        strings_at = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+        suffixes_at = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(WIDTH, np.uint8)]), WIDTH)
         order = np.argsort(prints, kind="stable")
         n_suffixes = size[order] - LENGTH + 1
         total = np.cumsum(n_suffixes)
         edges = np.append(_groups(prints[order]), len(order))
         ends = total[edges[1:] - 1]
-        marked_ids, marked_starts = [], []
+        marked = []
         at = 0
         while at < len(edges) - 1:  # whole anchors, up to about PORTION suffixes
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, side="right")))
             own = order[edges[at] : edges[stop]]
             n = size[own] - LENGTH + 1
-            # several anchors share a sort, so their prints stand before the bytes
             inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             of = np.repeat(own, n)
-            text = strings_at[begin[of] + inside]
-            ids, starts = owner[of], start[of] + inside
-            hit = longest_previous(text, ids) >= LENGTH
-            marked_ids.append(ids[hit])
-            marked_starts.append(starts[hit])
+            left = size[of] - inside
+            text = suffixes_at[begin[of] + inside]
+            text[np.arange(WIDTH) >= left[:, None]] = 0
+            factor = longest_previous(text, owner[of], left)
+            hit = factor >= LENGTH
+            marked.append((owner[of[hit]], (start[of] + inside)[hit], factor[hit]))
             at = stop
-        ids, blobs = _runs(np.concatenate(marked_ids), np.concatenate(marked_starts))
+        ids, blobs = _runs(*(np.concatenate(x) for x in zip(*marked, strict=True)))
         if ids:
             yield _packed(names[ids].tolist(), blobs, keys)
 
@@ -506,9 +522,11 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
     named = every.where("__id IS NOT NULL").withColumn("__key", _key("00", F.col("__id"), same))
     every = named.union(unnamed.withColumn("__key", _key("01", same, F.col("__id")))).drop("__id")
     rows = every.select(F.col("__key").alias("id"), F.col("__text").alias("text")).where(F.octet_length("text") >= LENGTH)
-    shared = materialize(shared_anchors(rows), "anchors")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_parts(spark), -(-size // PART_BYTES))
+    shared = materialize(shared_anchors(rows, parts), "anchors")
     free_shuffles(spark)
-    runs = materialize(repeated_runs(rows, shared), "runs")
+    runs = materialize(repeated_runs(rows, shared, parts), "runs")
     free_shuffles(spark)
     found = runs.select(F.col("id").alias("__key"), F.col("runs").alias("__runs"))
     shown = zipped(every.select(*keep, "__text", "__key"), "__text")

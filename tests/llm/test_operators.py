@@ -536,15 +536,49 @@ def test_repeats_of_one_line_and_of_ids(spark):
 
 
 def test_longest_previous_factors():
+    """Suffixes of several sizes, with zeros in them, of documents that repeat."""
     rng = np.random.default_rng(2)
-    suffixes = rng.integers(97, 99, (300, 9)).astype(np.uint8)
-    docs_ = rng.integers(0, 40, 300)
+    for low in (0, 97):
+        suffixes, sizes = rng.integers(low, low + 2, (300, 9)).astype(np.uint8), rng.integers(4, 10, 300)
+        suffixes[np.arange(9) >= sizes[:, None]] = 0
+        docs_ = rng.integers(0, 40, 300)
 
-    def common_prefix(a, b):
-        return int(next((i for i in range(9) if a[i] != b[i]), 9))
+        def common_prefix(a, b):
+            return next((i for i in range(min(sizes[a], sizes[b])) if suffixes[a, i] != suffixes[b, i]), min(sizes[a], sizes[b]))
 
-    want = [max((common_prefix(suffixes[i], suffixes[j]) for j in range(300) if docs_[j] < docs_[i]), default=0) for i in range(300)]
-    assert repeats.longest_previous(suffixes, docs_).tolist() == want
+        want = np.array([max((common_prefix(i, j) for j in range(300) if docs_[j] < docs_[i]), default=0) for i in range(300)])
+        got = repeats.longest_previous(suffixes, docs_, sizes)
+        # where zeros and the end of a suffix look alike, what is found is at least 4 wherever there is 4
+        assert (got == want).all() if low else ((got >= 4) == (want >= 4)).all() and (got <= want).all()
+
+
+def test_equal_hashes_do_not_decide(spark, monkeypatch):
+    """With hashes that are all equal, bytes alone tell stretches apart."""
+    monkeypatch.setattr(repeats, "_piece", lambda *a, real=repeats._piece: (*(x := real(*a))[:4], x[4] * np.uint64(0), x[5] * np.uint64(0)))
+    rng = random.Random(6)
+    same = prose(rng, 40)
+    rows = [(i, prose(rng, 60) + (same if i % 4 == 0 else "")) for i in range(24)]
+    data_ = np.frombuffer(b"".join(t.encode() for _, t in rows), np.uint8)
+    a = repeats.anchors(data_, np.cumsum([0, *(len(t.encode()) for _, t in rows)]))
+    assert not a.one.any()
+    n = a.last - a.first + repeats.LENGTH
+    assert n.max() <= repeats.WIDTH and (n >= repeats.LENGTH).all()
+    pairs = [(i, j) for i in range(0, len(n), 97) for j in range(len(n)) if n[i] == n[j]]
+    one, two = np.array(pairs).T
+    got = repeats._same(data_, a.first[one], a.first[two], n[one])
+    assert got.tolist() == [bytes(data_[a.first[i] : a.first[i] + n[i]]) == bytes(data_[a.first[j] : a.first[j] + n[j]]) for i, j in pairs]
+
+
+def test_runs_of_marks():
+    rng = np.random.default_rng(4)
+    ids, starts, sizes = rng.integers(0, 6, 80), rng.integers(0, 900, 80), rng.integers(1, 60, 80)
+    got = dict(zip(*repeats._runs(ids, starts, sizes)))
+    for i in set(ids.tolist()):
+        marked = np.zeros(1000, bool)
+        for s, z in zip(starts[ids == i], sizes[ids == i]):
+            marked[s : s + z] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(int), [0]]))).reshape(-1, 2)
+        assert np.frombuffer(got[i], np.int64).reshape(-1, 2).tolist() == edges.tolist()
 
 
 # ------------------------------------------------------------------ 7, 8 SentencePiece
