@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quadrille.options import ConformanceError, Options
-from quadrille.schema import EVENT, FRAME, ROW
+from quadrille.schema import EVENT, FRAME, ROW, TERM
 from quadrille.sources import wire
-from quadrille.sources.kernel import Decoder, Encoder
+from quadrille.sources.kernel import Decoder, Encoder, Frame
 
+#: Parts of a term.
+_PARTS = TERM.names
 _EVENT, _FRAME, _ROW = to_arrow_schema(EVENT), to_arrow_schema(FRAME), to_arrow_schema(ROW)
+#: Events, and frames, that a record batch holds.
 BATCH = 5000
+FRAMES = 64
 
 
 def spread(statements: DataFrame, streams: int, by: Column) -> DataFrame:
@@ -48,26 +52,25 @@ def encode(statements: DataFrame, options: Options, frame_size: int = 250, frami
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = member = encoder = None
-        out: list[dict] = []
+        out = _Columns(_FRAME)
         number = 0
 
-        def keep(frames: Iterator[bytes], count: int) -> None:
+        def keep(frames: list[Frame]) -> None:
             nonlocal number
             for frame in frames:
-                rows = sum(1 for n, _ in wire.fields(frame) if n == 1)
-                out.append({"stream_id": stream, "frame_idx": number, "n_rows": rows, "n_statements": count, "metadata": [], "content": frame})
+                out.add((stream, number, frame.n_rows, frame.n_statements, [], frame))
                 number += 1
 
         def close() -> None:
             if encoder is not None:
                 if encoder.framing in ("graph", "dataset"):
-                    keep(encoder.end_group(), encoder.statements)
-                keep(encoder.finish(), encoder.statements)
+                    keep(encoder.end_group())
+                keep(encoder.finish())
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
             groups = batch.column(1).to_pylist() if group else ids
-            for id_, in_group, s, p, o, g in zip(ids, groups, *(_terms(batch, n) for n in "spog"), strict=True):
+            for id_, in_group, *terms in zip(ids, groups, *(_terms(batch, n) for n in "spog"), strict=True):
                 if encoder is None or id_ != stream:
                     close()
                     stream, member, number = id_, in_group, 0
@@ -75,53 +78,59 @@ def encode(statements: DataFrame, options: Options, frame_size: int = 250, frami
                     for label, value in namespaces or ():
                         encoder.namespace(label, value)
                 elif group and in_group != member:
-                    keep(encoder.end_group(), encoder.statements)
+                    keep(encoder.end_group())
                     member = in_group
-                before = encoder.statements
-                keep(encoder.add((s, p, o, g)), before + 1)
-            while len(out) >= 64:
-                yield pa.RecordBatch.from_pylist(out[:64], _FRAME)
-                del out[:64]
+                if frames := encoder.add(terms):
+                    keep(frames)
+            if len(out.rows) >= FRAMES:
+                yield out.take()
         close()
-        if out:
-            yield pa.RecordBatch.from_pylist(out, _FRAME)
+        if out.rows:
+            yield out.take()
 
     return shown.mapInArrow(run, FRAME)
 
 
 class _Columns:
-    """Rows collected by column and handed out as record batches."""
+    """Rows collected and handed out as record batches."""
 
     def __init__(self, schema: pa.Schema):
-        self.schema, self.columns = schema, [[] for _ in schema.names]
-
-    def add(self, row: tuple) -> None:
-        for column, value in zip(self.columns, row, strict=True):
-            column.append(value)
+        self.schema, self.rows = schema, []
+        self.add = self.rows.append
 
     def full(self) -> bool:
-        return len(self.columns[0]) >= BATCH
+        return len(self.rows) >= BATCH
 
     def take(self) -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) if not pa.types.is_struct(f.type) else _structs(c, f.type) for c, f in zip(self.columns, self.schema, strict=True)], schema=self.schema)
-        self.columns = [[] for _ in self.columns]
+        batch = pa.RecordBatch.from_arrays([_structs(c, f.type) if pa.types.is_struct(f.type) else pa.array(c, f.type) for c, f in zip(zip(*self.rows, strict=True), self.schema, strict=True)], schema=self.schema)
+        self.rows.clear()
         return batch
 
 
 def _structs(values: list[tuple | None], kind: pa.StructType) -> pa.Array:
-    parts = [pa.array([None if v is None else v[i] for v in values], kind.field(i).type) for i in range(kind.num_fields)]
-    return pa.StructArray.from_arrays(parts, fields=[kind.field(i) for i in range(kind.num_fields)], mask=pa.array([v is None for v in values], pa.bool_()))
-
-
-def events_of(stream: str, frames: Iterator[bytes], as_quads: bool = False, check=None) -> Iterator[pa.RecordBatch]:
-    """Events (EVENT) of one stream's frames in order. Frames without rows before the options are kept as numbers."""
+    if not values:
+        return pa.array([], kind)
+    none = (None,) * kind.num_fields
+    mask = None if None not in values else pa.array([v is None for v in values], pa.bool_())
+    parts = zip(*values, strict=True) if mask is None else zip(*[none if v is None else v for v in values], strict=True)
+    fields = [kind.field(i) for i in range(kind.num_fields)]
+    return pa.StructArray.from_arrays([pa.array(p, f.type) for p, f in zip(parts, fields, strict=True)], fields=fields, mask=mask)
+
+
+def events_of(stream: str, frames: Iterator[bytes], as_quads: bool = False, check=None, only: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Events (EVENT) of one stream's frames in order. Frames without rows before the options are kept as numbers.
+    only: statements alone, and those whose terms have these values, by (slot, part), as ('p', 'value')."""
     decoder, out, base = Decoder(), _Columns(_EVENT), 0
+    default = ("default", None, None, None)
+    wanted = [("spog".index(slot) + 1, _PARTS.index(part), value) for (slot, part), value in (only or {}).items()]
     for number, content in enumerate(frames):
         for i, event in decoder.frame(content):
             if event[0] == "statement":
-                s, p, o, g = event[1:]
-                out.add((stream, number, base + i, "statement", s, p, o, ("default", None, None, None) if g is None and as_quads else g, None, None))
-            else:
+                if wanted and not all(event[k] is not None and event[k][part] == value for k, part, value in wanted):
+                    continue
+                _, s, p, o, g = event
+                out.add((stream, number, base + i, "statement", s, p, o, default if g is None and as_quads else g, None, None))
+            elif only is None:
                 out.add((stream, number, base + i, "namespace", None, None, None, None, event[1], event[2]))
             if out.full():
                 yield out.take()
@@ -131,7 +140,7 @@ def events_of(stream: str, frames: Iterator[bytes], as_quads: bool = False, chec
         base += decoder.n_rows
     if decoder.options is None:
         raise ConformanceError("the stream has no rows")
-    if out.columns[0]:
+    if out.rows:
         yield out.take()
 
 
@@ -139,7 +148,7 @@ def _by_stream(frames: DataFrame) -> DataFrame:
     return frames.repartition("stream_id").sortWithinPartitions("stream_id", "frame_idx").select("stream_id", "frame_idx", "content")
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
+def streams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
     """Each stream of a sorted partition with its frames, which must be read before the next; gaps are errors."""
     rows = ((s, i, c) for b in batches for s, i, c in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
     ahead = next(rows, None)
@@ -160,19 +169,19 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[
         yield stream, frames(stream)
 
 
-def decode_events(frames: DataFrame, as_quads: bool = False) -> DataFrame:
-    """Events of all streams. A lost frame is an error: later frames need its state."""
+def decode_events(frames: DataFrame, as_quads: bool = False, only: dict | None = None) -> DataFrame:
+    """Events of all streams. A lost frame is an error: later frames need its state. only: as in events_of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for stream, contents in _streams(batches):
-            yield from events_of(stream, contents, as_quads)
+        for stream, contents in streams_of(batches):
+            yield from events_of(stream, contents, as_quads, only=only)
 
     return _by_stream(frames).mapInArrow(run, EVENT)
 
 
-def decode(frames: DataFrame, as_quads: bool = False) -> DataFrame:
-    """Statements of all streams."""
-    return statements_of(decode_events(frames, as_quads))
+def decode(frames: DataFrame, as_quads: bool = False, predicate: str | None = None) -> DataFrame:
+    """Statements of all streams, or those of a predicate, whose others never leave the decoder."""
+    return statements_of(decode_events(frames, as_quads, None if predicate is None else {("p", "kind"): "iri", ("p", "value"): predicate}))
 
 
 def statements_of(events: DataFrame) -> DataFrame:
@@ -204,7 +213,7 @@ def rows(frames: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Columns(_ROW)
-        for stream, contents in _streams(batches):
+        for stream, contents in streams_of(batches):
             at = 0
             for number, content in enumerate(contents):
                 for row in wire.read_frame(content)[0]:
@@ -221,16 +230,20 @@ def rows(frames: DataFrame) -> DataFrame:
                     at += 1
                     if out.full():
                         yield out.take()
-        if out.columns[0]:
+        if out.rows:
             yield out.take()
 
     return _by_stream(frames).mapInArrow(run, ROW)
 
 
-def to_bytes(frames: DataFrame) -> DataFrame:
-    """(stream_id, content): each stream's frames, delimited, as one value, for message buses and small streams."""
+def to_bytes(frames: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
+    """(stream_id, content): each stream's frames, delimited, as one value, for message buses and small streams. A stream
+    of more than most_bytes is an error that names it."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "content"))), lambda x: x["content"])
-    grouped = frames.groupBy("stream_id").agg(ordered.alias("frames"))
+    size = F.sum(F.octet_length("content"))
+    text = F.concat(F.lit("stream "), F.col("stream_id"), F.lit(" has "), F.col("size").cast("string"), F.lit(f" bytes, more than the {most_bytes} of one value"))
+    grouped = frames.groupBy("stream_id").agg(ordered.alias("frames"), size.alias("size"))
+    grouped = grouped.select("stream_id", F.when(F.col("size") > most_bytes, F.raise_error(text).cast("array<binary>")).otherwise(F.col("frames")).alias("frames"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

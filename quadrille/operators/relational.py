@@ -5,7 +5,10 @@ All windows are by stream, so nothing here meets in one task that the format its
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,11 +35,14 @@ def dictionary(accesses: DataFrame, column: str) -> DataFrame:
 
 
 def delta_codes(accesses: DataFrame) -> DataFrame:
-    """Accesses with prefix_code and name_code: 0 for the same prefix again, and for the name after the last."""
-    prefixes = dictionary(accesses, "prefix").select("stream_id", F.col("value").alias("prefix"), F.col("id").alias("prefix_id"))
-    names = dictionary(accesses, "name").select("stream_id", F.col("value").alias("name"), F.col("id").alias("name_id"))
-    coded = accesses.join(prefixes, ["stream_id", "prefix"]).join(names, ["stream_id", "name"])
+    """Accesses with prefix_code and name_code: 0 for the same prefix again, and for the name after the last. Ids follow
+    first appearance; all windows are inside a stream, so accesses are dealt out once."""
     w = Window.partitionBy("stream_id").orderBy("row_idx", "slot")
+    coded = accesses
+    for part in ("prefix", "name"):
+        own = Window.partitionBy("stream_id", part).orderBy("row_idx", "slot")
+        coded = coded.withColumn("__first", (F.row_number().over(own) == 1).cast("int"))
+        coded = coded.withColumn("__met", F.sum("__first").over(w)).withColumn(f"{part}_id", F.first("__met").over(own))
     return coded.select("stream_id", "row_idx", "slot", "iri", "prefix_id", "name_id", F.when(F.col("prefix_id").eqNullSafe(F.lag("prefix_id").over(w)), 0).otherwise(F.col("prefix_id")).alias("prefix_code"), F.when(F.col("name_id") == F.coalesce(F.lag("name_id").over(w), F.lit(0)) + 1, 0).otherwise(F.col("name_id")).alias("name_code"))
 
 
@@ -56,57 +62,87 @@ def graph_runs(statements: DataFrame) -> DataFrame:
 
 def bounded_frames(rows: DataFrame, frame_size: int) -> DataFrame:
     """(stream_id, row_idx, frame_idx) of statements that weigh `n_rows` rows each: a frame ends with the statement that
-    fills it, and the options row weighs 1. A fold over each stream's weights, as the sum starts again at every cut."""
-    weights = rows.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "n_rows"))).alias("w"))
-    start = F.struct(F.lit(1).cast("long").alias("fill"), F.lit(0).cast("long").alias("frame"), F.array().cast("array<bigint>").alias("out"))
+    fills it, and the options row weighs 1. As the sum starts again at every cut, each stream is walked in order, with
+    one number kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, fill, frame = None, 1, 0
+        for batch in batches:
+            out = []
+            for id_, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if id_ != stream:
+                    stream, fill, frame = id_, 1, 0
+                out.append(frame)
+                fill += n
+                if fill >= frame_size:
+                    fill, frame = 0, frame + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["stream_id", "row_idx", "frame_idx"])
 
-    def step(state, w):
-        fill = state["fill"] + w["n_rows"]
-        cut = fill >= frame_size
-        return F.struct(F.when(cut, 0).otherwise(fill).cast("long").alias("fill"), F.when(cut, state["frame"] + 1).otherwise(state["frame"]).alias("frame"), F.concat(state["out"], F.array(state["frame"])).alias("out"))
+    shown = rows.select("stream_id", F.col("row_idx").cast("long").alias("row_idx"), F.col("n_rows").cast("long").alias("n_rows"))
+    return shown.repartition("stream_id").sortWithinPartitions("stream_id", "row_idx").mapInArrow(run, "stream_id string, row_idx long, frame_idx long")
 
-    folded = weights.select("stream_id", "w", F.aggregate("w", start, step)["out"].alias("f"))
-    return folded.select("stream_id", F.explode(F.arrays_zip("w", "f")).alias("x")).select("stream_id", F.col("x.w.row_idx").alias("row_idx"), F.col("x.f").alias("frame_idx"))
 
+_TABLES = ("name", "prefix", "datatype")
+_HELD = ("triple", "quad", "graph_start", "graph_end")
 
-def _entries(rows: DataFrame) -> DataFrame:
-    """Dictionary entries with their ids resolved: coded 0 is the id after the table's last entry."""
-    w = Window.partitionBy("stream_id", "row_kind").orderBy("row_idx")
-    entries = rows.where(F.col("row_kind").isin("name", "prefix", "datatype")).select("stream_id", "row_idx", "row_kind", "entry_id", "entry_value")
-    anchored = entries.withColumn("island", F.sum(F.when(F.col("entry_id") != 0, 1).otherwise(0)).over(w))
-    island = Window.partitionBy("stream_id", "row_kind", "island").orderBy("row_idx")
-    first = F.first("entry_id").over(island)
-    number = F.row_number().over(island)
-    return anchored.select("stream_id", "row_idx", F.col("row_kind").alias("what"), F.when(F.col("island") == 0, number).otherwise(first + number - 1).alias("id"), F.col("entry_value").alias("value"))
+
+def _first(values: list[Column]) -> Column:
+    return F.coalesce(*values)
 
 
 def resolve(rows: DataFrame) -> DataFrame:
     """Statements of coded rows (codec.rows), by windows alone: what the sequential decoder gives, for streams without
-    quoted triples. Dictionary probes are as-of joins: the last entry of an id before its reference."""
-    holders = rows.where(F.col("row_kind").isin("triple", "quad", "graph_start", "namespace"))
-    slots = F.posexplode(F.array(*(F.col(c) for c in "spog"))).alias("slot", "t")
-    met = holders.select("stream_id", "frame_idx", "row_idx", "row_kind", slots).where("t IS NOT NULL")
-    w = Window.partitionBy("stream_id").orderBy("row_idx", "slot")
-    iris = met.where("t.kind = 'iri'").select("stream_id", "row_idx", "slot", F.col("t.prefix_id").alias("p"), F.col("t.name_id").alias("n"))
-    iris = iris.withColumn("prefix", F.coalesce(F.last(F.when(F.col("p") != 0, F.col("p")), ignorenulls=True).over(w), F.lit(0)))
-    iris = iris.withColumn("island", F.sum(F.when(F.col("n") != 0, 1).otherwise(0)).over(w))
-    island = Window.partitionBy("stream_id", "island").orderBy("row_idx", "slot")
-    number = F.row_number().over(island)
-    iris = iris.withColumn("name", F.when(F.col("island") == 0, number).otherwise(F.first("n").over(island) + number - 1))
-    datatypes = met.where("t.datatype_id IS NOT NULL").select("stream_id", "row_idx", "slot", F.lit("datatype").alias("what"), F.col("t.datatype_id").alias("id"))
-    asked = iris.select("stream_id", "row_idx", "slot", F.lit("name").alias("what"), F.col("name").alias("id")).unionByName(iris.where("prefix != 0").select("stream_id", "row_idx", "slot", F.lit("prefix").alias("what"), F.col("prefix").alias("id"))).unionByName(datatypes)
-    known = _entries(rows).select("stream_id", "row_idx", F.lit(-1).alias("slot"), "what", "id", "value")
+    quoted triples.
+
+    One pass by stream resolves the coded ids: an id that is not written is the anchor before it plus the number of ids
+    since. Dictionary probes are as-of joins, the last entry of an id before its reference: references, entries and the
+    rows themselves go through one window by table and id. A last pass by stream puts the terms back and fills repeated
+    ones. Rows are so dealt out three times, and joined with nothing.
+    """
+    w = Window.partitionBy("stream_id").orderBy("row_idx")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    until = w.rowsBetween(Window.unboundedPreceding, 0)
+    wide = rows.where("row_kind != 'options'")
+    is_iri = [F.coalesce(F.col(c)["kind"] == "iri", F.lit(False)) for c in "spog"]
+    prefix_id = [F.when(is_iri[k] & (F.col(c)["prefix_id"] != 0), F.col(c)["prefix_id"]) for k, c in enumerate("spog")]
+    counts = [i.cast("int") for i in is_iri]
+    wide = wide.select("*", F.coalesce(F.sum(sum(counts[1:], counts[0])).over(before), F.lit(0)).alias("met"), F.last(_first(prefix_id[::-1]), ignorenulls=True).over(before).alias("prefix"), *(F.sum(F.when(F.col("row_kind") == t, 1).otherwise(0)).over(until).alias(f"n_{t}") for t in _TABLES))
+    place = [F.col("met") + sum(counts[1 : k + 1], counts[0]) for k in range(4)]
+    anchor = [F.when(is_iri[k] & (F.col(c)["name_id"] != 0), F.col(c)["name_id"] - place[k]) for k, c in enumerate("spog")]
+    written = {t: F.when((F.col("row_kind") == t) & (F.col("entry_id") != 0), F.col("entry_id") - F.col(f"n_{t}")) for t in _TABLES}
+    wide = wide.select("*", F.last(_first(anchor[::-1]), ignorenulls=True).over(before).alias("anchor"), *(F.last(written[t], ignorenulls=True).over(until).alias(f"a_{t}") for t in _TABLES))
+
+    def item(what: str, id_: Column, slot: int, value: Column | None = None, held: Column | None = None) -> Column:
+        return F.struct(F.lit(what).alias("what"), id_.cast("long").alias("id"), F.lit(slot).alias("slot"), (F.lit(None).cast("string") if value is None else value).alias("value"), (F.lit(None).cast(kept_type) if held is None else held).alias("held"))
+
+    kept = F.struct("frame_idx", "row_kind", *(F.struct(F.col(c)["kind"].alias("kind"), F.col(c)["value"].alias("value"), F.col(c)["lang"].alias("lang")).alias(c) for c in "spog"))
+    term_type = "struct<kind:string,value:string,lang:string>"
+    kept_type = "struct<frame_idx:bigint,row_kind:string," + ",".join(f"{c}:{term_type}" for c in "spog") + ">"
+    items = [F.when(F.col("row_kind").isin(*_HELD), item("row", F.col("row_idx"), 4, held=kept.cast(kept_type)))]
+    for t in _TABLES:
+        items.append(F.when(F.col("row_kind") == t, item(t, F.col(f"n_{t}") + F.coalesce(f"a_{t}", F.lit(0)), -1, F.col("entry_value"))))
+    for k, c in enumerate("spog"):
+        items.append(F.when(is_iri[k], item("name", place[k] + _first([*anchor[: k + 1][::-1], F.col("anchor"), F.lit(0)]), k)))
+        prefix = _first([*prefix_id[: k + 1][::-1], F.col("prefix"), F.lit(0)])
+        items.append(F.when(is_iri[k] & (prefix != 0), item("prefix", prefix, k)))
+        items.append(F.when(F.col(c)["datatype_id"].isNotNull(), item("datatype", F.col(c)["datatype_id"], k)))
+    every = wide.select("stream_id", "row_idx", F.explode(F.array_compact(F.array(*items))).alias("x")).select("stream_id", "row_idx", "x.*")
     asof = Window.partitionBy("stream_id", "what", "id").orderBy("row_idx", "slot")
-    probed = known.unionByName(asked.withColumn("value", F.lit(None).cast("string"))).withColumn("value", F.last("value", ignorenulls=True).over(asof)).where("slot >= 0")
-    values = probed.groupBy("stream_id", "row_idx", "slot").pivot("what", ["name", "prefix", "datatype"]).agg(F.first("value"))
-    terms = met.join(values, ["stream_id", "row_idx", "slot"], "left")
+    probed = every.withColumn("value", F.last("value", ignorenulls=True).over(asof)).where("slot >= 0")
+    # by stream alone, so that the rows are dealt out for the last window too
+    values = [F.max(F.when((F.col("slot") == k) & (F.col("what") == t), F.col("value"))).alias(f"{t}_{c}") for k, c in enumerate("spog") for t in _TABLES]
+    back = probed.repartition("stream_id").groupBy("stream_id", "row_idx").agg(F.first("held", ignorenulls=True).alias("held"), *values).where("held IS NOT NULL").select("stream_id", "row_idx", "held.frame_idx", "held.row_kind", *(F.col(f"held.{c}").alias(c) for c in "spog"), *(f"{t}_{c}" for c in "spog" for t in _TABLES))
     none = F.lit(None).cast("string")
-    term = F.struct(F.col("t.kind").alias("kind"), F.when(F.col("t.kind") == "iri", F.concat(F.coalesce("prefix", F.lit("")), "name")).otherwise(F.col("t.value")).alias("value"), F.col("t.lang").alias("lang"), F.when(F.col("t.kind") == "literal", F.col("datatype")).otherwise(none).alias("datatype"))
-    wide = terms.select("stream_id", "row_idx", "row_kind", "slot", term.alias("t")).groupBy("stream_id", "row_idx").agg(*(F.first(F.when((F.col("slot") == i) & F.col("row_kind").isin("triple", "quad"), F.col("t")), ignorenulls=True).alias(c) for i, c in enumerate("spog")), F.first(F.when(F.col("row_kind") == "graph_start", F.col("t")), ignorenulls=True).alias("start"))
-    every = rows.where(F.col("row_kind").isin("triple", "quad", "graph_start", "graph_end")).select("stream_id", "frame_idx", "row_idx", "row_kind").join(wide, ["stream_id", "row_idx"], "left")
-    stream = Window.partitionBy("stream_id").orderBy("row_idx")
-    filled = [F.last(c, ignorenulls=True).over(stream).alias(c) for c in "spo"]
+
+    def term(c: str) -> Column:
+        kind = F.col(c)["kind"]
+        value = F.when(kind == "iri", F.concat(F.coalesce(f"prefix_{c}", F.lit("")), f"name_{c}")).otherwise(F.col(c)["value"])
+        return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), value.alias("value"), F.col(c)["lang"].alias("lang"), F.when(kind == "literal", F.col(f"datatype_{c}")).alias("datatype")))
+
+    statement = F.col("row_kind").isin("triple", "quad")
     # an end marker is a graph of its own kind, so that the fill stops there
-    mark = F.last(F.when(F.col("row_kind") == "graph_start", F.col("start")).when(F.col("row_kind") == "graph_end", F.struct(F.lit("none").alias("kind"), none.alias("value"), none.alias("lang"), none.alias("datatype"))), ignorenulls=True).over(stream)
-    graph = F.when(F.col("row_kind") == "quad", F.last("g", ignorenulls=True).over(stream)).otherwise(F.when(mark["kind"] != "none", mark))
-    return every.select("stream_id", "frame_idx", "row_idx", "row_kind", *filled, graph.alias("g")).where("row_kind IN ('triple', 'quad')").drop("row_kind")
+    end = F.struct(F.lit("none").alias("kind"), none.alias("value"), none.alias("lang"), none.alias("datatype"))
+    shown = back.select("stream_id", "frame_idx", "row_idx", "row_kind", *(F.when(statement, term(c)).alias(c) for c in "spog"), F.when(F.col("row_kind") == "graph_start", term("s")).when(F.col("row_kind") == "graph_end", end).alias("mark"))
+    filled = shown.select("stream_id", "frame_idx", "row_idx", "row_kind", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in ("s", "p", "o", "g", "mark")))
+    graph = F.when(F.col("row_kind") == "quad", F.col("g")).otherwise(F.when(F.col("mark")["kind"] != "none", F.col("mark")))
+    return filled.where("row_kind IN ('triple', 'quad')").select("stream_id", "frame_idx", "row_idx", "s", "p", "o", graph.alias("g"))

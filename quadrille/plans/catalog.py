@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille import options as opt
-from quadrille.functions.terms import debug_text, n3, quoted, split_iri
+from quadrille.functions.store import shared_path, stored
+from quadrille.functions.terms import bnode, debug_text, default_graph, n3, quoted, split_iri
 from quadrille.operators import codec, graph, grouping, relational
 from quadrille.options import Options
-from quadrille.plans.mapping import BASE, CUSTOMER, DOCUMENTS, EVENTS, NATION, ORDERS, REGION, SCHEMA, SUPPLIER, Mapping, flat
+from quadrille.plans.mapping import BASE, CUSTOMER, DOCUMENTS, EVENTS, NATION, ORDERS, REGION, SCHEMA, STREAM_KEYS, Mapping, flat
 from quadrille.sources import datasource, ntriples, wire
 from quadrille.streaming.decode import decode_stream
 
@@ -33,7 +33,7 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
-def statements(spark: SparkSession, sf_dir: str, mapping: Mapping, streams: int = 8) -> DataFrame:
+def statements(spark: SparkSession, sf_dir: str, mapping: Mapping, streams: int | None = None) -> DataFrame:
     return mapping.statements(spark.read.parquet(f"{sf_dir}/{mapping.table}.parquet"), streams)
 
 
@@ -41,10 +41,6 @@ def _sql(mapping: Mapping) -> str:
     return f"SELECT {_SHOWN} FROM ({mapping.sql()})"
 
 
-def _shared(spark: SparkSession, label: str) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/quadrille-{label}-{uuid.uuid4().hex}"
-
-
 # ------------------------------------------------------------------ mapping, round trips
 
 
@@ -107,7 +103,7 @@ def roundtrip_bytes(spark, sf_dir):
 @query(_sql(CUSTOMER))
 def roundtrip_files(spark, sf_dir):
     """Written by the data source, read by Spark's file reader."""
-    path = _shared(spark, "files")
+    path = shared_path(spark, "files")
     datasource.write_statements(statements(spark, sf_dir, CUSTOMER), path, physicalType="TRIPLES", logicalType="FLAT_TRIPLES")
     return flat(codec.statements_of(datasource.read_streams(spark, path))).select(COLUMNS)
 
@@ -115,7 +111,7 @@ def roundtrip_files(spark, sf_dir):
 @query(_sql(EVENTS))
 def roundtrip_source(spark, sf_dir):
     """Written and read by the data source."""
-    path = _shared(spark, "source")
+    path = shared_path(spark, "source")
     datasource.write_statements(statements(spark, sf_dir, EVENTS), path, physicalType="QUADS", logicalType="FLAT_QUADS")
     return flat(codec.statements_of(spark.read.format(datasource.FORMAT).option("logicalTypeStrict", "true").load(path))).select(COLUMNS)
 
@@ -170,7 +166,7 @@ def term_debug(spark, sf_dir):
 
 def _accesses_sql(m: Mapping) -> str:
     n = len(m.fields)
-    return f"""b AS (SELECT *, '{m.table}-' || CAST((row_idx // {n}) % 8 AS VARCHAR) AS stream_id FROM ({m.sql()})),
+    return f"""b AS (SELECT *, '{m.table}-' || CAST(row_idx // {n} // {STREAM_KEYS} AS VARCHAR) AS stream_id FROM ({m.sql()})),
     l AS (SELECT *, lag(s) OVER w AS s1, lag(p) OVER w AS p1, lag(o_kind) OVER w AS k1, lag(o_value) OVER w AS o1 FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY row_idx)),
     met AS (SELECT stream_id, row_idx, 0 AS slot, s AS v FROM l WHERE s IS DISTINCT FROM s1
             UNION ALL SELECT stream_id, row_idx, 1, p FROM l WHERE p IS DISTINCT FROM p1
@@ -200,7 +196,7 @@ def delta_codes(spark, sf_dir):
     return relational.delta_codes(relational.iri_accesses(statements(spark, sf_dir, ORDERS)))
 
 
-_STREAMED = f"SELECT *, 'events-' || CAST((row_idx // 3) % 8 AS VARCHAR) AS stream_id FROM ({EVENTS.sql()})"
+_STREAMED = f"SELECT *, 'events-' || CAST(row_idx // {len(EVENTS.fields)} // {STREAM_KEYS} AS VARCHAR) AS stream_id FROM ({EVENTS.sql()})"
 
 
 @query(f"""SELECT stream_id, row_idx, coalesce(s = lag(s) OVER w, false) AS same_s, coalesce(p = lag(p) OVER w, false) AS same_p,
@@ -224,12 +220,12 @@ def graphs_unpacked(spark, sf_dir):
     return back.select(F.col("graph")["value"].alias("graph"), F.col("s")["value"].alias("s"), F.col("p")["value"].alias("p"), F.col("o")["value"].alias("o"))
 
 
-@query(f"""WITH {_accesses_sql(ORDERS)} SELECT 'triple' AS row_kind, (SELECT count(*) FROM b) AS n UNION ALL SELECT 'options', 8
+@query(f"""WITH {_accesses_sql(ORDERS)} SELECT 'triple' AS row_kind, (SELECT count(*) FROM b) AS n UNION ALL SELECT 'options', (SELECT count(DISTINCT stream_id) FROM b)
     UNION ALL SELECT 'name', (SELECT count(*) FROM (SELECT DISTINCT stream_id, name FROM acc)) UNION ALL SELECT 'prefix', (SELECT count(*) FROM (SELECT DISTINCT stream_id, prefix FROM acc))
     UNION ALL SELECT 'datatype', (SELECT count(*) FROM (SELECT DISTINCT stream_id, o_datatype FROM b WHERE o_datatype IS NOT NULL))""")
 def row_kind_counts(spark, sf_dir):
-    """Rows that the encoder writes. The SQL counts first appearances: the same until a stream meets more than 4096 names, from
-    where evicted names are written again."""
+    """Rows that the encoder writes. A stream of STREAM_KEYS orders meets fewer than 4096 names, so none is evicted and first
+    appearances are what is written."""
     rows = statements(spark, sf_dir, ORDERS)
     frames = codec.encode(rows, Options.of("TRIPLES", "FLAT_TRIPLES", names=4096, prefixes=150))
     return codec.rows(frames).groupBy("row_kind").agg(F.count(F.lit(1)).alias("n"))
@@ -238,13 +234,13 @@ def row_kind_counts(spark, sf_dir):
 # ------------------------------------------------------------------ framing and grouping
 
 
-@query("""WITH RECURSIVE w AS (SELECT o_orderkey // 500 AS stream, o_orderkey AS row_idx, o_orderkey % 3 + 1 AS n_rows, row_number() OVER (PARTITION BY o_orderkey // 500 ORDER BY o_orderkey) AS k FROM orders),
+@query(f"""WITH RECURSIVE w AS (SELECT o_orderkey // {STREAM_KEYS} AS stream, o_orderkey AS row_idx, o_orderkey % 3 + 1 AS n_rows, row_number() OVER (PARTITION BY o_orderkey // {STREAM_KEYS} ORDER BY o_orderkey) AS k FROM orders),
     f AS (SELECT stream, row_idx, k, CASE WHEN 1 + n_rows >= 20 THEN 0 ELSE 1 + n_rows END AS fill, CAST(0 AS BIGINT) AS frame_idx, CASE WHEN 1 + n_rows >= 20 THEN 1 ELSE 0 END AS next FROM w WHERE k = 1
     UNION ALL SELECT w.stream, w.row_idx, w.k, CASE WHEN f.fill + w.n_rows >= 20 THEN 0 ELSE f.fill + w.n_rows END, CAST(f.next AS BIGINT), CASE WHEN f.fill + w.n_rows >= 20 THEN f.next + 1 ELSE f.next END FROM f JOIN w ON w.stream = f.stream AND w.k = f.k + 1)
     SELECT CAST(stream AS VARCHAR) AS stream_id, row_idx, frame_idx FROM f""")
 def frames_bounded(spark, sf_dir):
     """Statements that weigh 1 to 3 rows, in frames of 20 rows."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor(F.col("o_orderkey") / 500).cast("string").alias("stream_id"), F.col("o_orderkey").alias("row_idx"), (F.col("o_orderkey") % 3 + 1).alias("n_rows"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor(F.col("o_orderkey") / STREAM_KEYS).cast("string").alias("stream_id"), F.col("o_orderkey").alias("row_idx"), (F.col("o_orderkey") % 3 + 1).alias("n_rows"))
     return relational.bounded_frames(rows, 20)
 
 
@@ -253,10 +249,10 @@ def frames_per_graph(spark, sf_dir):
     """A frame for each run of a graph."""
     rows = relational.graph_runs(statements(spark, sf_dir, EVENTS))
     frames = codec.encode(rows, Options.of("GRAPHS", "NAMED_GRAPHS"), framing="graph", group="run")
-    return grouping.per_frame(frames, codec.decode(frames))
+    return grouping.per_frame(frames)
 
 
-_BY_STREAM = f"SELECT *, 'customer-' || CAST((row_idx // 4) % 8 AS VARCHAR) AS stream_id, row_idx // 4000 AS d FROM ({CUSTOMER.sql()})"
+_BY_STREAM = f"SELECT *, 'customer-' || CAST(row_idx // 4 // {STREAM_KEYS} AS VARCHAR) AS stream_id, row_idx // 4000 AS d FROM ({CUSTOMER.sql()})"
 
 
 @query(f"SELECT stream_id, dense_rank() OVER (PARTITION BY stream_id ORDER BY d) - 1 AS frame_idx, count(*) AS n FROM ({_BY_STREAM}) GROUP BY stream_id, d")
@@ -264,7 +260,7 @@ def frames_per_dataset(spark, sf_dir):
     """A frame for each thousand customers of a stream."""
     rows = statements(spark, sf_dir, CUSTOMER).withColumn("d", F.floor(F.col("row_idx") / 4000)).withColumn("g", F.struct(F.lit("default").alias("kind"), *(F.lit(None).cast("string").alias(c) for c in ("value", "lang", "datatype"))))
     frames = codec.encode(rows, Options.of("QUADS", "DATASETS"), framing="dataset", group="d")
-    return grouping.per_frame(frames, codec.decode(frames))
+    return grouping.per_frame(frames)
 
 
 @query(f"SELECT stream_id, dense_rank() OVER (PARTITION BY stream_id ORDER BY d) - 1 AS frame_idx, CAST(dense_rank() OVER (PARTITION BY stream_id ORDER BY d) - 1 AS VARCHAR) AS note, CAST(count(*) AS INT) AS n FROM ({_BY_STREAM}) GROUP BY stream_id, d")
@@ -301,6 +297,101 @@ def dedup_set(spark, sf_dir):
     return flat(grouping.as_set(once.union(once)).withColumn("row_idx", F.lit(0))).select(COLUMNS)
 
 
+_RUNS = f"SELECT *, CAST(sum(new) OVER (PARTITION BY stream_id ORDER BY row_idx) AS BIGINT) AS frame_idx FROM (SELECT *, CASE WHEN lag(1) OVER w IS NULL OR g_value IS NOT DISTINCT FROM lag(g_value) OVER w THEN 0 ELSE 1 END AS new FROM ({_STREAMED}) WINDOW w AS (PARTITION BY stream_id ORDER BY row_idx))"
+
+
+def _named(events: DataFrame) -> DataFrame:
+    """Events of written files by the stream's own name."""
+    return events.withColumn("stream_id", F.regexp_extract("stream_id", "^(.*)-[0-9a-f]{12}[.]", 1))
+
+
+@query(f"SELECT stream_id, frame_idx, count(*) AS n, min(g_value) AS g FROM ({_RUNS}) GROUP BY stream_id, frame_idx")
+def grouped_files(spark, sf_dir):
+    """Files with a frame for each run of a graph, written and read by the data source."""
+    path = shared_path(spark, "grouped")
+    datasource.write_statements(statements(spark, sf_dir, EVENTS), path, physicalType="GRAPHS", logicalType="NAMED_GRAPHS")
+    found = _named(spark.read.format(datasource.FORMAT).options(logicalTypeStrict="true", mode="grouped").load(path))
+    return found.groupBy("stream_id", "frame_idx").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("g")["value"]).alias("g"))
+
+
+@query(f"SELECT stream_id, dense_rank() OVER (PARTITION BY stream_id ORDER BY d) - 1 AS frame_idx, count(DISTINCT s) AS subjects, count(DISTINCT p || o_value) AS pairs FROM ({_BY_STREAM}) GROUP BY stream_id, d")
+def function_per_frame(spark, sf_dir):
+    """A function of each frame's statements."""
+    rows = statements(spark, sf_dir, CUSTOMER).withColumn("d", F.floor(F.col("row_idx") / 4000))
+    frames = codec.encode(rows, Options.of("TRIPLES", "GRAPHS"), framing="graph", group="d")
+
+    def counted(stream: str, frame: int, found: list[tuple]) -> list[tuple]:
+        return [(stream, frame, len({s for s, *_ in found}), len({p[1] + o[1] for _, p, o, _ in found}))]
+
+    return grouping.apply_per_frame(frames, counted, "stream_id string, frame_idx long, subjects long, pairs long")
+
+
+@query(f"SELECT DISTINCT stream_id, dense_rank() OVER (PARTITION BY stream_id ORDER BY d) - 1 AS frame_idx, p, o_value AS o FROM (SELECT stream_id, d, p, o_value FROM ({_BY_STREAM}) WHERE p <> '{SCHEMA}c_name')")
+def sets_per_frame(spark, sf_dir):
+    """Frames as sets: statements of one subject, repeated within and across frames."""
+    rows = statements(spark, sf_dir, CUSTOMER).withColumn("d", F.floor(F.col("row_idx") / 4000)).where(F.col("p")["value"] != SCHEMA + "c_name")
+    rows = rows.withColumn("s", F.col("s").withField("value", F.lit(BASE + "all")))
+    frames = codec.encode(rows, Options.of("TRIPLES", "GRAPHS"), framing="graph", group="d")
+    found = grouping.as_set(codec.decode(frames), ("stream_id", "frame_idx"))
+    return found.select("stream_id", "frame_idx", F.col("p")["value"].alias("p"), F.col("o")["value"].alias("o"))
+
+
+@query("SELECT prefix, iri, n FROM (VALUES ('ex', 'http://example.org/'), ('sch', 'http://example.org/schema#')) t(prefix, iri), (SELECT count(DISTINCT c_custkey // " + str(STREAM_KEYS) + ") AS n FROM customer)")
+def namespaces_written(spark, sf_dir):
+    """Namespace declarations of every file that the data source writes, and read back."""
+    path = shared_path(spark, "namespaces")
+    datasource.write_statements(statements(spark, sf_dir, CUSTOMER), path, {"ex": BASE, "sch": SCHEMA}, physicalType="TRIPLES", logicalType="FLAT_TRIPLES")
+    found = codec.last_namespaces(spark.read.format(datasource.FORMAT).load(path))
+    return found.groupBy("prefix", "iri").agg(F.count_distinct("stream_id").alias("n"))
+
+
+@query(f"SELECT s, p, o_value AS o FROM ({CUSTOMER.sql()}) WHERE p = '{SCHEMA}c_acctbal'")
+def pushed_predicate(spark, sf_dir):
+    """A predicate's statements, chosen in the reader."""
+    path = shared_path(spark, "pushed")
+    datasource.write_statements(statements(spark, sf_dir, CUSTOMER), path, physicalType="TRIPLES", logicalType="FLAT_TRIPLES")
+    found = spark.read.format(datasource.FORMAT).option("predicate", SCHEMA + "c_acctbal").load(path)
+    return found.select(F.col("s")["value"].alias("s"), F.col("p")["value"].alias("p"), F.col("o")["value"].alias("o"))
+
+
+@query(_sql(CUSTOMER))
+def roundtrip_bare_files(spark, sf_dir):
+    """Files of one bare frame each."""
+    path = shared_path(spark, "bare")
+    datasource.write_statements(statements(spark, sf_dir, CUSTOMER), path, physicalType="TRIPLES", delimited="false")
+    return flat(codec.statements_of(spark.read.format(datasource.FORMAT).load(path))).select(COLUMNS)
+
+
+@query(f"SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS s, 'bnode' AS s_kind, 'r' || CAST(n_regionkey AS VARCHAR) AS o, 'bnode' AS o_kind, 'g' || CAST(n_regionkey AS VARCHAR) AS g, 'bnode' AS g_kind FROM nation")
+def roundtrip_bnodes(spark, sf_dir):
+    """Blank nodes as subject, object and graph."""
+    one = statements(spark, sf_dir, NATION).where(F.col("o")["kind"] == "iri")
+    key = lambda c, label: bnode(F.concat(F.lit(label), F.regexp_extract(c, "[0-9]+$", 0)))
+    about = one.select("stream_id", "frame_idx", "row_idx", key(F.col("s")["value"], "n").alias("s"), "p", key(F.col("o")["value"], "r").alias("o"), key(F.col("o")["value"], "g").alias("g"))
+    back = codec.decode(codec.encode(about, Options.of("QUADS", "FLAT_QUADS")))
+    return back.select(*(F.col(c)["value"].alias(c) for c in "sog"), *(F.col(c)["kind"].alias(f"{c}_kind") for c in "sog"))
+
+
+@query(f"SELECT CASE WHEN row_idx % 2 = 0 THEN 'default' ELSE g_kind END AS g_kind, CASE WHEN row_idx % 2 = 0 THEN NULL ELSE g_value END AS g_value, s, p, o_value FROM ({EVENTS.sql()})")
+def roundtrip_default_graph(spark, sf_dir):
+    """Statements of the default graph between those of named ones, in a stream of graphs."""
+    rows = statements(spark, sf_dir, EVENTS).withColumn("g", F.when(F.col("row_idx") % 2 == 0, default_graph()).otherwise(F.col("g")))
+    back = codec.decode(codec.encode(rows, Options.of("GRAPHS", "FLAT_QUADS")))
+    return flat(back).select("g_kind", "g_value", "s", "p", "o_value")
+
+
+@query("SELECT 'events' AS source, 'QUADS' AS physical, 'FLAT_QUADS' AS logical, count(event_type) AS graphs FROM events UNION ALL SELECT 'nation', 'TRIPLES', 'FLAT_TRIPLES', 0")
+def guess_by_data(spark, sf_dir):
+    """Stream types chosen by what the statements hold."""
+    out = None
+    for m in (EVENTS, NATION):
+        n = statements(spark, sf_dir, m).where(F.col("p")["value"] == SCHEMA + m.fields[0].column).agg(F.count("g").alias("graphs"))
+        physical, logical = (F.when(F.col("graphs") > 0, opt.guess(True)[i]).otherwise(opt.guess(False)[i]) for i in (0, 1))
+        n = n.select(F.lit(m.table).alias("source"), physical.alias("physical"), logical.alias("logical"), "graphs")
+        out = n if out is None else out.union(n)
+    return out
+
+
 # ------------------------------------------------------------------ validation tables
 
 
@@ -357,7 +448,7 @@ def delimited_hint(spark, sf_dir):
 def predicate_distinct(spark, sf_dir):
     """Distinct objects of a predicate, of decoded statements."""
     frames = codec.encode(statements(spark, sf_dir, CUSTOMER), Options.of("TRIPLES", "FLAT_TRIPLES"))
-    found = graph.pattern(codec.decode(frames), o="o", predicate_iri=SCHEMA + "c_mktsegment")
+    found = codec.decode(frames, predicate=SCHEMA + "c_mktsegment")
     return found.select(F.col("o")["value"].alias("o")).distinct()
 
 
@@ -428,29 +519,40 @@ def degree_topk(spark, sf_dir):
     return graph.degrees(_links(spark, sf_dir, ORDERS, CUSTOMER, NATION)).orderBy(F.desc("degree"), "node").limit(5)
 
 
-_SMALL = _edges_sql(SUPPLIER, NATION)
+_LINKED = (ORDERS, CUSTOMER, NATION)
+#: Each order hangs on its customer, nation and region, so a region's tree is a component.
+_TREES = f"""t AS (SELECT n_regionkey AS region, '{BASE}nation/' || CAST(n_nationkey AS VARCHAR) AS node FROM nation UNION SELECT n_regionkey, '{BASE}region/' || CAST(n_regionkey AS VARCHAR) FROM nation
+    UNION SELECT n_regionkey, '{BASE}customer/' || CAST(c_custkey AS VARCHAR) FROM customer JOIN nation ON n_nationkey = c_nationkey
+    UNION SELECT n_regionkey, '{BASE}orders/' || CAST(o_orderkey AS VARCHAR) FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
 
 
-@query(f"""WITH RECURSIVE e AS ({_SMALL}), d AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, near) AS (SELECT a, a FROM d UNION SELECT r.node, d.b FROM r JOIN d ON d.a = r.near)
-    SELECT node, min(near) AS component FROM r GROUP BY node""")
+@query(f"WITH {_TREES} SELECT node, min(node) OVER (PARTITION BY region) AS component FROM t")
 def connected_components(spark, sf_dir):
-    return graph.components(_links(spark, sf_dir, SUPPLIER, NATION))
+    return graph.components(_links(spark, sf_dir, *_LINKED))
+
 
+_LEAST = "SELECT o_orderkey, c_custkey, n_nationkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 0 ORDER BY o_orderkey LIMIT 1"
 
-@query(f"""WITH t AS (SELECT s_suppkey, s_nationkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 0 ORDER BY s_suppkey LIMIT 1)
-    SELECT 0 AS step, '{BASE}region/0' AS node UNION ALL SELECT 1, '{BASE}nation/' || CAST(s_nationkey AS VARCHAR) FROM t UNION ALL SELECT 2, '{BASE}supplier/' || CAST(s_suppkey AS VARCHAR) FROM t""")
+
+@query(f"""WITH t AS ({_LEAST}) SELECT 0 AS step, '{BASE}region/0' AS node UNION ALL SELECT 1, '{BASE}nation/' || CAST(n_nationkey AS VARCHAR) FROM t
+    UNION ALL SELECT 2, '{BASE}customer/' || CAST(c_custkey AS VARCHAR) FROM t UNION ALL SELECT 3, '{BASE}orders/' || CAST(o_orderkey AS VARCHAR) FROM t""")
 def shortest_path(spark, sf_dir):
-    """From region 0 to its supplier with the smallest key."""
-    supplier, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
-    least = supplier.join(nation.where("n_regionkey = 0"), F.col("n_nationkey") == F.col("s_nationkey")).agg(F.min("s_suppkey")).first()[0]
-    return graph.shortest_path(_links(spark, sf_dir, SUPPLIER, NATION), f"{BASE}region/0", f"{BASE}supplier/{least}")
+    """From region 0 to its order with the smallest key."""
+    orders, customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation"))
+    own = customer.join(nation.where("n_regionkey = 0"), F.col("n_nationkey") == F.col("c_nationkey"))
+    least = orders.join(own, F.col("c_custkey") == F.col("o_custkey"), "left_semi").agg(F.min("o_orderkey")).first()[0]
+    return graph.shortest_path(_links(spark, sf_dir, *_LINKED), f"{BASE}region/0", f"{BASE}orders/{least}")
+
 
+_LARGE = _edges_sql(*_LINKED)
 
-@query(f"WITH e AS ({_SMALL}), n AS (SELECT node FROM (SELECT a AS node FROM e UNION SELECT b FROM e) ORDER BY node LIMIT 40) SELECT a, b FROM e WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n)")
+
+@query(f"""WITH e AS ({_LARGE}), n AS (SELECT node FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node ORDER BY count(*) DESC, node LIMIT 60)
+    SELECT a, b FROM e WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n)""")
 def induced_subgraph(spark, sf_dir):
-    """The subgraph of the first 40 nodes."""
-    e = _links(spark, sf_dir, SUPPLIER, NATION)
-    nodes = graph.degrees(e).select("node").orderBy("node").limit(40)
+    """The subgraph of the 60 nodes with the most links."""
+    e = stored(_links(spark, sf_dir, *_LINKED), "links")
+    nodes = graph.degrees(e).orderBy(F.desc("degree"), "node").select("node").limit(60)
     return graph.induced(e, nodes)
 
 
@@ -479,17 +581,17 @@ def intersect_streams(spark, sf_dir):
 @query(f"{_sql(NATION)} EXCEPT {_PART}")
 def except_streams(spark, sf_dir):
     whole, part = _halves(spark, sf_dir)
-    return whole.exceptAll(part)
+    return whole.subtract(part)
 
 
 @query(_sql(CUSTOMER))
 def stream_flat_decode(spark, sf_dir):
     """Frames that arrive as files over several triggers, decoded with state kept between them."""
-    path = _shared(spark, "arrivals")
+    path = shared_path(spark, "arrivals")
     codec.encode(statements(spark, sf_dir, CUSTOMER), Options.of("TRIPLES", "FLAT_TRIPLES")).write.parquet(path)
     arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    name, checkpoint, sink = f"decoded_{uuid.uuid4().hex}", _shared(spark, "progress"), _shared(spark, "decoded")
-    run = decode_stream(arriving).writeStream.queryName(name).outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    checkpoint, sink = shared_path(spark, "progress"), shared_path(spark, "decoded")
+    run = decode_stream(arriving).writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(sink).select(COLUMNS)
 
@@ -498,5 +600,19 @@ def stream_flat_decode(spark, sf_dir):
 def window_counts(spark, sf_dir):
     """Time windows over decoded statements: events by graph and hour."""
     rows = statements(spark, sf_dir, EVENTS).where(F.col("p")["value"] == SCHEMA + "ts")
-    at = F.to_timestamp_ntz(F.col("o")["value"], F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    at = F.to_timestamp_ntz(F.col("o")["value"], F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     return rows.groupBy(F.col("g")["value"].alias("g"), F.date_trunc("hour", at).cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT g_value AS g, start, count(*) AS n FROM (SELECT 'http://example.org/graph/' || event_type AS g_value, date_trunc('hour', ts) AS start FROM events)
+    WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY g_value, start""")
+def stream_windows(spark, sf_dir):
+    """Windows over arriving statements, given out once the watermark, two hours behind, has passed their end."""
+    arrived, sink = shared_path(spark, "statements"), shared_path(spark, "windows")
+    rows = codec.decode(codec.encode(statements(spark, sf_dir, EVENTS), Options.of("QUADS", "FLAT_QUADS")), predicate=SCHEMA + "ts")
+    rows.select(F.col("g")["value"].alias("g"), F.to_timestamp(F.col("o")["value"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("at")).write.parquet(arrived)
+    stream = spark.readStream.schema("g string, at timestamp").parquet(arrived).withWatermark("at", "2 hours")
+    counts = stream.groupBy("g", F.window("at", "1 hour")).agg(F.count(F.lit(1)).alias("n"))
+    run = counts.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", shared_path(spark, "progress")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("g string, window struct<start: timestamp, end: timestamp>, n long").parquet(sink).select("g", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")

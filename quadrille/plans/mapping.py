@@ -16,6 +16,8 @@ from quadrille.schema import TERM, XSD
 
 BASE = "http://example.org/"
 SCHEMA = "http://example.org/schema#"
+#: Keys that a stream covers, so that the number of streams, and of tasks that encode and decode, follows the data.
+STREAM_KEYS = 2048
 
 
 @dataclass(frozen=True)
@@ -31,7 +33,7 @@ class Field:
         if self.kind == "decimal":
             return literal(c.cast("decimal(18,2)"), datatype=F.lit(XSD + "decimal"))
         if self.kind == "dateTime":
-            return literal(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), datatype=F.lit(XSD + "dateTime"))
+            return literal(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), datatype=F.lit(XSD + "dateTime"))
         if self.kind.startswith("lang:"):
             return literal(c, lang=F.col(self.kind[5:]))
         if self.kind == "string":
@@ -46,7 +48,7 @@ class Field:
         if self.kind == "decimal":
             return "'literal'", f"CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR)", null, f"'{XSD}decimal'"
         if self.kind == "dateTime":
-            return "'literal'", f"strftime({c}, '%Y-%m-%dT%H:%M:%S')", null, f"'{XSD}dateTime'"
+            return "'literal'", f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%f')", null, f"'{XSD}dateTime'"
         if self.kind.startswith("lang:"):
             return "'literal'", c, self.kind[5:], null
         if self.kind == "string":
@@ -62,14 +64,14 @@ class Mapping:
     #: A column that names the graph; its nulls are the default graph.
     graph: str | None = None
 
-    def statements(self, rows: DataFrame, streams: int = 8) -> DataFrame:
-        """Statements of a table's rows in `streams` streams, by the key modulo their number."""
+    def statements(self, rows: DataFrame, streams: int | None = None) -> DataFrame:
+        """Statements of a table's rows: a stream for every STREAM_KEYS keys, or `streams` by the key modulo their number."""
         subject = iri(F.concat(F.lit(f"{BASE}{self.table}/"), F.col(self.key).cast("string")))
         graph = F.lit(None).cast(TERM)
         if self.graph:
             graph = F.when(F.col(self.graph).isNull(), default_graph()).otherwise(iri(F.concat(F.lit(f"{BASE}graph/"), F.col(self.graph))))
         each = F.posexplode(F.array(*(F.struct(iri(F.lit(SCHEMA + f.column)).alias("p"), f.term().alias("o")) for f in self.fields))).alias("at", "x")
-        stream = F.concat(F.lit(f"{self.table}-"), F.pmod(F.col(self.key), F.lit(streams)).cast("string"))
+        stream = F.concat(F.lit(f"{self.table}-"), (F.floor(F.col(self.key) / STREAM_KEYS) if streams is None else F.pmod(F.col(self.key), F.lit(streams))).cast("string"))
         shown = rows.select(stream.alias("stream_id"), F.col(self.key).cast("long").alias("__k"), subject.alias("s"), graph.alias("g"), each)
         return shown.where("x.o.value IS NOT NULL").select("stream_id", F.lit(0).cast("long").alias("frame_idx"), (F.col("__k") * len(self.fields) + F.col("at")).alias("row_idx"), "s", F.col("x.p").alias("p"), F.col("x.o").alias("o"), "g")
 
@@ -93,6 +95,6 @@ NATION = Mapping("nation", "n_nationkey", (Field("n_name", "string"), Field("n_r
 REGION = Mapping("region", "r_regionkey", (Field("r_name", "string"),))
 CUSTOMER = Mapping("customer", "c_custkey", (Field("c_name", "string"), Field("c_nationkey", "nation"), Field("c_acctbal", "decimal"), Field("c_mktsegment", "string")))
 ORDERS = Mapping("orders", "o_orderkey", (Field("o_custkey", "customer"), Field("o_orderstatus", "string"), Field("o_totalprice", "decimal"), Field("o_orderdate", "dateTime"), Field("o_orderpriority", "string")))
-EVENTS = Mapping("events", "event_id", (Field("ts", "dateTime"), Field("user_id", "integer"), Field("value", "decimal")), graph="event_type")
-DOCUMENTS = Mapping("documents", "doc_id", (Field("text", "lang:lang"), Field("source", "string")))
+EVENTS = Mapping("events", "event_id", (Field("ts", "dateTime"), Field("user_id", "integer"), Field("value", "decimal"), Field("props", "string")), graph="event_type")
+DOCUMENTS = Mapping("documents", "doc_id", (Field("text", "lang:lang"), Field("source", "string"), Field("n_chars", "integer")))
 SUPPLIER = Mapping("supplier", "s_suppkey", (Field("s_name", "string"), Field("s_nationkey", "nation")))

@@ -74,47 +74,75 @@ def put_number(number: int, value: int) -> bytes:
 # ------------------------------------------------------------------ terms
 
 
-def _read_iri(data: bytes) -> tuple:
+def _head(data: bytes, at: int, end: int) -> tuple[int, int, int, int]:
+    """Field number, wire type, and where the field's value begins and ends (of numbers: value, place after it)."""
+    key = data[at]
+    at += 1
+    if key > 127:
+        key, at = read_varint(data, at - 1)
+    kind = key & 7
+    if kind == 2:
+        if at >= end:
+            raise ConformanceError("the data end inside a number")
+        size = data[at]
+        at += 1
+        if size > 127:
+            size, at = read_varint(data, at - 1)
+        if at + size > end:
+            raise ConformanceError("the data end inside a field")
+        return key >> 3, 2, at, at + size
+    if kind == 0:
+        value, at = read_varint(data, at)
+        return key >> 3, 0, value, at
+    if kind in (1, 5):
+        return 0, kind, at, at + (8 if kind == 1 else 4)
+    raise ConformanceError("not a frame")
+
+
+def _read_iri(data: bytes, at: int, end: int) -> tuple:
     prefix = name = 0
-    for n, v in fields(data):
+    while at < end:
+        n, _, value, at = _head(data, at, end)
         if n == 1:
-            prefix = v
+            prefix = value
         elif n == 2:
-            name = v
+            name = value
     return "iri", prefix, name
 
 
-def _read_literal(data: bytes) -> tuple:
+def _read_literal(data: bytes, at: int, end: int) -> tuple:
     lex, lang, datatype = "", None, None
-    for n, v in fields(data):
+    while at < end:
+        n, _, value, at = _head(data, at, end)
         if n == 1:
-            lex = v.decode()
+            lex = data[value:at].decode()
         elif n == 2:
-            lang, datatype = v.decode(), None
+            lang, datatype = data[value:at].decode(), None
         elif n == 3:
-            lang, datatype = None, v
+            lang, datatype = None, value
     return "literal", lex, lang, datatype
 
 
-def _read_term(kind: str, body: bytes) -> tuple:
+def _read_term(kind: str, data: bytes, at: int, end: int) -> tuple:
     if kind == "iri":
-        return _read_iri(body)
-    if kind == "bnode":
-        return "bnode", body.decode()
+        return _read_iri(data, at, end)
     if kind == "literal":
-        return _read_literal(body)
+        return _read_literal(data, at, end)
+    if kind == "bnode":
+        return "bnode", data[at:end].decode()
     if kind == "default":
         return ("default",)
-    return "triple", tuple(_read_slots(body, 3))
+    return "triple", tuple(_read_slots(data, at, end, 3))
 
 
-def _read_slots(data: bytes, arity: int) -> list[tuple | None]:
+def _read_slots(data: bytes, at: int, end: int, arity: int) -> list[tuple | None]:
     """Slots s, p, o have four field numbers each, in the order of TERM_KINDS; then the graph's, of GRAPH_KINDS."""
     slots: list[tuple | None] = [None] * arity
-    for n, v in fields(data):
-        slot = (n - 1) // 4
-        if slot < arity:
-            slots[slot] = _read_term((TERM_KINDS if slot < 3 else GRAPH_KINDS)[(n - 1) % 4], v)
+    while at < end:
+        n, kind, begin, at = _head(data, at, end)
+        slot = (n - 1) >> 2
+        if kind == 2 and 0 <= slot < arity:
+            slots[slot] = _read_term((TERM_KINDS if slot < 3 else GRAPH_KINDS)[(n - 1) & 3], data, begin, at)
     return slots
 
 
@@ -157,40 +185,50 @@ def _read_options(data: bytes) -> Options:
     return Options(**found)
 
 
-def _options_body(o: Options) -> bytes:
+def options_body(o: Options) -> bytes:
     name = put(1, o.stream_name.encode()) if o.stream_name else b""
     return name + b"".join(put_number(n, int(v)) for n, v in ((2, o.physical), (3, o.generalized), (4, o.star), (9, o.names), (10, o.prefixes), (11, o.datatypes), (14, o.logical), (15, o.version)))
 
 
-def read_row(data: bytes) -> tuple:
+def read_row(data: bytes, at: int = 0, end: int | None = None) -> tuple:
+    """The row in data[at:end]; of several the last, as the format has it."""
+    end = len(data) if end is None else end
     row = None
-    for n, body in fields(data):
-        kind = ROW_FIELDS.get(n)
+    while at < end:
+        n, wire_kind, begin, at = _head(data, at, end)
+        kind = ROW_FIELDS.get(n) if wire_kind == 2 else None
         if kind == "triple":
-            row = (kind, *_read_slots(body, 3))
+            row = (kind, *_read_slots(data, begin, at, 3))
         elif kind == "quad":
-            row = (kind, *_read_slots(body, 4))
+            row = (kind, *_read_slots(data, begin, at, 4))
         elif kind in ("name", "prefix", "datatype"):
             index, value = 0, ""
-            for m, v in fields(body):
+            while begin < at:
+                m, _, v, begin = _head(data, begin, at)
                 if m == 1:
                     index = v
                 elif m == 2:
-                    value = v.decode()
+                    value = data[v:begin].decode()
             row = (kind, index, value)
         elif kind == "options":
-            row = (kind, _read_options(body))
+            row = (kind, _read_options(data[begin:at]))
         elif kind == "graph_start":
-            row = (kind, next((_read_term(GRAPH_KINDS[m - 1], v) for m, v in fields(body) if m <= 4), None))
+            term = None
+            while begin < at:
+                m, _, v, begin = _head(data, begin, at)
+                if term is None and 1 <= m <= 4:
+                    term = _read_term(GRAPH_KINDS[m - 1], data, v, begin)
+            row = (kind, term)
         elif kind == "graph_end":
             row = (kind,)
         elif kind == "namespace":
             label, iri = "", ("iri", 0, 0)
-            for m, v in fields(body):
+            while begin < at:
+                m, _, v, begin = _head(data, begin, at)
                 if m == 1:
-                    label = v.decode()
+                    label = data[v:begin].decode()
                 elif m == 2:
-                    iri = _read_iri(v)
+                    iri = _read_iri(data, v, begin)
             row = (kind, label, iri)
     if row is None:
         raise TypeError("unknown row")
@@ -204,7 +242,7 @@ def write_row(row: tuple) -> bytes:
     elif kind in ("name", "prefix", "datatype"):
         body = put_number(1, row[1]) + (put(2, row[2].encode()) if row[2] else b"")
     elif kind == "options":
-        body = _options_body(row[1])
+        body = options_body(row[1])
     elif kind == "graph_start":
         if row[1][0] not in GRAPH_KINDS:
             raise NotImplementedError(f"unsupported term type {row[1][0]} for a graph")
@@ -217,13 +255,14 @@ def write_row(row: tuple) -> bytes:
 
 
 def read_frame(data: bytes) -> tuple[list[tuple], dict[str, bytes]]:
-    rows, metadata = [], {}
-    for n, body in fields(data):
-        if n == 1:
-            rows.append(read_row(body))
-        elif n == 15:
+    rows, metadata, at, end = [], {}, 0, len(data)
+    while at < end:
+        n, kind, begin, at = _head(data, at, end)
+        if n == 1 and kind == 2:
+            rows.append(read_row(data, begin, at))
+        elif n == 15 and kind == 2:
             key, value = "", b""
-            for m, v in fields(body):
+            for m, v in fields(data[begin:at]):
                 if m == 1:
                     key = v.decode()
                 else:

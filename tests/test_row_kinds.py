@@ -6,7 +6,8 @@ from collections import Counter
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from quadrille.plans import catalog
+from quadrille.operators import codec
+from quadrille.options import Options
 from quadrille.plans.mapping import BASE, ORDERS, SCHEMA
 
 N, CYCLE, STREAMS, SIZES = 40_000, 2500, 8, {"name": 4096, "prefix": 150, "datatype": 32}
@@ -51,5 +52,7 @@ def test_evicted_names_are_counted_again(spark, tmp_path):
     pq.write_table(pa.table(columns), tmp_path / "orders.parquet")
     want = brute(orders)
     assert want["name"] > STREAMS * len(ORDERS.fields) + N + STREAMS * CYCLE  # more rows than names
-    got = {r.row_kind: r.n for r in catalog.QUERIES["row_kind_counts"](spark, str(tmp_path)).collect()}
+    rows = ORDERS.statements(spark.read.parquet(str(tmp_path / "orders.parquet")), STREAMS)
+    frames = codec.encode(rows, Options.of("TRIPLES", "FLAT_TRIPLES", names=SIZES["name"], prefixes=SIZES["prefix"]))
+    got = {r.row_kind: r["count"] for r in codec.rows(frames).groupBy("row_kind").count().collect()}
     assert got == want
