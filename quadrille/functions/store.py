@@ -14,19 +14,29 @@ LOCAL_SHARED = "/tmp/checkpoints"
 _written: list[str] = []
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir, deleted when the program ends."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor and the driver see: spark.checkpoint.dir, else a local one where all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or f"file://{LOCAL_SHARED}").rstrip("/")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the program ends."""
     if not _written:
         atexit.register(_release_quietly)
-    _written.append(f"{(named or f'file://{LOCAL_SHARED}').rstrip('/')}/quadrille-{label}-{uuid.uuid4().hex}")
+    _written.append(f"{shared_dir(spark)}/quadrille-{label}-{uuid.uuid4().hex}")
     return _written[-1]
 
 
+def written() -> list[str]:
+    """Paths that shared_path() named and nobody released yet."""
+    return list(_written)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once in the shared folder and read back."""
+    """df written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -35,7 +45,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete what shared_path() named (all by default); call only when no DataFrame reads it any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in list(_written) if paths is None else paths:
+    for path in written() if paths is None else paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
         if path in _written:
