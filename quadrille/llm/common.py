@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import gc
 import os
-import sys
-import uuid
 import weakref
 from collections.abc import Callable, Iterator
 
@@ -18,10 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Folder used only where the session names no shared folder (tests on one machine).
-LOCAL_SHARED = "/tmp/checkpoints"
-
-_scratch: list[str] = []
+from quadrille.functions.store import release, shared_dir, stored as materialize, written as scratch_tables  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,49 +111,6 @@ def in_worker(run: Callable) -> Callable:
     return task
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver see: spark.checkpoint.dir, else a local one where all run on one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (named or f"file://{LOCAL_SHARED}").rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quadrille-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _scratch.append(path)
-    if len(_scratch) == 1:
-        atexit.register(_release_quietly)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def scratch_tables() -> list[str]:
-    """Paths of the tables that materialize() wrote and nobody released yet."""
-    return list(_scratch)
-
-
-def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete scratch tables (all by default); call only when no DataFrame reads them any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in scratch_tables() if paths is None else paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-        if path in _scratch:
-            _scratch.remove(path)
-
-
-def _release_quietly() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        try:
-            release(spark)
-        except Exception as error:  # the JVM may be gone at exit; the folder is the cluster's to clean
-            print(f"scratch tables not deleted: {error}", file=sys.stderr)
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
