@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quadrille.options import ConformanceError, Options
 from quadrille.schema import EVENT, FRAME, ROW, TERM
@@ -179,6 +180,51 @@ def decode_events(frames: DataFrame, as_quads: bool = False, only: dict | None =
     return _by_stream(frames).mapInArrow(run, EVENT)
 
 
+class Adapter:
+    """What becomes of a stream's events: subclass it, name the columns in schema, and return a row or None from each
+    method. One object goes through a task's streams in order, so it may keep state from `begin` on."""
+
+    schema = ""
+
+    def begin(self, stream: str) -> None:
+        """A stream begins."""
+
+    def statement(self, frame: int, s: tuple, p: tuple, o: tuple, g: tuple | None) -> tuple | None:
+        """A statement of terms (kind, value, lang, datatype)."""
+
+    def namespace(self, frame: int, prefix: str, iri: str) -> tuple | None:
+        """A namespace declaration."""
+
+    def end(self) -> tuple | None:
+        """The stream is over."""
+
+
+def decode_with(frames: DataFrame, adapter: Adapter) -> DataFrame:
+    """The rows that an adapter makes of all streams."""
+    kinds = StructType.fromDDL(adapter.schema)
+    shape = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Columns(shape)
+        for stream, contents in streams_of(batches):
+            adapter.begin(stream)
+            decoder = Decoder()
+            for number, content in enumerate(contents):
+                for _, event in decoder.frame(content):
+                    row = adapter.statement(number, *event[1:]) if event[0] == "statement" else adapter.namespace(number, *event[1:])
+                    if row is not None:
+                        out.add(row)
+                if out.full():
+                    yield out.take()
+            row = adapter.end()
+            if row is not None:
+                out.add(row)
+        if out.rows:
+            yield out.take()
+
+    return _by_stream(frames).mapInArrow(run, kinds)
+
+
 def decode(frames: DataFrame, as_quads: bool = False, predicate: str | None = None) -> DataFrame:
     """Statements of all streams, or those of a predicate, whose others never leave the decoder."""
     return statements_of(decode_events(frames, as_quads, None if predicate is None else {("p", "kind"): "iri", ("p", "value"): predicate}))

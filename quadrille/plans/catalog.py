@@ -336,6 +336,27 @@ def sets_per_frame(spark, sf_dir):
     return found.select("stream_id", "frame_idx", F.col("p")["value"].alias("p"), F.col("o")["value"].alias("o"))
 
 
+@query(f"SELECT stream_id, max(row_idx) - min(row_idx) + 1 AS n, count(*) FILTER (o_kind = 'literal') AS literals, CAST(sum(length(o_value)) AS BIGINT) AS letters FROM ({_BY_STREAM}) GROUP BY stream_id")
+def adapter_per_stream(spark, sf_dir):
+    """A user's adapter that keeps state through a stream and gives one row at its end."""
+
+    class Sums(codec.Adapter):
+        schema = "stream_id string, n long, literals long, letters long"
+
+        def begin(self, stream):
+            self.stream, self.n, self.literals, self.letters = stream, 0, 0, 0
+
+        def statement(self, frame, s, p, o, g):
+            self.n += 1
+            self.literals += o[0] == "literal"
+            self.letters += len(o[1])
+
+        def end(self):
+            return self.stream, self.n, self.literals, self.letters
+
+    return codec.decode_with(codec.encode(statements(spark, sf_dir, CUSTOMER), Options.of("TRIPLES", "FLAT_TRIPLES")), Sums())
+
+
 @query("SELECT prefix, iri, n FROM (VALUES ('ex', 'http://example.org/'), ('sch', 'http://example.org/schema#')) t(prefix, iri), (SELECT count(DISTINCT c_custkey // " + str(STREAM_KEYS) + ") AS n FROM customer)")
 def namespaces_written(spark, sf_dir):
     """Namespace declarations of every file that the data source writes, and read back."""
