@@ -63,8 +63,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     By contraction: each round every node moves to the first of itself and its neighbours, and then to where that one
     moved; the places moved to replace the nodes, and loops and repeated links go. Each task first turns its links into
-    stars. Every other round orders nodes by themselves, which ends stars at once; those between by a new hash each, in
-    which at least a quarter of the nodes is expected to go, whatever the shape. Neighbours are pre-aggregated before a
+    stars. Two of three rounds order nodes by themselves, as two in a row end any star; each third by a new hash, in which
+    at least a quarter of the nodes is expected to go, whatever the shape. Neighbours are pre-aggregated before a
     shuffle. Every round is written to the shared folder.
     """
     edges = _edges(links.select(F.col(a).alias("a"), F.col(b).alias("b")))
@@ -72,7 +72,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while edges.limit(1).count():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
         salt = len(moves)
-        rank = lambda c, k=salt: F.struct((F.xxhash64(c, F.lit(k)) if k % 2 else F.lit(0).cast("long")).alias("rank"), F.col(c).alias("node"))
+        rank = lambda c, k=salt: F.struct((F.xxhash64(c, F.lit(k)) if k % 3 == 2 else F.lit(0).cast("long")).alias("rank"), F.col(c).alias("node"))
         first = both.groupBy("node").agg(F.min(rank("near")).alias("best"))
         moved = materialize(first.select("node", F.least("best", rank("node"))["node"].alias("place")), "moves")
         then = moved.select(F.col("node").alias("place"), F.col("place").alias("next"))
