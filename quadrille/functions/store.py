@@ -6,11 +6,14 @@ import atexit
 import sys
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Used only where the session names no shared folder and everything runs on one machine.
 LOCAL_SHARED = "/tmp/checkpoints"
 
+#: Bytes of input files that a task of dealt rows has its share of; a table's row becomes several statements of many columns.
+TASK_BYTES = 256 << 10
+
 _written: list[str] = []
 
 
@@ -42,6 +45,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that a plan reads; None where Spark does not know them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 1 << 50 else None
+
+
+def dealt(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """df dealt out by columns. The number of tasks follows the input, so that what a task holds does not grow with it."""
+    tasks = (input_bytes(df) or 0) // TASK_BYTES
+    return df.repartition(tasks, *columns) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*columns)
+
+
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete what shared_path() named (all by default); call only when no DataFrame reads it any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quadrille.functions.store import dealt
 from quadrille.options import ConformanceError, Options
 from quadrille.schema import EVENT, FRAME, ROW, TERM
 from quadrille.sources import wire
@@ -49,7 +50,7 @@ def encode(statements: DataFrame, options: Options, frame_size: int = 250, frami
     every stream begins with. An empty input gives no stream.
     """
     names = ["stream_id", *([group] if group else []), "s", "p", "o", "g"]
-    shown = statements.repartition("stream_id").sortWithinPartitions("stream_id", "row_idx").select(*names)
+    shown = dealt(statements, "stream_id").sortWithinPartitions("stream_id", "row_idx").select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = member = encoder = None
@@ -146,7 +147,7 @@ def events_of(stream: str, frames: Iterator[bytes], as_quads: bool = False, chec
 
 
 def _by_stream(frames: DataFrame) -> DataFrame:
-    return frames.repartition("stream_id").sortWithinPartitions("stream_id", "frame_idx").select("stream_id", "frame_idx", "content")
+    return dealt(frames, "stream_id").sortWithinPartitions("stream_id", "frame_idx").select("stream_id", "frame_idx", "content")
 
 
 def streams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadrille.functions.store import dealt
 from quadrille.functions.terms import split_iri
 
 
@@ -20,7 +21,7 @@ def iri_accesses(statements: DataFrame) -> DataFrame:
     repeat the slot's last value are not met again."""
     w = Window.partitionBy("stream_id").orderBy("row_idx")
     slots = [F.when((F.col(c)["kind"] == "iri") & ~F.coalesce(F.col(c).eqNullSafe(F.lag(c).over(w)), F.lit(False)), F.col(c)["value"]).alias(c) for c in "spog"]
-    wide = statements.select("stream_id", "row_idx", *slots)
+    wide = dealt(statements, "stream_id").select("stream_id", "row_idx", *slots)
     met = wide.select("stream_id", "row_idx", F.posexplode(F.array(*"spog")).alias("slot", "iri")).where("iri IS NOT NULL")
     prefix, name = split_iri(F.col("iri"))
     return met.select("stream_id", "row_idx", "slot", "iri", prefix.alias("prefix"), name.alias("name"))
@@ -50,13 +51,13 @@ def repeated_terms(statements: DataFrame) -> DataFrame:
     """Statements with same_s .. same_g: whether a slot repeats the statement before in its stream."""
     w = Window.partitionBy("stream_id").orderBy("row_idx")
     first = F.row_number().over(w) == 1
-    return statements.select("*", *(F.when(first, F.lit(False)).otherwise(F.col(c).eqNullSafe(F.lag(c).over(w))).alias(f"same_{c}") for c in "spog"))
+    return dealt(statements, "stream_id").select("*", *(F.when(first, F.lit(False)).otherwise(F.col(c).eqNullSafe(F.lag(c).over(w))).alias(f"same_{c}") for c in "spog"))
 
 
 def graph_runs(statements: DataFrame) -> DataFrame:
     """Statements with run: a number, from 0, that grows wherever the graph differs from the statement before."""
     w = Window.partitionBy("stream_id").orderBy("row_idx")
-    marked = statements.withColumn("__new", F.when(F.lag(F.lit(1)).over(w).isNull() | F.col("g").eqNullSafe(F.lag("g").over(w)), 0).otherwise(1))
+    marked = dealt(statements, "stream_id").withColumn("__new", F.when(F.lag(F.lit(1)).over(w).isNull() | F.col("g").eqNullSafe(F.lag("g").over(w)), 0).otherwise(1))
     return marked.withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
@@ -79,7 +80,7 @@ def bounded_frames(rows: DataFrame, frame_size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["stream_id", "row_idx", "frame_idx"])
 
     shown = rows.select("stream_id", F.col("row_idx").cast("long").alias("row_idx"), F.col("n_rows").cast("long").alias("n_rows"))
-    return shown.repartition("stream_id").sortWithinPartitions("stream_id", "row_idx").mapInArrow(run, "stream_id string, row_idx long, frame_idx long")
+    return dealt(shown, "stream_id").sortWithinPartitions("stream_id", "row_idx").mapInArrow(run, "stream_id string, row_idx long, frame_idx long")
 
 
 _TABLES = ("name", "prefix", "datatype")
@@ -97,12 +98,12 @@ def resolve(rows: DataFrame) -> DataFrame:
     One pass by stream resolves the coded ids: an id that is not written is the anchor before it plus the number of ids
     since. Dictionary probes are as-of joins, the last entry of an id before its reference: references, entries and the
     rows themselves go through one window by table and id. A last pass by stream puts the terms back and fills repeated
-    ones. Rows are so dealt out three times, and joined with nothing.
+    ones. Every key begins with the stream, so rows are dealt out once, and joined with nothing.
     """
     w = Window.partitionBy("stream_id").orderBy("row_idx")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     until = w.rowsBetween(Window.unboundedPreceding, 0)
-    wide = rows.where("row_kind != 'options'")
+    wide = dealt(rows, "stream_id").where("row_kind != 'options'")
     is_iri = [F.coalesce(F.col(c)["kind"] == "iri", F.lit(False)) for c in "spog"]
     prefix_id = [F.when(is_iri[k] & (F.col(c)["prefix_id"] != 0), F.col(c)["prefix_id"]) for k, c in enumerate("spog")]
     counts = [i.cast("int") for i in is_iri]
@@ -129,9 +130,8 @@ def resolve(rows: DataFrame) -> DataFrame:
     every = wide.select("stream_id", "row_idx", F.explode(F.array_compact(F.array(*items))).alias("x")).select("stream_id", "row_idx", "x.*")
     asof = Window.partitionBy("stream_id", "what", "id").orderBy("row_idx", "slot")
     probed = every.withColumn("value", F.last("value", ignorenulls=True).over(asof)).where("slot >= 0")
-    # by stream alone, so that the rows are dealt out for the last window too
     values = [F.max(F.when((F.col("slot") == k) & (F.col("what") == t), F.col("value"))).alias(f"{t}_{c}") for k, c in enumerate("spog") for t in _TABLES]
-    back = probed.repartition("stream_id").groupBy("stream_id", "row_idx").agg(F.first("held", ignorenulls=True).alias("held"), *values).where("held IS NOT NULL").select("stream_id", "row_idx", "held.frame_idx", "held.row_kind", *(F.col(f"held.{c}").alias(c) for c in "spog"), *(f"{t}_{c}" for c in "spog" for t in _TABLES))
+    back = probed.groupBy("stream_id", "row_idx").agg(F.first("held", ignorenulls=True).alias("held"), *values).where("held IS NOT NULL").select("stream_id", "row_idx", "held.frame_idx", "held.row_kind", *(F.col(f"held.{c}").alias(c) for c in "spog"), *(f"{t}_{c}" for c in "spog" for t in _TABLES))
     none = F.lit(None).cast("string")
 
     def term(c: str) -> Column:

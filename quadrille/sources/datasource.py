@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from quadrille.functions.store import dealt
 from quadrille.operators.codec import events_of
 from quadrille.options import LOGICAL, ConformanceError, Options, check_strict
 from quadrille.schema import EVENT, TERM
@@ -259,7 +260,7 @@ def write_statements(statements: DataFrame, path: str, namespaces: dict[str, str
     if namespaces:
         options["namespaces"] = json.dumps(namespaces)
     names = ["stream_id", "s", "p", "o", *(["g"] if options.get("physicalType", "QUADS") != "TRIPLES" else []), *([options["group"]] if options.get("group") else [])]
-    ordered = statements.repartition("stream_id").sortWithinPartitions("stream_id", "row_idx").select(*dict.fromkeys(names))
+    ordered = dealt(statements, "stream_id").sortWithinPartitions("stream_id", "row_idx").select(*dict.fromkeys(names))
     ordered.write.format(FORMAT).options(**options).mode("overwrite").save(path)
 
 
