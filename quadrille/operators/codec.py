@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -18,7 +20,7 @@ from pyspark.sql.types import StructType
 from quadrille.functions.store import dealt
 from quadrille.options import ConformanceError, Options
 from quadrille.schema import EVENT, FRAME, ROW, TERM
-from quadrille.sources import wire
+from quadrille.sources import columnar, wire
 from quadrille.sources.kernel import Decoder, Encoder, Frame
 
 #: Parts of a term.
@@ -26,6 +28,8 @@ _PARTS = TERM.names
 _EVENT, _FRAME, _ROW = to_arrow_schema(EVENT), to_arrow_schema(FRAME), to_arrow_schema(ROW)
 #: Events, and frames, that a record batch holds.
 BATCH = 5000
+#: Bytes of frames that are decoded at once.
+CHUNK = 512 << 10
 FRAMES = 64
 
 
@@ -53,46 +57,71 @@ def encode(statements: DataFrame, options: Options, frame_size: int = 250, frami
     shown = dealt(statements, "stream_id").sortWithinPartitions("stream_id", "row_idx").select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = member = encoder = None
-        out = _Columns(_FRAME)
-        number = 0
-
-        def keep(frames: list[Frame]) -> None:
-            nonlocal number
+        out, stream, number = _Columns(_FRAME), None, 0
+        for id_, frames in encoded(batches, options, frame_size, framing, group, namespaces):
+            if id_ != stream:
+                stream, number = id_, 0
             for frame in frames:
                 out.add((stream, number, frame.n_rows, frame.n_statements, [], frame))
                 number += 1
-
-        def close() -> None:
-            if encoder is not None:
-                if encoder.framing in ("graph", "dataset"):
-                    keep(encoder.end_group())
-                keep(encoder.finish())
-
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            groups = batch.column(1).to_pylist() if group else ids
-            for id_, in_group, *terms in zip(ids, groups, *(_terms(batch, n) for n in "spog"), strict=True):
-                if encoder is None or id_ != stream:
-                    close()
-                    stream, member, number = id_, in_group, 0
-                    encoder = Encoder(options, frame_size, framing)
-                    for label, value in namespaces or ():
-                        encoder.namespace(label, value)
-                elif group and in_group != member:
-                    keep(encoder.end_group())
-                    member = in_group
-                if frames := encoder.add(terms):
-                    keep(frames)
             if len(out.rows) >= FRAMES:
                 yield out.take()
-        close()
         if out.rows:
             yield out.take()
 
     return shown.mapInArrow(run, FRAME)
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before; the first does not."""
+    if pa.types.is_struct(column.type):
+        changed = np.any([_changes(f) for f in (column.is_null(), *column.flatten())], axis=0)
+        return changed
+    changed = np.zeros(len(column), bool)
+    if column.null_count < len(column):
+        codes = pc.fill_null(column.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        changed[1:] = codes[1:] != codes[:-1]
+    return changed
+
+
+def encoded(batches: Iterator[pa.RecordBatch], options: Options, frame_size: int = 250, framing: str | None = None, group: str | None = None, namespaces: list[tuple[str, str]] | None = None) -> Iterator[tuple[str, list[Frame]]]:
+    """(stream_id, frames that are full) of sorted statements, stream by stream; a run of one stream in a batch at once."""
+    stream = member = encoder = None
+
+    def close() -> list[Frame]:
+        return [*(encoder.end_group() if encoder.framing in ("graph", "dataset") else ()), *encoder.finish()]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(batch.schema.get_field_index("stream_id"))
+        bounds = [0, *np.flatnonzero(_changes(ids)).tolist(), batch.num_rows]
+        for begin, end in zip(bounds, bounds[1:]):
+            id_, part = ids[begin].as_py(), batch.slice(begin, end - begin)
+            members = part.column(part.schema.get_field_index(group)) if group else None
+            ends = _changes(members) if group else None
+            if encoder is None or id_ != stream:
+                if encoder is not None:
+                    yield stream, close()
+                stream, encoder = id_, Encoder(options, frame_size, framing)
+                for label, value in namespaces or ():
+                    encoder.namespace(label, value)
+            elif group:
+                ends[0] = members[0].as_py() != member
+            if group:
+                member = members[-1].as_py()
+            full = columnar.encode(encoder, [part.column(i) if i >= 0 else pa.nulls(len(part)) for i in map(part.schema.get_field_index, "spog")], ends)
+            if full is None:
+                full = []
+                for at, terms in enumerate(zip(*(_terms(part, n) if n in part.schema.names else [None] * len(part) for n in "spog"), strict=True)):
+                    if group and ends[at]:
+                        full += encoder.end_group()
+                    full += encoder.add(terms)
+            yield stream, full
+    if encoder is not None:
+        yield stream, close()
+
+
 class _Columns:
     """Rows collected and handed out as record batches."""
 
@@ -122,30 +151,59 @@ def _structs(values: list[tuple | None], kind: pa.StructType) -> pa.Array:
 def events_of(stream: str, frames: Iterator[bytes], as_quads: bool = False, check=None, only: dict | None = None) -> Iterator[pa.RecordBatch]:
     """Events (EVENT) of one stream's frames in order. Frames without rows before the options are kept as numbers.
     only: statements alone, and those whose terms have these values, by (slot, part), as ('p', 'value')."""
-    decoder, out, base = Decoder(), _Columns(_EVENT), 0
+    decoder, out, base, number = Decoder(), _Columns(_EVENT), 0, 0
     default = ("default", None, None, None)
     wanted = [("spog".index(slot) + 1, _PARTS.index(part), value) for (slot, part), value in (only or {}).items()]
-    for number, content in enumerate(frames):
-        for i, event in decoder.frame(content):
-            if event[0] == "statement":
-                if wanted and not all(event[k] is not None and event[k][part] == value for k, part, value in wanted):
-                    continue
-                _, s, p, o, g = event
-                out.add((stream, number, base + i, "statement", s, p, o, default if g is None and as_quads else g, None, None))
-            elif only is None:
-                out.add((stream, number, base + i, "namespace", None, None, None, None, event[1], event[2]))
-            if out.full():
+    for held in _chunks(frames):
+        whole = columnar.decode(decoder, held, number, base, as_quads, [(slot - 1, part, value) for slot, part, value in wanted])
+        if whole is not None:
+            if out.rows:
                 yield out.take()
-        if check is not None and decoder.options is not None:
-            check(decoder.options)
-            check = None
-        base += decoder.n_rows
+            columns, n_rows = whole
+            if check is not None:
+                check(decoder.options)
+                check = None
+            n = len(columns["row_idx"])
+            columns |= {"stream_id": pa.repeat(pa.scalar(stream, pa.string()), n), "event": pa.repeat(pa.scalar("statement"), n), "prefix": pa.nulls(n, pa.string()), "iri": pa.nulls(n, pa.string())}
+            batch = pa.RecordBatch.from_arrays([columns[c] for c in _EVENT.names], schema=_EVENT)
+            for at in range(0, n, BATCH):
+                yield batch.slice(at, BATCH)
+            base, number = base + n_rows, number + len(held)
+            continue
+        for content in held:
+            for i, event in decoder.frame(content):
+                if event[0] == "statement":
+                    if wanted and not all(event[k] is not None and event[k][part] == value for k, part, value in wanted):
+                        continue
+                    _, s, p, o, g = event
+                    out.add((stream, number, base + i, "statement", s, p, o, default if g is None and as_quads else g, None, None))
+                elif only is None:
+                    out.add((stream, number, base + i, "namespace", None, None, None, None, event[1], event[2]))
+                if out.full():
+                    yield out.take()
+            if check is not None and decoder.options is not None:
+                check(decoder.options)
+                check = None
+            base, number = base + decoder.n_rows, number + 1
     if decoder.options is None:
         raise ConformanceError("the stream has no rows")
     if out.rows:
         yield out.take()
 
 
+def _chunks(frames: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Frames by CHUNK bytes."""
+    held, size = [], CHUNK
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _by_stream(frames: DataFrame) -> DataFrame:
     return dealt(frames, "stream_id").sortWithinPartitions("stream_id", "frame_idx").select("stream_id", "frame_idx", "content")
 
