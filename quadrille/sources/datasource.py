@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from quadrille.functions.store import dealt
-from quadrille.operators.codec import events_of
+from quadrille.operators.codec import encoded, events_of
 from quadrille.options import LOGICAL, ConformanceError, Options, check_strict
 from quadrille.schema import EVENT, TERM
 from quadrille.sources import wire
-from quadrille.sources.kernel import Encoder, Frame, read_options
+from quadrille.sources.kernel import read_options
 
 FORMAT = "rdfstream"
 #: Names of the stream files in a folder, unless the option `glob` names others.
@@ -127,7 +127,7 @@ class FilteringReader(Reader):
                 yield f
 
 
-class Writer(DataSourceWriter, DataSourceStreamWriter):
+class Writer(DataSourceArrowWriter, DataSourceStreamArrowWriter):
     """Writes each run of one stream_id in a partition as a file; callers sort by (stream_id, row_idx)."""
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
@@ -145,41 +145,28 @@ class Writer(DataSourceWriter, DataSourceStreamWriter):
         if self.group and self.group not in schema.names:
             raise ValueError(f"statements lack the group {self.group}")
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, folder = _store(self.path)
         store.create_dir(folder, recursive=True)
-        place = {n: i for i, n in enumerate(self.names)}
-        slots = [place.get(c) for c in "spog"]
-        at_stream, at_group = place["stream_id"], place[self.group] if self.group else None
-        paths, count, stream, member, encoder, out = [], 0, None, None, None, None
-
-        def put(frames: list[Frame]) -> None:
-            for frame in frames:
-                out.write(wire.varint(len(frame)) + frame if self.delimited else frame)
-
-        def close() -> None:
-            if encoder is not None:
-                if encoder.framing in ("graph", "dataset"):
-                    put(encoder.end_group())
-                put(encoder.finish())
-                out.close()
-
-        for row in rows:
-            if encoder is None or row[at_stream] != stream:
-                close()
-                stream, member = row[at_stream], None if at_group is None else row[at_group]
+        paths, count, stream, out = [], 0, None, None
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal count
+            for batch in batches:
+                count += batch.num_rows
+                yield batch
+
+        for id_, frames in encoded(counted(), self.options, self.frame_size, self.framing, self.group, self.namespaces):
+            if out is None or id_ != stream:
+                if out is not None:
+                    out.close()
+                stream = id_
                 # hidden until commit
                 paths.append(f"{folder}/.{stream}-{uuid.uuid4().hex[:12]}.rdfs")
                 out = store.open_output_stream(paths[-1])
-                encoder = Encoder(self.options, self.frame_size, self.framing)
-                for label, iri in self.namespaces:
-                    encoder.namespace(label, iri)
-            elif at_group is not None and row[at_group] != member:
-                put(encoder.end_group())
-                member = row[at_group]
-            put(encoder.add([None if i is None or row[i] is None else tuple(row[i]) for i in slots]))
-            count += 1
-        close()
+            out.write(b"".join(wire.varint(len(frame)) + frame if self.delimited else frame for frame in frames))
+        if out is not None:
+            out.close()
         return Written(paths, count)
 
     def commit(self, messages: list[Written], batchId: int = -1) -> None:
