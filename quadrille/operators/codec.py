@@ -47,14 +47,15 @@ def _terms(batch: pa.RecordBatch, name: str) -> list[tuple | None]:
     return list(whole) if not column.null_count else [None if null else t for t, null in zip(whole, column.is_null().to_pylist(), strict=True)]
 
 
-def encode(statements: DataFrame, options: Options, frame_size: int = 250, framing: str | None = None, group: str | None = None, namespaces: list[tuple[str, str]] | None = None) -> DataFrame:
+def encode(statements: DataFrame, options: Options, frame_size: int = 250, framing: str | None = None, group: str | None = None, namespaces: list[tuple[str, str]] | None = None, ordered: bool = False) -> DataFrame:
     """Frames (FRAME) of statements: one self-contained stream for each stream_id, in the order of row_idx.
 
     group: a column whose changes end a graph or dataset (framing 'graph' or 'dataset'). namespaces: declarations that
-    every stream begins with. An empty input gives no stream.
+    every stream begins with. An empty input gives no stream. ordered: streams are whole in their partitions and in order.
     """
     names = ["stream_id", *([group] if group else []), "s", "p", "o", "g"]
-    shown = dealt(statements, "stream_id").sortWithinPartitions("stream_id", "row_idx").select(*names)
+    placed = statements if ordered else dealt(statements, "stream_id").sortWithinPartitions("stream_id", "row_idx")
+    shown = placed.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, stream, number = _Columns(_FRAME), None, 0

@@ -33,8 +33,8 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
-def statements(spark: SparkSession, sf_dir: str, mapping: Mapping, streams: int | None = None) -> DataFrame:
-    return mapping.statements(spark.read.parquet(f"{sf_dir}/{mapping.table}.parquet"), streams)
+def statements(spark: SparkSession, sf_dir: str, mapping: Mapping, streams: int | None = None, ordered: bool = False) -> DataFrame:
+    return mapping.statements(spark.read.parquet(f"{sf_dir}/{mapping.table}.parquet"), streams, ordered)
 
 
 def _sql(mapping: Mapping) -> str:
@@ -54,7 +54,7 @@ for _m in (NATION, CUSTOMER, ORDERS, EVENTS, DOCUMENTS):
 
 def round_trip(mapping: Mapping, options: Options, frame_size: int = 250, framing: str | None = None, group: str | None = None):
     def run(spark, sf_dir):
-        frames = codec.encode(statements(spark, sf_dir, mapping), options, frame_size, framing, group)
+        frames = codec.encode(statements(spark, sf_dir, mapping, ordered=True), options, frame_size, framing, group, ordered=True)
         return flat(codec.decode(frames)).select(COLUMNS)
 
     return run
@@ -76,13 +76,13 @@ for _name, _m, _o, _size in (
 @query(_sql(ORDERS))
 def decode_relational(spark, sf_dir):
     """The windows resolve what the encoder coded."""
-    frames = codec.encode(statements(spark, sf_dir, ORDERS), Options.of("TRIPLES", "FLAT_TRIPLES", "small"))
+    frames = codec.encode(statements(spark, sf_dir, ORDERS, ordered=True), Options.of("TRIPLES", "FLAT_TRIPLES", "small"), ordered=True)
     return flat(relational.resolve(codec.rows(frames))).select(COLUMNS)
 
 
 @query(_sql(EVENTS))
 def decode_relational_graphs(spark, sf_dir):
-    frames = codec.encode(statements(spark, sf_dir, EVENTS), Options.of("GRAPHS", "FLAT_QUADS", "small"))
+    frames = codec.encode(statements(spark, sf_dir, EVENTS, ordered=True), Options.of("GRAPHS", "FLAT_QUADS", "small"), ordered=True)
     return flat(relational.resolve(codec.rows(frames))).select(COLUMNS)
 
 
@@ -112,7 +112,7 @@ def roundtrip_files(spark, sf_dir):
 def roundtrip_source(spark, sf_dir):
     """Written and read by the data source."""
     path = shared_path(spark, "source")
-    datasource.write_statements(statements(spark, sf_dir, EVENTS), path, physicalType="QUADS", logicalType="FLAT_QUADS")
+    datasource.write_statements(statements(spark, sf_dir, EVENTS, ordered=True), path, ordered=True, physicalType="QUADS", logicalType="FLAT_QUADS")
     return flat(codec.statements_of(spark.read.format(datasource.FORMAT).option("logicalTypeStrict", "true").load(path))).select(COLUMNS)
 
 
@@ -226,8 +226,8 @@ def graphs_unpacked(spark, sf_dir):
 def row_kind_counts(spark, sf_dir):
     """Rows that the encoder writes. A stream of STREAM_KEYS orders meets fewer than 4096 names, so none is evicted and first
     appearances are what is written."""
-    rows = statements(spark, sf_dir, ORDERS)
-    frames = codec.encode(rows, Options.of("TRIPLES", "FLAT_TRIPLES", names=4096, prefixes=150))
+    rows = statements(spark, sf_dir, ORDERS, ordered=True)
+    frames = codec.encode(rows, Options.of("TRIPLES", "FLAT_TRIPLES", names=4096, prefixes=150), ordered=True)
     return codec.rows(frames).groupBy("row_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -248,7 +248,7 @@ def frames_bounded(spark, sf_dir):
 def frames_per_graph(spark, sf_dir):
     """A frame for each run of a graph."""
     rows = relational.graph_runs(statements(spark, sf_dir, EVENTS))
-    frames = codec.encode(rows, Options.of("GRAPHS", "NAMED_GRAPHS"), framing="graph", group="run")
+    frames = codec.encode(rows, Options.of("GRAPHS", "NAMED_GRAPHS"), framing="graph", group="run", ordered=True)
     return grouping.per_frame(frames)
 
 
@@ -309,7 +309,7 @@ def _named(events: DataFrame) -> DataFrame:
 def grouped_files(spark, sf_dir):
     """Files with a frame for each run of a graph, written and read by the data source."""
     path = shared_path(spark, "grouped")
-    datasource.write_statements(statements(spark, sf_dir, EVENTS), path, physicalType="GRAPHS", logicalType="NAMED_GRAPHS")
+    datasource.write_statements(statements(spark, sf_dir, EVENTS, ordered=True), path, ordered=True, physicalType="GRAPHS", logicalType="NAMED_GRAPHS")
     found = _named(spark.read.format(datasource.FORMAT).options(logicalTypeStrict="true", mode="grouped").load(path))
     return found.groupBy("stream_id", "frame_idx").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("g")["value"]).alias("g"))
 
@@ -396,8 +396,8 @@ def roundtrip_bnodes(spark, sf_dir):
 @query(f"SELECT CASE WHEN row_idx % 2 = 0 THEN 'default' ELSE g_kind END AS g_kind, CASE WHEN row_idx % 2 = 0 THEN NULL ELSE g_value END AS g_value, s, p, o_value FROM ({EVENTS.sql()})")
 def roundtrip_default_graph(spark, sf_dir):
     """Statements of the default graph between those of named ones, in a stream of graphs."""
-    rows = statements(spark, sf_dir, EVENTS).withColumn("g", F.when(F.col("row_idx") % 2 == 0, default_graph()).otherwise(F.col("g")))
-    back = codec.decode(codec.encode(rows, Options.of("GRAPHS", "FLAT_QUADS")))
+    rows = statements(spark, sf_dir, EVENTS, ordered=True).withColumn("g", F.when(F.col("row_idx") % 2 == 0, default_graph()).otherwise(F.col("g")))
+    back = codec.decode(codec.encode(rows, Options.of("GRAPHS", "FLAT_QUADS"), ordered=True))
     return flat(back).select("g_kind", "g_value", "s", "p", "o_value")
 
 
@@ -630,7 +630,7 @@ def window_counts(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     """Windows over arriving statements, given out once the watermark, two hours behind, has passed their end."""
     arrived, sink = shared_path(spark, "statements"), shared_path(spark, "windows")
-    rows = codec.decode(codec.encode(statements(spark, sf_dir, EVENTS), Options.of("QUADS", "FLAT_QUADS")), predicate=SCHEMA + "ts")
+    rows = codec.decode(codec.encode(statements(spark, sf_dir, EVENTS, ordered=True), Options.of("QUADS", "FLAT_QUADS"), ordered=True), predicate=SCHEMA + "ts")
     rows.select(F.col("g")["value"].alias("g"), F.to_timestamp(F.col("o")["value"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("at")).write.parquet(arrived)
     stream = spark.readStream.schema("g string, at timestamp").parquet(arrived).withWatermark("at", "2 hours")
     counts = stream.groupBy("g", F.window("at", "1 hour")).agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.functions.store import dealt
 from quadrille.functions.terms import default_graph, iri, literal
 from quadrille.schema import TERM, XSD
 
@@ -64,15 +65,19 @@ class Mapping:
     #: A column that names the graph; its nulls are the default graph.
     graph: str | None = None
 
-    def statements(self, rows: DataFrame, streams: int | None = None) -> DataFrame:
-        """Statements of a table's rows: a stream for every STREAM_KEYS keys, or `streams` by the key modulo their number."""
+    def statements(self, rows: DataFrame, streams: int | None = None, ordered: bool = False) -> DataFrame:
+        """Statements of a table's rows: a stream for every STREAM_KEYS keys, or `streams` by the key modulo their number.
+        ordered: dealt out by stream and in order, as the codec wants them; the table's narrow rows are what is moved."""
         subject = iri(F.concat(F.lit(f"{BASE}{self.table}/"), F.col(self.key).cast("string")))
         graph = F.lit(None).cast(TERM)
         if self.graph:
             graph = F.when(F.col(self.graph).isNull(), default_graph()).otherwise(iri(F.concat(F.lit(f"{BASE}graph/"), F.col(self.graph))))
         each = F.posexplode(F.array(*(F.struct(iri(F.lit(SCHEMA + f.column)).alias("p"), f.term().alias("o")) for f in self.fields))).alias("at", "x")
         stream = F.concat(F.lit(f"{self.table}-"), (F.floor(F.col(self.key) / STREAM_KEYS) if streams is None else F.pmod(F.col(self.key), F.lit(streams))).cast("string"))
-        shown = rows.select(stream.alias("stream_id"), F.col(self.key).cast("long").alias("__k"), subject.alias("s"), graph.alias("g"), each)
+        rows = rows.withColumn("__stream", stream)
+        if ordered:
+            rows = dealt(rows, "__stream").sortWithinPartitions("__stream", self.key)
+        shown = rows.select(F.col("__stream").alias("stream_id"), F.col(self.key).cast("long").alias("__k"), subject.alias("s"), graph.alias("g"), each)
         return shown.where("x.o.value IS NOT NULL").select("stream_id", F.lit(0).cast("long").alias("frame_idx"), (F.col("__k") * len(self.fields) + F.col("at")).alias("row_idx"), "s", F.col("x.p").alias("p"), F.col("x.o").alias("o"), "g")
 
     def sql(self) -> str:

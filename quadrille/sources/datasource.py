@@ -241,14 +241,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(StatementSource)
 
 
-def write_statements(statements: DataFrame, path: str, namespaces: dict[str, str] | None = None, **options: str) -> None:
-    """Write each stream_id as a file of its own."""
+def write_statements(statements: DataFrame, path: str, namespaces: dict[str, str] | None = None, ordered: bool = False, **options: str) -> None:
+    """Write each stream_id as a file of its own. ordered: as in codec.encode."""
     register(statements.sparkSession)
     if namespaces:
         options["namespaces"] = json.dumps(namespaces)
     names = ["stream_id", "s", "p", "o", *(["g"] if options.get("physicalType", "QUADS") != "TRIPLES" else []), *([options["group"]] if options.get("group") else [])]
-    ordered = dealt(statements, "stream_id").sortWithinPartitions("stream_id", "row_idx").select(*dict.fromkeys(names))
-    ordered.write.format(FORMAT).options(**options).mode("overwrite").save(path)
+    placed = statements if ordered else dealt(statements, "stream_id").sortWithinPartitions("stream_id", "row_idx")
+    placed.select(*dict.fromkeys(names)).write.format(FORMAT).options(**options).mode("overwrite").save(path)
 
 
 def _whole(found: DataFrame) -> DataFrame:

@@ -28,3 +28,14 @@ def test_resolve_deals_rows_once(spark):
     frames = codec.encode(catalog.statements(spark, SF, EVENTS), Options.of("GRAPHS", "FLAT_QUADS", "small"))
     rows = codec.rows(frames)
     assert _plan(relational.resolve(rows)).count("Exchange") == _plan(rows).count("Exchange") + 1
+
+
+def test_codec_moves_the_tables_rows_and_not_their_statements(spark):
+    plan = _plan(catalog.QUERIES["roundtrip_quads"](spark, SF))
+    assert plain_order(plan) == ["Generate", "Exchange"]
+
+
+def plain_order(plan: str) -> list[str]:
+    """The statements' making and the shuffle below it, from the top, under the encoder."""
+    below = plan[plan.rindex("MapInArrow") :]
+    return [w for _, w in sorted((below.index(w), w) for w in ("Generate", "Exchange"))]
