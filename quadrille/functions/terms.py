@@ -80,6 +80,9 @@ _ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'"
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.S)
 _TOKEN = re.compile(r"""\s*(?:(<<)|(>>)|<([^>]*)>|_:([^\s<>"]+?)(?=\.?(?:\s|$|>>))|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?|(\.)|(\#.*))""", re.S)
 
+#: A statement of IRIs and at most one literal, spaced as `lines` writes it.
+_PLAIN = re.compile(r'''<([^<>"\\]*)> <([^<>"\\]*)> (?:<([^<>"\\]*)>|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^<>"\\]*)>)?) (?:<([^<>"\\]*)> )?\.''', re.S)
+
 
 def unescape(text: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _ESCAPES.get(m[3], m[3]), text) if "\\" in text else text
@@ -100,6 +103,16 @@ def text_of(term: tuple) -> str:
 
 def parse_terms(line: str) -> list[tuple]:
     """Terms of a line up to its dot; a quoted triple is one term, with canonical text."""
+    if plain := _PLAIN.fullmatch(line):
+        s, p, o, lex, lang, datatype, g = plain.groups()
+        last = ("literal", unescape(lex), lang, datatype if datatype != XSD_STRING else None) if o is None else ("iri", o, None, None)
+        terms = [("iri", s, None, None), ("iri", p, None, None), last]
+        return terms if g is None else [*terms, ("iri", g, None, None)]
+    return _parsed_terms(line)
+
+
+def _parsed_terms(line: str) -> list[tuple]:
+    """parse_terms of any line."""
     at, stack, done = 0, [[]], False
     while at < len(line) and line[at:].strip():
         m = _TOKEN.match(line, at)
