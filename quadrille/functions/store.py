@@ -7,6 +7,7 @@ import sys
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Used only where the session names no shared folder and everything runs on one machine.
 LOCAL_SHARED = "/tmp/checkpoints"
@@ -14,7 +15,11 @@ LOCAL_SHARED = "/tmp/checkpoints"
 #: Bytes of input files that a task of dealt rows has its share of; a table's row becomes several statements of many columns.
 TASK_BYTES = 256 << 10
 
+#: Rows of Parquet files that a task of dealt rows has its share of: files that compress well hold many rows in few bytes.
+TASK_ROWS = 8192
+
 _written: list[str] = []
+_counted: dict[tuple, int] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,10 +57,29 @@ def input_bytes(df: DataFrame) -> int | None:
     return sum(sizes) if max(sizes, default=0) < 1 << 50 else None
 
 
+def input_rows(df: DataFrame) -> int | None:
+    """Rows of the Parquet files that a plan reads, by their footers; None where it reads anything else."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    if not found or any(x.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in x.relation().toString().lower() for x in found):
+        return None
+    files = df.inputFiles()
+    key = (input_bytes(df), *sorted(files))
+    if key not in _counted:
+        if len(_counted) >= 64:
+            _counted.clear()
+        _counted[key] = df.sparkSession.read.schema(StructType()).parquet(*files).count() if files else 0
+    return _counted[key]
+
+
 def dealt(df: DataFrame, *columns: str | Column) -> DataFrame:
-    """df dealt out by columns. The number of tasks follows the input, so that what a task holds does not grow with it."""
-    tasks = (input_bytes(df) or 0) // TASK_BYTES
-    return df.repartition(tasks, *columns) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*columns)
+    """df dealt out by columns. The number of tasks follows the input's bytes and rows, so that what a task holds does not
+    grow with either; it is given even where it is small, as Spark would else join partitions up to a size of its own."""
+    tasks = max((input_bytes(df) or 0) // TASK_BYTES, (input_rows(df) or 0) // TASK_ROWS)
+    if not tasks:
+        return df.repartition(*columns)
+    spark = df.sparkSession
+    return df.repartition(max(tasks, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)), *columns)
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
