@@ -33,8 +33,8 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
-def statements(spark: SparkSession, sf_dir: str, mapping: Mapping, streams: int | None = None, ordered: bool = False) -> DataFrame:
-    return mapping.statements(spark.read.parquet(f"{sf_dir}/{mapping.table}.parquet"), streams, ordered)
+def statements(spark: SparkSession, sf_dir: str, mapping: Mapping, streams: int | None = None, ordered: bool = False, links: bool = False) -> DataFrame:
+    return mapping.statements(spark.read.parquet(f"{sf_dir}/{mapping.table}.parquet"), streams, ordered, links)
 
 
 def _sql(mapping: Mapping) -> str:
@@ -520,7 +520,7 @@ def removal(spark, sf_dir):
 def _links(spark, sf_dir, *mappings):
     out = None
     for m in mappings:
-        rows = statements(spark, sf_dir, m).where(F.col("o")["kind"] == "iri")
+        rows = statements(spark, sf_dir, m, links=True)
         out = rows if out is None else out.union(rows)
     return graph.edges(out)
 

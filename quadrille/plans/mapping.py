@@ -41,6 +41,10 @@ class Field:
             return literal(c)
         return iri(F.concat(F.lit(f"{BASE}{self.kind}/"), c.cast("string")))
 
+    @property
+    def is_link(self) -> bool:
+        return self.kind not in ("integer", "decimal", "dateTime", "string") and not self.kind.startswith("lang:")
+
     def sql(self) -> tuple[str, str, str, str]:
         """kind, value, lang and datatype in SQL."""
         c, null = self.column, "CAST(NULL AS VARCHAR)"
@@ -65,20 +69,23 @@ class Mapping:
     #: A column that names the graph; its nulls are the default graph.
     graph: str | None = None
 
-    def statements(self, rows: DataFrame, streams: int | None = None, ordered: bool = False) -> DataFrame:
+    def statements(self, rows: DataFrame, streams: int | None = None, ordered: bool = False, links: bool = False) -> DataFrame:
         """Statements of a table's rows: a stream for every STREAM_KEYS keys, or `streams` by the key modulo their number.
-        ordered: dealt out by stream and in order, as the codec wants them; the table's narrow rows are what is moved."""
+        ordered: dealt out by stream and in order, as the codec wants them; the table's narrow rows are what is moved.
+        links: those whose object is an IRI, so that no others are made."""
         subject = iri(F.concat(F.lit(f"{BASE}{self.table}/"), F.col(self.key).cast("string")))
         graph = F.lit(None).cast(TERM)
         if self.graph:
             graph = F.when(F.col(self.graph).isNull(), default_graph()).otherwise(iri(F.concat(F.lit(f"{BASE}graph/"), F.col(self.graph))))
-        each = F.posexplode(F.array(*(F.struct(iri(F.lit(SCHEMA + f.column)).alias("p"), f.term().alias("o")) for f in self.fields))).alias("at", "x")
+        made = {i for i, f in enumerate(self.fields) if f.is_link or not links} or range(len(self.fields))
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), iri(F.lit(SCHEMA + f.column)).alias("p"), f.term().alias("o")) for i, f in enumerate(self.fields) if i in made))).alias("x")
         stream = F.concat(F.lit(f"{self.table}-"), (F.floor(F.col(self.key) / STREAM_KEYS) if streams is None else F.pmod(F.col(self.key), F.lit(streams))).cast("string"))
         rows = rows.withColumn("__stream", stream)
         if ordered:
             rows = dealt(rows, "__stream").sortWithinPartitions("__stream", self.key)
         shown = rows.select(F.col("__stream").alias("stream_id"), F.col(self.key).cast("long").alias("__k"), subject.alias("s"), graph.alias("g"), each)
-        return shown.where("x.o.value IS NOT NULL").select("stream_id", F.lit(0).cast("long").alias("frame_idx"), (F.col("__k") * len(self.fields) + F.col("at")).alias("row_idx"), "s", F.col("x.p").alias("p"), F.col("x.o").alias("o"), "g")
+        shown = shown.where("x.o.value IS NOT NULL AND x.o.kind = 'iri'" if links else "x.o.value IS NOT NULL")
+        return shown.select("stream_id", F.lit(0).cast("long").alias("frame_idx"), (F.col("__k") * len(self.fields) + F.col("x.at")).alias("row_idx"), "s", F.col("x.p").alias("p"), F.col("x.o").alias("o"), "g")
 
     def sql(self) -> str:
         """The same statements, as flat(): one SELECT a field."""
